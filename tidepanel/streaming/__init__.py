@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The covered surface has no watermark, window or state: a panel changes only by a whole refresh, which
+``sources.catalog`` (what changed) and ``sources.snapshot`` (rebuild when the signature differs) do as
+batch jobs.
+"""
