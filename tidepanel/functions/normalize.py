@@ -9,6 +9,7 @@ skips all of it. Outside the Latin blocks, characters that expand to several cha
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -65,19 +66,29 @@ def fold_marks(value: Column) -> Column:
 
 
 def _key(value: Column, separators: str) -> Column:
-    return F.trim(F.regexp_replace(F.upper(fold_marks(value)), separators, " "))
+    return F.trim(F.regexp_replace(F.upper(fold_marks(value)), "(?U)" + separators, " "))
+
+
+WHITESPACE = r"\s+"
+LABEL_SEPARATORS = r"[\s\-_]+"
+GROUP_SEPARATORS = r"[\s\-_/&,.]+"
 
 
 def alias_key(value: Column) -> Column:
     """Key of an entity spelling: folded, upper case, whitespace collapsed."""
-    return _key(value, r"(?U)\s+")
+    return _key(value, WHITESPACE)
 
 
 def group_key(value: Column) -> Column:
     """Key of a region or income spelling: hyphens and underscores also count as spaces."""
-    return _key(value, r"(?U)[\s\-_]+")
+    return _key(value, LABEL_SEPARATORS)
 
 
 def label_key(value: Column) -> Column:
     """Key of a curated group spelling: ``/ & , .`` also count as spaces."""
-    return _key(value, r"(?U)[\s\-_/&,.]+")
+    return _key(value, GROUP_SEPARATORS)
+
+
+def key_of(text: str, separators: str) -> str:
+    """The same key for one parameter on the driver."""
+    return re.sub(separators, " ", _folded(text).upper()).strip()

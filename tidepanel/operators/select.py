@@ -7,6 +7,7 @@ side without a sort, and the observation key makes the latest row of a series un
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -421,3 +422,17 @@ def entity_profile(
         panel.indicators.select(*attributes), "indicator_code", "left"
     )
     return rows.select(*DATA_COLUMNS, "position").orderBy("entity_code", "position")
+
+
+# ---- U1: key sets ---------------------------------------------------------------------------------------------
+
+
+def combine_keys(parts: Sequence[DataFrame], how: str = "union", key: str = "entity_code") -> DataFrame:
+    """Union (distinct), union_all or intersection of key columns."""
+    keys = [part.select(key) for part in parts]
+    if how == "intersect":
+        return reduce(lambda left, right: left.join(right, key, "left_semi"), keys).distinct()
+    if how not in ("union", "union_all"):
+        raise ValueError("how must be union, union_all or intersect")
+    combined = reduce(DataFrame.unionByName, keys)
+    return combined if how == "union_all" else combined.distinct()
