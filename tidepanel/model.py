@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,42 +29,94 @@ DATA_COLUMNS = (
 EXTRACT_COLUMNS = DATA_COLUMNS[:10]
 
 
-@dataclass(frozen=True)
+Table = DataFrame | Callable[[], DataFrame]
+
+
 class Panel:
     """Long facts with their dimensions.
 
     ``observations`` holds one row per (indicator, entity, period), none of them null; ``check_keys``
     enforces that at load, and the operators rely on it. ``memberships`` and ``relations`` default to
-    the curated groups and relations.
+    the curated groups and relations. A table can be given as a function, which is called when an
+    operator first needs that table; tables a query does not touch are then never planned.
     """
 
-    observations: DataFrame
-    entities: DataFrame
-    indicators: DataFrame
-    notes: DataFrame | None = None
-    memberships: DataFrame | None = None
-    relations: DataFrame | None = None
-    version_lines: DataFrame | None = None
+    def __init__(
+        self,
+        observations: Table,
+        entities: Table,
+        indicators: Table,
+        notes: Table | None = None,
+        memberships: Table | None = None,
+        relations: Table | None = None,
+        version_lines: Table | None = None,
+    ) -> None:
+        self._tables = {
+            "observations": observations, "entities": entities, "indicators": indicators,
+            "notes": notes, "memberships": memberships, "relations": relations,
+            "version_lines": version_lines,
+        }
+
+    def _table(self, name: str) -> DataFrame | None:
+        table = self._tables[name]
+        if callable(table):
+            table = self._tables[name] = table()
+        return table
+
+    def replace(self, **tables: Table) -> Panel:
+        """The same panel with some tables exchanged."""
+        return Panel(**{**self._tables, **tables})
+
+    @property
+    def observations(self) -> DataFrame:
+        return self._table("observations")
+
+    @property
+    def entities(self) -> DataFrame:
+        return self._table("entities")
+
+    @property
+    def indicators(self) -> DataFrame:
+        return self._table("indicators")
+
+    @property
+    def notes(self) -> DataFrame | None:
+        return self._table("notes")
+
+    @property
+    def memberships(self) -> DataFrame | None:
+        return self._table("memberships")
+
+    @property
+    def relations(self) -> DataFrame | None:
+        return self._table("relations")
+
+    @property
+    def version_lines(self) -> DataFrame | None:
+        return self._table("version_lines")
 
     @property
     def spark(self) -> SparkSession:
-        return self.observations.sparkSession
+        return self.entities.sparkSession
 
     @property
     def group_members(self) -> DataFrame:
-        if self.memberships is not None:
-            return self.memberships.select("group_code", "entity_code")
-        return tables.memberships(self.spark).select("group_code", "entity_code")
+        members = self.memberships
+        if members is None:
+            members = tables.memberships(self.spark)
+        return members.select("group_code", "entity_code")
 
     @property
     def additive_relations(self) -> DataFrame:
-        return self.relations if self.relations is not None else tables.relations(self.spark)
+        relations = self.relations
+        return tables.relations(self.spark) if relations is None else relations
 
     @property
     def source_notes(self) -> DataFrame:
-        if self.notes is not None:
-            return self.notes
-        return tables.literal_table(self.spark, {name: tables.TEXT for name in NOTE_COLUMNS}, [])
+        notes = self.notes
+        if notes is None:
+            return tables.literal_table(self.spark, {name: tables.TEXT for name in NOTE_COLUMNS}, [])
+        return notes
 
 
 @dataclass(frozen=True)
@@ -87,7 +139,7 @@ class Selection:
     def filters_entities(self) -> bool:
         return bool(self.entities or self.group or _text(self.region) or _text(self.income))
 
-    def between(self, start: int | None, end: int | None) -> "Selection":
+    def between(self, start: int | None, end: int | None) -> Selection:
         return Selection(self.entities, self.group, self.region, self.income, start, end)
 
 

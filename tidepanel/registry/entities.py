@@ -211,7 +211,5 @@ select entity_code, entity_name, region, income from ent where false""")
 def n6_empty_group(spark, folder):
     # Nobody in North America but the United States: without it the group selects nothing.
     panel = star.nation_panel(spark, folder)
-    others = type(panel)(
-        panel.observations, panel.entities.where("entity_code <> 'USA'"), panel.indicators
-    )
+    others = panel.replace(entities=panel.entities.where("entity_code <> 'USA'"))
     return select_ops.list_entities(others, group="NAR")

@@ -65,8 +65,7 @@ qualify row_number() over (
   partition by indicator_code order by trends.absolute_change desc, entity_code) <= 3""")
 def a6_trends_top_per_indicator(spark, folder):
     panel = star.parts_panel(spark, folder)
-    others = panel.entities.where("region <> 'EUR'")
-    panel = type(panel)(panel.observations, others, panel.indicators)
+    panel = panel.replace(entities=panel.entities.where("region <> 'EUR'"))
     sel = Selection(start=1996, end=2001)
     return _rounded_trends(ops.indicator_trends(panel, None, sel, top=3))
 

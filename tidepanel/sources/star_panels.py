@@ -52,8 +52,29 @@ CUSTOMER_RELATIONS = (
 )
 
 
+# Known schemas spare the job that would read them from a file footer.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+              "props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _money(column: str) -> Column:
@@ -200,12 +221,12 @@ def customer_panel(
     spark: SparkSession, folder: str, indicators: Sequence[str] = CUSTOMER_INDICATORS
 ) -> Panel:
     return Panel(
-        observations=_long(revenue_wide(spark, folder, "customer", indicators), indicators),
-        entities=customer_entities(spark, folder),
-        indicators=customer_codebook(spark),
-        notes=load_notes(customer_notes_raw(spark, folder)),
-        memberships=customer_memberships(spark, folder),
-        relations=tables.relations(spark, CUSTOMER_RELATIONS),
+        observations=lambda: _long(revenue_wide(spark, folder, "customer", indicators), indicators),
+        entities=lambda: customer_entities(spark, folder),
+        indicators=lambda: customer_codebook(spark),
+        notes=lambda: load_notes(customer_notes_raw(spark, folder)),
+        memberships=lambda: customer_memberships(spark, folder),
+        relations=lambda: tables.relations(spark, CUSTOMER_RELATIONS),
     )
 
 
@@ -265,10 +286,10 @@ def nation_panel(
     spark: SparkSession, folder: str, indicators: Sequence[str] = CUSTOMER_INDICATORS
 ) -> Panel:
     return Panel(
-        observations=_long(revenue_wide(spark, folder, "nation", indicators), indicators),
-        entities=nation_entities(spark, folder),
-        indicators=customer_codebook(spark),
-        relations=tables.relations(spark, CUSTOMER_RELATIONS),
+        observations=lambda: _long(revenue_wide(spark, folder, "nation", indicators), indicators),
+        entities=lambda: nation_entities(spark, folder),
+        indicators=lambda: customer_codebook(spark),
+        relations=lambda: tables.relations(spark, CUSTOMER_RELATIONS),
     )
 
 
@@ -347,8 +368,8 @@ def parts_codebook_raw(spark: SparkSession, folder: str) -> DataFrame:
     return parts.unionByName(brands)
 
 
-def parts_panel(spark: SparkSession, folder: str) -> Panel:
-    """Quantity by part and brand (indicators), supplier (entity) and ship year (period)."""
+def parts_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantity by part and by brand (indicators), supplier and ship year."""
     lines = table(spark, folder, "lineitem").select(
         "l_partkey",
         F.col("l_suppkey").cast("string").alias("entity_code"),
@@ -371,7 +392,13 @@ def parts_panel(spark: SparkSession, folder: str) -> Panel:
         "entity_code", "period",
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("indicator_code"), "quantity",
     ).unionByName(per_brand)
-    suppliers = (
+    return facts.select(
+        "entity_code", "period", "indicator_code", F.col("quantity").cast("double").alias("value")
+    )
+
+
+def supplier_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return (
         table(spark, folder, "supplier")
         .join(nation_regions(spark, folder), F.col("s_nationkey") == F.col("n_nationkey"), "left")
         .select(
@@ -381,10 +408,12 @@ def parts_panel(spark: SparkSession, folder: str) -> Panel:
             _income_label("s_suppkey").alias("income"),
         )
     )
+
+
+def parts_panel(spark: SparkSession, folder: str) -> Panel:
+    """Parts and brands as indicators, suppliers as entities, ship years as periods."""
     return Panel(
-        observations=facts.select(
-            "entity_code", "period", "indicator_code", F.col("quantity").cast("double").alias("value")
-        ),
-        entities=suppliers,
-        indicators=load_codebook(parts_codebook_raw(spark, folder)),
+        observations=lambda: parts_facts(spark, folder),
+        entities=lambda: supplier_entities(spark, folder),
+        indicators=lambda: load_codebook(parts_codebook_raw(spark, folder)),
     )
