@@ -178,7 +178,10 @@ def customer_entities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def customer_notes_raw(spark: SparkSession, folder: str) -> DataFrame:
-    """One raw note row per order, for indicator ``rev``; ``row_no`` orders them by date and key."""
+    """One raw note row per order, for indicator ``rev`` if the order has a price.
+
+    ``row_no`` orders the rows by date and key.
+    """
     priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
     missing = F.lit(None).cast("string")
     customers = customer_entities(spark, folder)
@@ -188,7 +191,7 @@ def customer_notes_raw(spark: SparkSession, folder: str) -> DataFrame:
         F.col("code").alias("entity_code"),
         "region",
         "income",
-        F.lit("rev").alias("indicator_code"),
+        F.when(F.col("o_totalprice").isNotNull(), "rev").alias("indicator_code"),
         F.lit("sha11.REV").alias("long_code"),
         F.lit("Revenue").alias("indicator_name"),
         F.when(priority != "4-NOT SPECIFIED", priority).alias("sources"),
