@@ -133,7 +133,7 @@ def tidy(panel: Panel, facts: DataFrame, entities: DataFrame) -> DataFrame:
 # ---- W1, J7: latest and as-of ---------------------------------------------------------------------------
 
 
-def _last_of_series(facts: DataFrame) -> DataFrame:
+def latest_of_series(facts: DataFrame) -> DataFrame:
     return facts.groupBy(*SERIES_KEY).agg(
         F.max("period").alias("period"), F.max_by("value", "period").alias("value")
     )
@@ -146,7 +146,7 @@ def latest_observations(
 
     Entity filters commute with the aggregation, so they run on its much smaller result.
     """
-    latest = _last_of_series(_facts(panel, codes, sel))
+    latest = latest_of_series(_facts(panel, codes, sel))
     return members_only(latest, selected_entities(panel, sel))
 
 
@@ -154,13 +154,13 @@ def latest_per_entity(
     panel: Panel, codes: Sequence[str] | None = None, sel: Selection = ALL
 ) -> DataFrame:
     """Tidy rows of the last observation of every (indicator, entity)."""
-    latest = _last_of_series(_facts(panel, codes, sel))
+    latest = latest_of_series(_facts(panel, codes, sel))
     return tidy(panel, latest, selected_entities(panel, sel))
 
 
 def as_of_values(panel: Panel, codes: Sequence[str] | None, period: int | None) -> DataFrame:
     """Last value at or before ``period`` per (indicator, entity)."""
-    return _last_of_series(_facts(panel, codes, Selection(end=period)))
+    return latest_of_series(_facts(panel, codes, Selection(end=period)))
 
 
 # ---- F2, P1-P4: data queries -----------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from tidepanel.model import ALL, ENTITY_COLUMNS, Panel, Selection
 from tidepanel.operators.select import (
     SERIES_KEY,
     _facts,
-    latest_observations,
+    latest_of_series,
     members_only,
     ordered_page,
     require_indicators,
@@ -124,12 +124,13 @@ def _group_facts(
 ) -> tuple[DataFrame, DataFrame]:
     assignment = group_assignment(panel, by, selected_entities(panel, sel))
     if period is not None:
-        facts = _facts(panel, codes, Selection(start=period, end=period))
-    elif latest_only:
-        facts = latest_observations(panel, codes, Selection(start=sel.start, end=sel.end))
-    else:
-        facts = _facts(panel, codes, sel)
-    return facts.join(assignment, "entity_code"), assignment
+        sel = Selection(start=period, end=period)
+    # The facts are used more than once per query, with different columns and joins. Testing the key, which
+    # is never null, keeps the uses alike below their last shuffle, so Spark runs that part only once.
+    facts = _facts(panel, codes, sel).where("indicator_code is not null and entity_code is not null")
+    if latest_only and period is None:
+        facts = latest_of_series(facts)
+    return facts.where("period is not null").join(assignment, "entity_code"), assignment
 
 
 def summarize_groups(

@@ -4,7 +4,10 @@
 not survive. Here a first aggregation brackets the median of each large group between two approximate
 quantiles whose rank error is bounded; a second one counts values clamped to that bracket. Clamping
 leaves the k-th smallest value unchanged as long as it lies inside the bracket, so the result is
-exact, and all the rows outside collapse to two counters per map task.
+exact, and all the rows outside collapse to two counters per task.
+
+The bracket is joined to the rows by group and a salt taken from the value, so that a hot group spreads
+over many tasks although the join key alone would not split it.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ ACCURACY = 10_000
 MARGIN = 0.002
 # Groups up to this size are counted without a bracket: at most this many values per group.
 SMALL_GROUP = 10_000
+SALTS = 32
 
 
 def grouped_order_statistics(
@@ -42,24 +46,34 @@ def grouped_order_statistics(
     large = F.col("__n") > small_group
     brackets = summary.select(
         *keys,
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"),
         "__n",
         F.when(large, F.col("__quantiles")[0]).alias("__low"),
         F.when(large, F.col("__quantiles")[1]).alias("__high"),
     )
-    inside = F.when(F.col("__low").isNull(), number).otherwise(
-        F.greatest(F.least(number, F.col("__high")), F.col("__low"))
+    raw = F.col("__raw")
+    inside = F.when(F.col("__low").isNull(), raw).otherwise(
+        F.greatest(F.least(raw, F.col("__high")), F.col("__low"))
+    )
+    salted = df.where(number.isNotNull()).select(
+        *keys, number.alias("__raw"), F.pmod(F.hash(number), F.lit(SALTS)).alias("__salt")
     )
+    # Grouping by the salt first keeps the partitioning of the join, so the rows are not shuffled again.
     counted = (
-        df.where(number.isNotNull())
-        .join(brackets, keys)
-        .select(*keys, "__n", "__low", "__high", inside.alias("__value"), number.alias("__raw"))
-        .groupBy(*keys, "__value")
+        salted.join(brackets, [*keys, "__salt"])
+        .select(*keys, "__salt", "__n", "__low", "__high", inside.alias("__value"), "__raw")
+        .groupBy(*keys, "__salt", "__value")
         .agg(
-            F.first("__n").alias("__n"),
+            F.max("__n").alias("__n"),
             F.count(F.lit(1)).alias("__rows"),
             F.count_if(F.col("__raw") < F.col("__low")).alias("__below"),
             F.count_if(F.col("__raw") > F.col("__high")).alias("__above"),
         )
+        .groupBy(*keys, "__value")
+        .agg(
+            F.max("__n").alias("__n"),
+            *[F.sum(name).alias(name) for name in ("__rows", "__below", "__above")],
+        )
     )
     running = F.sum("__rows").over(
         Window.partitionBy(*keys).orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)

@@ -21,7 +21,8 @@ FIELDS = {
     "DateModified": "modified_raw string",
 }
 COMPARED = ("doc_id", "size", "modified_raw", "name")
-MAX_DEPTH = 12
+DOCUMENT_ARRAY = "array<struct<" + ", ".join(c.replace(" ", ": ") for c in FIELDS.values()) + ">>"
+MAX_DEPTH = 6
 
 
 def _node_schema(depth: int) -> str:
@@ -43,27 +44,30 @@ def flatten_catalog(
     ``position`` numbers the files of a tree level by level. Columns in ``keep`` are carried along. Each
     tree is parsed once and its levels are gathered in one expression, so nothing is shuffled.
     """
-    parsed = trees.select(
-        *keep, F.array(F.from_json(tree, _node_schema(max_depth))).alias("__level")
+    rows = trees.select(
+        *keep,
+        F.array(F.from_json(tree, _node_schema(max_depth))).alias("__level"),
+        F.array().cast(DOCUMENT_ARRAY).alias("__found"),
     )
-    found: Column | None = None
-    level = F.col("__level")
+    # One projection per level: each level is evaluated once and feeds both its files and the next.
     for depth in range(max_depth + 1):
+        level = F.col("__level")
         files = F.transform(
             F.filter(level, lambda node: ~F.coalesce(node["IsFolder"], F.lit(False))), _as_document
         )
-        found = files if found is None else F.concat(found, files)
+        below = F.transform(level, lambda node: node["Children"])
         if depth < max_depth:
-            level = F.flatten(
-                F.filter(F.transform(level, lambda node: node["Children"]), lambda c: c.isNotNull())
-            )
+            below = F.flatten(F.filter(below, lambda children: children.isNotNull()))
+        rows = rows.select(
+            *keep, below.alias("__level"), F.concat("__found", files).alias("__found")
+        )
     deeper = F.exists(
-        level, lambda node: ~F.coalesce(node["Children"], F.lit("[]")).isin("[]", "null", "")
+        "__level", lambda children: ~F.coalesce(children, F.lit("[]")).isin("[]", "null", "")
     )
     message = F.lit(f"the catalog nests deeper than {max_depth} levels")
-    checked = F.when(deeper, F.raise_error(message)).otherwise(found)
-    rows = parsed.select(*keep, F.posexplode(checked).alias("position", "document"))
-    return rows.select(*keep, "position", "document.*").withColumn(
+    checked = F.when(deeper, F.raise_error(message)).otherwise(F.col("__found"))
+    documents = rows.select(*keep, F.posexplode(checked).alias("position", "document"))
+    return documents.select(*keep, "position", "document.*").withColumn(
         "modified_ms", dotnet_millis(F.col("modified_raw"))
     )
 

@@ -80,22 +80,24 @@ def _write_facts(facts: DataFrame, target: str, by_directory: bool) -> None:
 def build_snapshot(panel: Panel, path: str, signature: str, check: bool = True) -> str:
     """Write the panel as a new build unless the current one has the same signature.
 
-    Returns the version that is current afterwards.
+    Returns the version that is current afterwards. A build whose keys turn out to be violated gets no
+    manifest row, so it never becomes current.
     """
     spark = panel.spark
     build = current_build(spark, path)
     if build and build["signature"] == signature and build["schema_version"] == SCHEMA_VERSION:
         return build["version"]
-    if check:
-        require_keys(panel)
     version = hashlib.sha256(f"{signature}|{uuid.uuid4().hex}".encode()).hexdigest()[:16]
     target = f"{path}/v={version}"
-    few = panel.indicators.limit(MAX_DIRECTORIES + 1).count() <= MAX_DIRECTORIES
-    _write_facts(panel.observations, target, few)
     for name in TABLES[1:]:
         table = getattr(panel, name)
         if table is not None:
             table.write.mode("errorifexists").parquet(f"{target}/{name}")
+    few = spark.read.parquet(f"{target}/indicators").count() <= MAX_DIRECTORIES
+    _write_facts(panel.observations, target, few)
+    if check:
+        # On the written columns: the sources are not computed a second time.
+        require_keys(_read_build(spark, target))
     entry = spark.range(1).select(
         F.lit(signature).alias("signature"),
         F.lit(SCHEMA_VERSION).alias("schema_version"),
@@ -113,22 +115,25 @@ def _optional(spark: SparkSession, location: str) -> DataFrame | None:
         return None
 
 
-def read_snapshot(spark: SparkSession, path: str) -> Panel:
-    """The panel of the current build; indicator filters prune directories, the rest is pushed down."""
-    build = current_build(spark, path)
-    if build is None:
-        raise ValueError(f"No snapshot at {path}.")
-    location = f"{path}/v={build['version']}"
+def _read_build(spark: SparkSession, location: str) -> Panel:
     schema = "entity_code string, period int, value double, indicator_code string"
     facts = spark.read.schema(schema).parquet(f"{location}/{FACTS}")
     return Panel(
         observations=facts.select("entity_code", "period", "indicator_code", "value"),
-        entities=spark.read.parquet(f"{location}/entities"),
-        indicators=spark.read.parquet(f"{location}/indicators"),
+        entities=lambda: spark.read.parquet(f"{location}/entities"),
+        indicators=lambda: spark.read.parquet(f"{location}/indicators"),
         **{name: _optional(spark, f"{location}/{name}") for name in TABLES[3:]},
     )
 
 
+def read_snapshot(spark: SparkSession, path: str) -> Panel:
+    """The panel of the current build; indicator filters prune directories, the rest is pushed down."""
+    build = current_build(spark, path)
+    if build is None:
+        raise ValueError(f"No snapshot at {path}.")
+    return _read_build(spark, f"{path}/v={build['version']}")
+
+
 def snapshot_status(spark: SparkSession, path: str, signature: str | None = None) -> DataFrame:
     """``(item, value)``: row counts of the four tables, signature, build time, whether it is current."""
     build = current_build(spark, path)
