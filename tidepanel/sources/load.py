@@ -30,11 +30,14 @@ NOTE_SHEET_COLUMNS = (
 ENTITY_SHEET_COLUMNS = ("entity_name", "entity_code", "region", "income", "period")
 
 
-def renamed(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def leading(df: DataFrame, names: Sequence[str], *extra: str) -> DataFrame:
     """The leading columns of a sheet, which are identified by position, under our names."""
-    return df.select(*[F.col(f"`{old}`").alias(new) for old, new in zip(df.columns, names)], *[
-        F.col(f"`{name}`") for name in df.columns[len(names):]
-    ])
+    columns = [f"{_quoted(old)} as {new}" for old, new in zip(df.columns, names)]
+    return df.selectExpr(*columns, *extra)
 
 
 def _present(value: Column) -> Column:
@@ -50,7 +53,7 @@ def load_codebook(raw: DataFrame) -> DataFrame:
     Rows without a code and the identifying columns of the data sheet are skipped; an exact ``-`` in an
     attribute is null. Duplicate codes are left for ``check_keys`` to report.
     """
-    book = renamed(raw, INDICATOR_COLUMNS).select(*INDICATOR_COLUMNS)
+    book = leading(raw, INDICATOR_COLUMNS)
     code = F.col("indicator_code")
     attributes = [
         clean_dash(F.col(name).cast("string")).alias(name) for name in INDICATOR_COLUMNS[1:]
@@ -72,8 +75,7 @@ def wide_to_observations(
     are fine. Null cells, rows without an entity and rows without a period are skipped; a cell that is
     not a number fails the load. The codebook is only needed for its codes, at most one per column.
     """
-    sheet = renamed(wide, ENTITY_SHEET_COLUMNS)
-    columns = [name for name in sheet.columns[len(ENTITY_SHEET_COLUMNS):] if name not in ignore]
+    columns = [name for name in wide.columns[len(ENTITY_SHEET_COLUMNS):] if name not in ignore]
     if isinstance(codes, DataFrame):
         header = tables.literal_table(
             wide.sparkSession, {"indicator_code": tables.TEXT}, [(name,) for name in columns]
@@ -86,21 +88,22 @@ def wide_to_observations(
         ]
     known = set(codes)
     indicators = [name for name in columns if name in known]
-    if not indicators:
-        fields = ["string", "int", "string", "double"]
-        return sheet.select(
-            *[F.lit(None).cast(t).alias(name) for name, t in zip(OBSERVATION_COLUMNS, fields)]
-        ).limit(0)
-    rows = sheet.where(_present(F.col("entity_code")) & F.col("period").isNotNull()).select(
+    # A sheet has thousands of columns: the cells of a row become one array that is exploded, because an
+    # unpivot would plan one projection per column.
+    cells = ", ".join(f"cast({_quoted(name)} as double)" for name in indicators)
+    array = f"array({cells})" if indicators else "cast(array() as array<double>)"
+    rows = leading(wide, ENTITY_SHEET_COLUMNS, f"{array} as cells").where(
+        _present(F.col("entity_code")) & F.col("period").isNotNull()
+    )
+    long = rows.select(
         F.col("entity_code").cast("string").alias("entity_code"),
         as_int(F.col("period")).alias("period"),
-        *[F.col(f"`{name}`").cast("double").alias(name) for name in indicators],
-    )
-    long = rows.unpivot(
-        ["entity_code", "period"], [F.col(f"`{name}`") for name in indicators],
-        "indicator_code", "value",
-    )
-    return long.where("value is not null").select(*OBSERVATION_COLUMNS)
+        F.posexplode("cells").alias("position", "value"),
+    ).where("value is not null")
+    # Column names are text without control characters; the split folds to one array constant.
+    names = F.split(F.lit("\x01".join(indicators)), "\x01")
+    code = F.get(names, F.col("position")).alias("indicator_code")
+    return long.select("entity_code", "period", code, "value")
 
 
 def derive_entities(wide: DataFrame) -> DataFrame:
@@ -108,7 +111,7 @@ def derive_entities(wide: DataFrame) -> DataFrame:
 
     Rows without a period still register their entity.
     """
-    sheet = renamed(wide, ENTITY_SHEET_COLUMNS)
+    sheet = leading(wide, ENTITY_SHEET_COLUMNS, "row_no")
     first = F.min_by(F.struct("entity_name", "region", "income"), "row_no")
     return (
         sheet.where(_present(F.col("entity_code")))
@@ -126,7 +129,7 @@ def load_notes(raw: DataFrame) -> DataFrame:
 
     Unlike in the codebook, a ``-`` stays as it is.
     """
-    sheet = renamed(raw, NOTE_SHEET_COLUMNS)
+    sheet = leading(raw, NOTE_SHEET_COLUMNS, "row_no")
     keys = list(NOTE_COLUMNS[:2])
     last = F.max_by(F.struct(*NOTE_COLUMNS[2:]), "row_no")
     return (
@@ -191,9 +194,13 @@ def load_panel(
     codebook: DataFrame,
     notes: DataFrame | None = None,
     version_lines: DataFrame | None = None,
+    check: bool = True,
     **dimensions: DataFrame,
 ) -> Panel:
-    """Raw sheets to a checked panel; ``dimensions`` passes own memberships or relations."""
+    """Raw sheets to a checked panel; ``dimensions`` passes own memberships or relations.
+
+    A panel that goes into a snapshot needs no check here: the build checks the written tables.
+    """
     indicators = load_codebook(codebook)
     panel = Panel(
         observations=wide_to_observations(data, indicators),
@@ -203,4 +210,4 @@ def load_panel(
         version_lines=load_version_lines(version_lines) if version_lines is not None else None,
         **dimensions,
     )
-    return require_keys(panel)
+    return require_keys(panel) if check else panel
