@@ -107,7 +107,7 @@ def order_trees(spark, folder):
     """One document tree per order: a list in a subfolder and a note beside it, as JSON text."""
     key = F.col("o_orderkey")
     size = F.floor("o_totalprice").cast("bigint")
-    millis = F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string")
+    millis = star.epoch_millis("o_orderdate").cast("string")
     modified = F.when(F.col("o_orderstatus") == "P", "unknown").otherwise(
         F.concat(F.lit("/Date("), millis, F.lit(")/"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidepanel import functions as fn
 from tidepanel.registry.base import query, rnd, rounded
-from tidepanel.sources.star_panels import table
+from tidepanel.sources.star_panels import epoch_millis, table
 
 
 @query("c1_pct_change", f"""select c_custkey,
@@ -64,14 +64,16 @@ def c4_as_int(spark, folder):
        else strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') end as stamp
 from orders""")
 def c5_dotnet_dates(spark, folder):
-    millis = F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string")
+    millis = epoch_millis("o_orderdate").cast("string")
     raw = F.when(F.col("o_orderstatus") == "P", F.lit("no date")).otherwise(
         F.concat(F.lit("/Date("), millis, F.lit(")/"))
     )
     return table(spark, folder, "orders").select(
         "o_orderkey",
         fn.dotnet_millis(raw).alias("millis"),
-        F.date_format(fn.dotnet_timestamp(raw), "yyyy-MM-dd HH:mm:ss").alias("stamp"),
+        F.date_format(
+            F.to_utc_timestamp(fn.dotnet_timestamp(raw), F.current_timezone()), "yyyy-MM-dd HH:mm:ss"
+        ).alias("stamp"),
     )
 
 

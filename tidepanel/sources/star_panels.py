@@ -77,6 +77,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def epoch_millis(column: str) -> Column:
+    """Milliseconds since 1970 of a timestamp without time zone, whatever the session's zone is."""
+    return F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', {column})")
+
+
 def _money(column: str) -> Column:
     """Exact decimal money: its sums do not depend on the order of rows."""
     return F.col(column).cast("decimal(18,2)")
