@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import decontaminate, mixing, quality, simhash
+from tidepanel.llm import decontaminate, mixing, quality, simhash, tokens
 from tidepanel.llm.common import saved, table
 
 
@@ -28,11 +28,18 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return mixing.mixed_documents(docs)
 
 
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token shards in training order; one row per sequence, with the checksum read back from its shard."""
+    index = tokens.write_training_order(docs)
+    return tokens.read_back(index).select("doc_id", "slot", "shard", "start", "n_tokens", "read_crc32")
+
+
 STAGES = [
     ("quality", quality_filter),
     ("near_dedup", near_dedup),
     ("decontamination", decontamination),
     ("mixing", source_mixing),
+    ("tokens", token_output),
 ]
 
 #: SQL can express neither the classifier nor the training order; tests hold every stage against brute force.

@@ -38,6 +38,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str):
+    """A column by its plain name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def with_row_id(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` with a struct column that identifies each row, its file and its number in that file; its name.
 

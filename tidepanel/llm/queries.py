@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import decontaminate, mixing, quality, secrets_scan, simhash
+from tidepanel.llm import (
+    decontaminate, html_text, mixing, nearest, quality, secrets_scan, sharding, simhash, suffixes, tokens,
+)
 from tidepanel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +60,53 @@ def op4_simhash_near_dedup(spark, folder):
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op5_html_extraction")
+def op5_html_extraction(spark, folder):
+    return html_text.extracted(table(spark, folder, "pages")).select("page_id", "text")
+
+
+@query("op6_sharding")
+def op6_sharding(spark, folder):
+    written = sharding.write_shards(table(spark, folder, "documents").select("doc_id", "text"))
+    return written.select(
+        "record.doc_id", sharding.record_size(F.col("record.text")).alias("size"),
+        F.crc32(F.coalesce("record.text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+NEAREST_SQL = """with usable as (
+  select vec_id, [x::double for x in embedding] as v from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+    and len([x for x in embedding if x <> 0]) > 0),
+pairs as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v) as score
+  from usable q join usable c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+  where q.vec_id % 20 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank,
+       vec_id, score
+from pairs qualify rank <= 20"""
+
+
+@query("op7_nearest_neighbours", NEAREST_SQL)
+def op7_nearest_neighbours(spark, folder):
+    return nearest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % nearest.EVERY == 0)
+
+
+@query("op8_token_output")
+def op8_token_output(spark, folder):
+    index = tokens.write_training_order(table(spark, folder, "documents"))
+    return tokens.read_back(index).select("doc_id", "slot", "shard", "start", "n_tokens", "read_crc32")
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark, folder):
+    return suffixes.removals(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 SIZE = "coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)"
 
 
