@@ -393,16 +393,15 @@ def kept_text(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
-                   gram: int = GRAM, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What is repeated in ``docs``; ``gram`` must be shorter than ``length``.
+def repeated_spans(located: DataFrame, rid: str, doc_id: str, text: str, length: int, gram: int,
+                   bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is repeated in documents whose column ``rid`` identifies each; ``gram`` must be shorter than ``length``.
 
     Three written tables: ``rows (doc_id, rid, key, n_bytes, sha256)``, one per input row, with ``key`` the MD5 of
     the text; ``texts (key, text, copies)``, texts that may hold repeats, once each; ``spans (key, spans)``,
     stretches of them that other places of the corpus cover. A text with several copies is covered wholly if it is
     at least ``length`` long; its spans count only what other texts show.
     """
-    located, rid = with_row_id(docs)
     whole = located.select(
         F.col(doc_id).alias("doc_id"), F.col(rid).alias("rid"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
@@ -452,7 +451,11 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
     stay as they are. Ids are only carried, so they may be null or repeated; an empty table gives no rows; other
     columns are not read.
     """
-    rows, texts, spans = repeated_spans(docs, doc_id, text, length, gram, bucket)
+    return _removals(*with_row_id(docs), doc_id, text, length, gram, bucket)
+
+
+def _removals(located: DataFrame, rid: str, doc_id: str, text: str, length: int, gram: int, bucket: int) -> DataFrame:
+    rows, texts, spans = repeated_spans(located, rid, doc_id, text, length, gram, bucket)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -481,7 +484,8 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
         F.lower(F.hex(F.coalesce("kept", "sha256"))).alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
+                    gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text``, which becomes binary: a cut may fall inside a character.
 
     Other columns stay as they are; see ``removals``.
@@ -494,6 +498,7 @@ def without_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame
                          for t, found in zip(texts.to_pylist(), spans.to_pylist())], pa.binary())
 
     name = free_name(located, "_spans")
-    found = removals(docs, text=text, **options).select(F.col("rid").alias(rid), F.col("spans").alias(name))
+    found = _removals(located, rid, doc_id, text, length, gram, bucket).select(
+        F.col("rid").alias(rid), F.col("spans").alias(name))
     return (located.join(found, rid).withColumn(text, cut(F.col(text).cast("binary"), F.col(name)))
             .select(*[quoted(c) for c in docs.columns]))
