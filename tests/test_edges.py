@@ -80,7 +80,7 @@ def test_no_known_column_gives_no_facts(spark):
 
 
 def test_ambiguous_names(panel, spark):
-    with pytest.raises(ValueError, match=r"Ambiguous entity 'niger': 2 matches \(Niger, Nigeria\)"):
+    with pytest.raises(ValueError, match=r"'niger' is ambiguous. Entities that fit: 2, first Niger / Nigeria"):
         resolve.entity_codes(panel, ["niger"])
     asked = tables.literal_table(
         spark, {"spelling": tables.TEXT},
@@ -98,17 +98,41 @@ def test_ambiguous_names(panel, spark):
     assert {r["spelling"]: r for r in exact.collect()}["niger"]["entity_code"] == "NER"
 
 
-def test_long_lists_resolve_like_short_ones(panel, monkeypatch):
-    names = ["US", "Peru", "COL", "Nigeria"]
-    short = resolve.entity_codes(panel, names)
-    monkeypatch.setattr(resolve, "SHORT_LIST", 0)
-    assert resolve.entity_codes(panel, names) == short == ["USA", "PER", "COL", "NGA"]
-    with pytest.raises(ValueError, match="ambiguous"):
-        resolve.entity_codes(panel, ["niger"])
-    monkeypatch.setattr(select, "IN_LIST_LIMIT", 1)
+def test_lists_of_any_length_resolve_alike(panel):
+    names = ["US", "\tPeru", "\u00a0COL\x1c", "Nigeria"]
+    assert resolve.entity_codes(panel, names) == ["USA", "PER", "COL", "NGA"]
+    assert resolve.entity_codes(panel, [name + " " * i for i in range(60) for name in names]) == ["USA", "PER", "COL", "NGA"]
+    for bad, message in (("\n", "cannot be empty"), ("niger", "ambiguous"), ("Atlantis", "Could not resolve")):
+        for many in ([bad], names * 60 + [bad]):
+            with pytest.raises(ValueError, match=message):
+                resolve.entity_codes(panel, many)
     assert select.selected_entities(panel, Selection(entities=names)).count() == 4
 
 
+def test_spellings_are_stripped_of_all_white_space(panel, spark):
+    asked = tables.literal_table(spark, {"spelling": tables.TEXT}, [("\tPeru",), ("\u00a0us\u2003",), ("\x1f\n",)])
+    rows = {r["spelling"]: r["entity_code"] for r in resolve.resolve_entities(asked, "spelling", panel).collect()}
+    assert rows == {"\tPeru": "PER", "\u00a0us\u2003": "USA", "\x1f\n": None}
+
+
+def test_blank_query_finds_everything(panel, spark):
+    asked = tables.literal_table(spark, {"q": tables.TEXT}, [("",), ("\t",), ("niger",), (None,)])
+    rows = resolve.find_entities(panel, asked, "q").groupBy("q").count().collect()
+    n = panel.entities.count()
+    assert {r["q"]: r["count"] for r in rows} == {"": n, "\t": n, "niger": 2}
+    assert resolve.find_entity(panel, " ").count() == n
+
+
+def test_parents_are_known_for_the_codebook_only(panel):
+    codes = {r["indicator_code"] for r in panel.indicators.collect()}
+    assert {r["child_code"] for r in hierarchy.known_parents(panel).collect()} <= codes
+
+
+def test_selection_as_one_group(panel):
+    row = summarize.summarize_groups(panel, None, ["che_gdp"], sel=Selection(entities=["NER", "NGA", "GHA", "TCD"])).head()
+    assert (row["group_code"], row["n"], row["median"], row["entity_count"]) == ("selection", 3, 4.0, 4)
+
+
 def test_change_rates(panel):
     rows = {r["entity_code"]: r for r in summarize.indicator_trends(panel, ["che_gdp"]).collect()}
     assert rows["NER"]["percent_change"] is None and rows["NER"]["cagr"] is None

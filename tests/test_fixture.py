@@ -253,18 +253,22 @@ def test_tags(spark):
         "che_gdp", "che_pc_usd", "che_ppp_pc", "che", "che_usd", "che_usd2023"]
 
 
-def test_large_dictionary_gives_the_same_tags(spark, monkeypatch):
+def test_dictionaries_count_as_listed(spark):
     texts = spark.createDataFrame(
-        [(i, t) for i, t in enumerate(["alpha beta", "BETA gamma delta", "", "delta delta alpha", "x"])],
+        [(1, "alpha beta"), (1, "alpha beta"), (None, "a cat"), (3, ""), (4, None), (5, "delta delta alpha")],
         "id int, text string",
     )
-    words = {"a": ["alpha", "al", "zeta"], "b": ["Beta", "eta"], "c": ["gamma", "delta"]}
-    small = {tuple(r) for r in tagging.tag_texts(texts, ["id"], "text", words, 2).collect()}
-    phrases = {tuple(map(str, r)) for r in tagging.match_phrases(texts, ["id"], "text", words).collect()}
-    monkeypatch.setattr(tagging, "INLINE_PHRASES", 0)
-    large = {tuple(r) for r in tagging.tag_texts(texts, ["id"], "text", words, 2).collect()}
-    assert small == large
-    assert phrases == {tuple(map(str, r)) for r in tagging.match_phrases(texts, ["id"], "text", words).collect()}
+    words = {"a": ["alpha", "al", "zeta"], "b": ["Beta", "cat", "cat"], "c": ["gamma", "delta"], "d": []}
+    words |= {f"x{i}": [f"never {i} {j}" for j in range(20)] for i in range(100)}
+    tags = sorted((r["id"] or 0, r["rank"], r["tag"], r["score"]) for r in
+                  tagging.tag_texts(texts, ["id"], "text", words, 2).collect())
+    assert tags == sorted([
+        (1, 1, "a", 2), (1, 2, "b", 1), (1, 1, "a", 2), (1, 2, "b", 1), (0, 1, "b", 2), (3, 1, "core_spending", 1),
+        (4, 1, "core_spending", 1), (5, 1, "a", 2), (5, 2, "c", 1)])
+    phrases = sorted((r["id"] or 0, r["indicator_code"], r["matched_phrases"])
+                     for r in tagging.match_phrases(texts, ["id"], "text", words).collect())
+    assert phrases == sorted([(1, "a", ["alpha", "al"]), (1, "b", ["Beta"])] * 2 + [
+        (0, "b", ["cat", "cat"]), (5, "a", ["alpha", "al"]), (5, "c", ["delta"])])
 
 
 TREE = """{"IsFolder": true, "Children": [{"IsFolder": true, "Name": "Download all data", "Children": [
@@ -293,6 +297,24 @@ def test_catalog(spark):
         catalog.flatten_catalog(trees, max_depth=1).collect()
 
 
+def test_catalog_of_any_depth_is_listed_depth_first(spark):
+    def file(i, children="null"):
+        return '{"IsFolder":%s,"Identifier":%d,"Name":"x [%d","FileType":".f","Children":%s}' % (
+            "false", i, i, children)
+
+    deep = file(1)
+    for _ in range(12):
+        deep = '{"IsFolder":true,"Children":[%s,null]}' % deep
+    tree = '{"Children":[%s,%s,%s],"Identifier":9,"Name":"x"}' % (deep, file(2, f"[{file(3)}]"), file(4))
+    rows = [(0, tree), (1, file(5)), (2, '{"IsFolder":true}'), (3, None), (4, '{"IsFolder":true,"Children":[]}')]
+    trees = tables.literal_table(spark, {"t": tables.INT, "tree": tables.TEXT}, rows)
+    found = catalog.flatten_catalog(trees, keep=["t"]).orderBy("t", "position").collect()
+    assert [(r["t"], r["position"], r["doc_id"]) for r in found] == [
+        (0, 0, 9), (0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 4), (1, 0, 5)]
+    newest = catalog.latest_document(catalog.flatten_catalog(trees, keep=["t"]), "x [", ".f", ["t"]).collect()
+    assert {r["t"]: r["doc_id"] for r in newest} == {0: 1, 1: 5}
+
+
 def test_catalog_changes(spark):
     columns = "series int, doc_id bigint, size bigint, modified_raw string, name string"
     old = spark.createDataFrame([(1, 7, 10, "a", "n"), (2, 8, None, "a", "n"), (3, 9, 1, "a", "n")], columns)
@@ -327,10 +349,12 @@ def test_snapshot_prunes_and_pushes_down(spark, panel, tmp_path):
     snapshot.build_snapshot(panel, path, "a")
     facts = snapshot.read_snapshot(spark, path).observations
     plan = facts.where("indicator_code = 'che' and period >= 2023").select("value")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
     text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(indicator_code" in text
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(indicator_code,che)" in text
     assert "GreaterThanOrEqual(period,2023)" in text
-    assert "ReadSchema: struct<period:int,value:double>" in text
+    assert "ReadSchema: struct<period:int,value:double,indicator_code:string>" in text
 
 
 def test_package(spark, panel, tmp_path):
@@ -340,4 +364,4 @@ def test_package(spark, panel, tmp_path):
     assert read.csv(f"{path}/data").count() == 3
     assert codes(read.csv(f"{path}/codebook"), "indicator_code") == ["che_gdp", "hc11"]
     assert codes(read.csv(f"{path}/availability"), "observation_count") == ["3", "0"]
-    assert "Rows: 3" in codes(spark.read.text(f"{path}/readme"), "value")
+    assert "rows = 3" in codes(spark.read.text(f"{path}/readme"), "value")

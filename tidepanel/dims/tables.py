@@ -49,9 +49,8 @@ def memberships(spark: SparkSession) -> DataFrame:
     return literal_table(spark, {"group_code": TEXT, "position": INT, "entity_code": TEXT}, rows)
 
 
-def _spellings(spark: SparkSession, table: Mapping[str, Sequence[str]], name: str) -> DataFrame:
-    rows = [(key, canonical) for canonical, keys in table.items() for key in keys]
-    return literal_table(spark, {"alias_key": TEXT, name: TEXT}, rows)
+def _spellings(spark: SparkSession, table: Mapping[str, str], name: str) -> DataFrame:
+    return literal_table(spark, {"alias_key": TEXT, name: TEXT}, table.items())
 
 
 def entity_aliases(spark: SparkSession) -> DataFrame:
@@ -70,11 +69,10 @@ def income_aliases(spark: SparkSession) -> DataFrame:
     """Spelling -> label rows; ``tier`` 0 marks the collective spellings, which map to many labels."""
     rows = [
         (key, 0, position, label)
-        for labels, keys in fixed.COLLECTIVE_INCOME_SPELLINGS
-        for key in keys
+        for key, labels in fixed.COLLECTIVE_INCOME_SPELLINGS.items()
         for position, label in enumerate(labels)
     ]
-    rows += [(key, 1, 0, label) for label, keys in fixed.INCOME_SPELLINGS.items() for key in keys]
+    rows += [(key, 1, 0, label) for key, label in fixed.INCOME_SPELLINGS.items()]
     columns = {"alias_key": TEXT, "tier": INT, "position": INT, "income": TEXT}
     return literal_table(spark, columns, rows)
 

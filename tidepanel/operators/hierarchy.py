@@ -101,12 +101,13 @@ def hierarchy_edges(panel: Panel) -> DataFrame:
 
 
 def known_parents(panel: Panel) -> DataFrame:
-    """Every parent of every indicator, curated first: ``(child, parent, relationship, source)``.
+    """Every parent of every indicator of the codebook: ``(child, parent, relationship, source)``.
 
     An inferred parent is looked up by the child's long code without its last segment; unlike the
     edges, the segment may contain an underscore here.
     """
-    curated = panel.additive_relations.select(
+    codes = panel.indicators.select(F.col("indicator_code").alias("child_code"))
+    curated = panel.additive_relations.join(codes, "child_code", "left_semi").select(
         "child_code", "parent_code", "relationship_id", F.lit(CURATED_SOURCE).alias("source")
     ).distinct()
     inferred = _tree_edges(panel, NAMED_PARENT, TREE_PREFIX.rstrip(".")).select(
@@ -177,16 +178,11 @@ def named_edges(
     return edges
 
 
-def breakdown_totals(
-    panel: Panel, edges: DataFrame | None = None, sel: Selection = ALL
-) -> DataFrame:
-    """Parent against the sum of its children for every (parent, relationship, entity, period).
+def _sums(panel: Panel, edges: DataFrame, sel: Selection, *extra: Column) -> DataFrame:
+    """Parent value, child sum and child count per key, in one pass over the facts.
 
-    One pass: each fact is tagged with the relations in which it is the parent or a child, then one
-    aggregation combines both sides. A missing child counts as 0. A difference needs a parent value,
-    a relative difference one that is not 0, and only a defined relative difference can be balanced.
+    Each fact is tagged with the relations in which it is the parent or a child; one aggregation combines both.
     """
-    edges = hierarchy_edges(panel) if edges is None else edges
     relation = ["parent_code", "relationship_id"]
     as_child = edges.select(*relation, F.col("child_code").alias("indicator_code"), F.lit(True).alias("is_child"))
     as_parent = edges.select(*relation, F.col("parent_code").alias("indicator_code"), F.lit(False).alias("is_child"))
@@ -198,6 +194,7 @@ def breakdown_totals(
         F.max(parent).alias("parent_value"),
         F.coalesce(F.sum(child), F.lit(0.0)).alias("child_sum"),
         F.count(child).alias("child_count"),
+        *extra,
     )
     difference = F.col("child_sum") - F.col("parent_value")
     relative = F.try_divide(F.col("difference"), F.col("parent_value"))
@@ -211,32 +208,51 @@ def breakdown_totals(
     )
 
 
+def breakdown_totals(
+    panel: Panel, edges: DataFrame | None = None, sel: Selection = ALL
+) -> DataFrame:
+    """Parent against the sum of its children for every (parent, relationship, entity, period).
+
+    A missing child counts as 0. A difference needs a parent value, a relative difference one that is not 0, and
+    only a defined relative difference can be balanced.
+    """
+    return _sums(panel, hierarchy_edges(panel) if edges is None else edges, sel)
+
+
 def additive_breakdown(
     panel: Panel,
     edges: DataFrame | None = None,
     sel: Selection = ALL,
 ) -> DataFrame:
-    """One row per child of every breakdown, missing children included, with its share of the parent."""
+    """One row per child of every breakdown, missing children included, with its share of the parent.
+
+    The aggregation that sums the children also lists them, so the facts are read once; a list is as long as a
+    relation has children. Children of the relation that the list lacks are added with a null value.
+    """
     edges = hierarchy_edges(panel) if edges is None else edges
-    totals = breakdown_totals(panel, edges, sel)
-    known = panel.indicators.select(
-        F.col("indicator_code").alias("child_code"), "indicator_name", F.lit(True).alias("__known")
-    )
-    children = (
-        edges.select("parent_code", "relationship_id", "priority", "position", "child_code")
-        .join(known, "child_code", "left")
-        .withColumn("child_known", F.col("__known").isNotNull())
-        .withColumnRenamed("indicator_name", "child_name")
-        .drop("__known")
-    )
-    facts = select_observations(panel, None, sel).select(
-        F.col("indicator_code").alias("child_code"), "entity_code", "period",
-        F.col("value").alias("child_value"),
+    relation = ["parent_code", "relationship_id"]
+    present = F.collect_list(F.when(F.col("is_child"), F.struct(
+        F.col("indicator_code").alias("child_code"), F.col("value").alias("child_value"))))
+    totals = _sums(panel, edges, sel, present.alias("__present")).drop("child_count")
+    listed = edges.groupBy(*relation).agg(F.collect_set("child_code").alias("__all"))
+    codes = F.transform("__present", lambda child: child["child_code"])
+    missing = F.transform(
+        F.array_except("__all", codes),
+        lambda code: F.struct(code.alias("child_code"), F.lit(None).cast("double").alias("child_value")),
     )
-    rows = totals.join(children, ["parent_code", "relationship_id"]).join(
-        facts, ["child_code", "entity_code", "period"], "left"
+    children = totals.join(listed, relation).withColumn("__child", F.explode(F.concat("__present", missing)))
+    known = panel.indicators.select(
+        F.col("indicator_code").alias("child_code"), F.col("indicator_name").alias("child_name"),
+        F.lit(True).alias("__known"),
     )
-    return rows.withColumn("share", F.try_divide("child_value", "parent_value")).select(
+    named = edges.select(*relation, "priority", "position", "child_code").join(known, "child_code", "left")
+    rows = children.withColumns({
+        "child_code": F.col("__child.child_code"), "child_value": F.col("__child.child_value"),
+    }).join(named, [*relation, "child_code"])
+    return rows.withColumns({
+        "child_known": F.col("__known").isNotNull(),
+        "share": F.try_divide("child_value", "parent_value"),
+    }).select(
         *BREAKDOWN_KEY, "priority", "position", "child_code", "child_name", "child_known",
         "child_value", "share", "parent_value", "child_sum", "difference", "relative_difference",
         "balanced",

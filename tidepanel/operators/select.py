@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.dims import fixed, tables
-from tidepanel.functions import contains_any, equals_any
+from tidepanel.functions import contains_any, equals_any, stripped
 from tidepanel.model import (
     ALL,
     DATA_COLUMNS,
@@ -29,19 +29,14 @@ from tidepanel.plans import substring_pairs, top_per_group
 SERIES_KEY = ["indicator_code", "entity_code"]
 SEARCHED_COLUMNS = INDICATOR_COLUMNS[:-1]
 HEADLINE = "INDICATORS"
-# Longer code lists become a semi join instead of an IN list.
-IN_LIST_LIMIT = 1000
 
 
 # ---- F1: selection ----------------------------------------------------------------------------------
 
 
 def _in_codes(df: DataFrame, column: str, codes: Sequence[str]) -> DataFrame:
-    codes = list(dict.fromkeys(codes))
-    if len(codes) <= IN_LIST_LIMIT:
-        return df.where(F.col(column).isin(codes))
-    wanted = tables.literal_table(df.sparkSession, {column: tables.TEXT}, [(code,) for code in codes])
-    return df.join(wanted, column, "left_semi")
+    """Rows of the codes a caller listed; a filter the scan can evaluate, however long the list is."""
+    return df.where(F.col(column).isin(list(dict.fromkeys(codes))))
 
 
 def require_indicators(panel: Panel, codes: Sequence[str]) -> list[str]:
@@ -88,6 +83,12 @@ def _facts(panel: Panel, codes: Sequence[str] | None, sel: Selection) -> DataFra
     return facts
 
 
+def _filtered_facts(panel: Panel, codes: Sequence[str] | None, sel: Selection) -> DataFrame:
+    """Facts cut by the whole selection before anything is aggregated; unfiltered entities cost no join."""
+    facts = _facts(panel, codes, sel)
+    return members_only(facts, selected_entities(panel, sel)) if sel.filters_entities else facts
+
+
 def select_observations(
     panel: Panel, codes: Sequence[str] | None = None, sel: Selection = ALL
 ) -> DataFrame:
@@ -142,25 +143,24 @@ def latest_of_series(facts: DataFrame) -> DataFrame:
 def latest_observations(
     panel: Panel, codes: Sequence[str] | None = None, sel: Selection = ALL
 ) -> DataFrame:
-    """Last observation of every (indicator, entity) after all filters, as narrow facts.
-
-    Entity filters commute with the aggregation, so they run on its much smaller result.
-    """
-    latest = latest_of_series(_facts(panel, codes, sel))
-    return members_only(latest, selected_entities(panel, sel))
+    """Last observation of every (indicator, entity) after all filters, as narrow facts of known entities."""
+    latest = latest_of_series(_filtered_facts(panel, codes, sel))
+    return latest if sel.filters_entities else members_only(latest, panel.entities)
 
 
 def latest_per_entity(
     panel: Panel, codes: Sequence[str] | None = None, sel: Selection = ALL
 ) -> DataFrame:
     """Tidy rows of the last observation of every (indicator, entity)."""
-    latest = latest_of_series(_facts(panel, codes, sel))
-    return tidy(panel, latest, selected_entities(panel, sel))
+    latest = latest_of_series(_filtered_facts(panel, codes, sel))
+    return tidy(panel, latest, panel.entities)
 
 
-def as_of_values(panel: Panel, codes: Sequence[str] | None, period: int | None) -> DataFrame:
-    """Last value at or before ``period`` per (indicator, entity)."""
-    return latest_of_series(_facts(panel, codes, Selection(end=period)))
+def as_of_values(
+    panel: Panel, codes: Sequence[str] | None, period: int | None, sel: Selection = ALL
+) -> DataFrame:
+    """Last value at or before ``period`` per (indicator, entity) of the selection's entities."""
+    return latest_of_series(_filtered_facts(panel, codes, sel.between(None, period)))
 
 
 # ---- F2, P1-P4: data queries -----------------------------------------------------------------------------
@@ -298,16 +298,16 @@ def search_indicators(
 
 
 def search_indicators_batch(panel: Panel, queries: DataFrame, column: str) -> DataFrame:
-    """``(query, indicator_code)`` for a table of query texts, as an equi-join on character grams.
+    """``(query, indicator_code)`` for a table of query texts, as an equi-join on character grams; blank ones match none.
 
     The searched attributes are joined by a character that no query can contain, so one text per
     codebook row is matched.
     """
-    wanted = queries.select(F.lower(F.trim(column)).alias("needle")).where("needle != ''").distinct()
+    wanted = queries.select(F.lower(stripped(F.col(column))).alias("needle")).where("needle != ''").distinct()
     text = F.concat_ws("\x00", *[F.lower(F.col(name)) for name in SEARCHED_COLUMNS])
     book = panel.indicators.select("indicator_code", text.alias("__text"))
     pairs = substring_pairs(book, "__text", ["indicator_code"], wanted).drop("__text")
-    asked = queries.select(column, F.lower(F.trim(column)).alias("needle"))
+    asked = queries.select(column, F.lower(stripped(F.col(column))).alias("needle"))
     return asked.join(pairs, "needle").select(column, "indicator_code")
 
 
@@ -394,8 +394,9 @@ def select_by_topic(panel: Panel, topic: str, topics: DataFrame | None = None) -
         return panel.observations.where(equals_any(F.col("indicator_code"), topic_indicators(panel, topic)))
     of_topic = topics.where(F.col("topic_id") == topic).select("indicator_code")
     if of_topic.isEmpty():
-        known = [row[0] for row in topics.select("topic_id").distinct().orderBy("topic_id").limit(50).collect()]
-        raise ValueError(f"Unknown topic '{topic}'. Available: {', '.join(known)}.")
+        names = topics.select("topic_id").distinct().orderBy("topic_id").limit(resolve.SHOWN_LABELS + 1)
+        known = resolve.shown_list([row[0] for row in names.collect()])
+        raise ValueError(f"Unknown topic '{topic}'. Available: {known}.")
     return panel.observations.join(of_topic, "indicator_code", "left_semi")
 
 
@@ -416,7 +417,7 @@ def entity_profile(
     codes = require_indicators(panel, codes)
     wanted = F.posexplode(F.array(*[F.lit(code) for code in codes]))
     grid = selected_entities(panel, sel).select(*ENTITY_COLUMNS, wanted.alias("position", "indicator_code"))
-    values = as_of_values(panel, codes, period)
+    values = as_of_values(panel, codes, period, sel)
     attributes = ["indicator_code", "indicator_name", "unit", "currency", "category_1", "category_2"]
     rows = grid.join(values, ["indicator_code", "entity_code"], "left").join(
         panel.indicators.select(*attributes), "indicator_code", "left"

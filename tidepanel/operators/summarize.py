@@ -13,7 +13,7 @@ from tidepanel.functions import cagr, is_blank, pct_change
 from tidepanel.model import ALL, ENTITY_COLUMNS, Panel, Selection
 from tidepanel.operators.select import (
     SERIES_KEY,
-    _facts,
+    _filtered_facts,
     latest_of_series,
     members_only,
     ordered_page,
@@ -25,6 +25,7 @@ from tidepanel.plans import grouped_order_statistics, top_per_group
 
 CHANGE_METRICS = ("absolute_change", "percent_change", "cagr")
 GROUPINGS = ("region", "income", "group")
+SELECTION = "selection"
 TREND_COLUMNS = (
     "indicator_code", "entity_code", "entity_name", "region", "income", "first_period",
     "first_value", "latest_period", "latest_value", "period_count", "period_span",
@@ -104,8 +105,15 @@ def group_counts(panel: Panel) -> DataFrame:
 # ---- A4, W4: group statistics -----------------------------------------------------------------------------
 
 
-def group_assignment(panel: Panel, by: str, entities: DataFrame) -> DataFrame:
-    """``(entity_code, group_code)`` by region, income or curated group; an entity may be in many."""
+def group_assignment(panel: Panel, by: str | None, entities: DataFrame) -> DataFrame:
+    """``(entity_code, group_code)`` by region, income or curated group; an entity may be in many.
+
+    ``by=None`` makes all entities one group, named ``selection``.
+    """
+    if by is None:
+        # Computed per row: joins on a constant would be planned as cross joins.
+        name = F.concat(F.substring("entity_code", 1, 0), F.lit(SELECTION))
+        return entities.select("entity_code", name.alias("group_code"))
     if by not in GROUPINGS:
         raise ValueError(f"by must be one of {', '.join(GROUPINGS)}")
     if by == "group":
@@ -116,7 +124,7 @@ def group_assignment(panel: Panel, by: str, entities: DataFrame) -> DataFrame:
 
 def _group_facts(
     panel: Panel,
-    by: str,
+    by: str | None,
     codes: Sequence[str] | None,
     period: int | None,
     latest_only: bool,
@@ -124,10 +132,10 @@ def _group_facts(
 ) -> tuple[DataFrame, DataFrame]:
     assignment = group_assignment(panel, by, selected_entities(panel, sel))
     if period is not None:
-        sel = Selection(start=period, end=period)
+        sel = sel.between(period, period)
     # The facts are used more than once per query, with different columns and joins. Testing the key, which
     # is never null, keeps the uses alike below their last shuffle, so Spark runs that part only once.
-    facts = _facts(panel, codes, sel).where("indicator_code is not null and entity_code is not null")
+    facts = _filtered_facts(panel, codes, sel).where("indicator_code is not null and entity_code is not null")
     if latest_only and period is None:
         facts = latest_of_series(facts)
     return facts.where("period is not null").join(assignment, "entity_code"), assignment
@@ -135,7 +143,7 @@ def _group_facts(
 
 def summarize_groups(
     panel: Panel,
-    by: str,
+    by: str | None,
     codes: Sequence[str] | None = None,
     period: int | None = None,
     latest_only: bool = True,
@@ -143,7 +151,7 @@ def summarize_groups(
 ) -> DataFrame:
     """Statistics of every (indicator, group): n, mean, exact median, min, max, coverage, periods.
 
-    ``period`` selects that period only. Otherwise the latest row of each entity counts, or with
+    ``by=None`` summarises the selection as one group. ``period`` selects that period only. Otherwise the latest row of each entity counts, or with
     ``latest_only=False`` every row. Statistics are unweighted. With requested ``codes`` every pair
     of code and group appears, also without data. ``periods`` is the sorted set of periods seen.
     """
@@ -182,7 +190,7 @@ def summarize_groups(
 
 def top_bottom(
     panel: Panel,
-    by: str,
+    by: str | None,
     codes: Sequence[str] | None = None,
     n: int = 5,
     period: int | None = None,
@@ -224,7 +232,7 @@ def _trend_rows(
     min_span: int | None,
 ) -> DataFrame:
     """First and latest point of every series, one combined pass over the facts."""
-    ends = _facts(panel, codes, sel).groupBy(*SERIES_KEY).agg(
+    ends = _filtered_facts(panel, codes, sel).groupBy(*SERIES_KEY).agg(
         F.min("period").alias("first_period"),
         F.min_by("value", "period").alias("first_value"),
         F.max("period").alias("latest_period"),
@@ -243,9 +251,7 @@ def _trend_rows(
         rows = rows.where(F.col("period_count") >= min_count)
     if min_span is not None:
         rows = rows.where(F.col("period_span") >= min_span)
-    return rows.join(selected_entities(panel, sel).select(*ENTITY_COLUMNS), "entity_code").select(
-        *TREND_COLUMNS
-    )
+    return rows.join(panel.entities.select(*ENTITY_COLUMNS), "entity_code").select(*TREND_COLUMNS)
 
 
 def indicator_trends(

@@ -1,13 +1,10 @@
 """Exact medians of groups of any size.
 
-``median`` keeps every distinct value of a group in one buffer, which a group of billions of rows does
-not survive. Here a first aggregation brackets the median of each large group between two approximate
-quantiles whose rank error is bounded; a second one counts values clamped to that bracket. Clamping
-leaves the k-th smallest value unchanged as long as it lies inside the bracket, so the result is
-exact, and all the rows outside collapse to two counters per task.
-
-The bracket is joined to the rows by group and a salt taken from the value, so that a hot group spreads
-over many tasks although the join key alone would not split it.
+``median`` keeps every distinct value of a group in one buffer, which a group of billions of rows does not survive.
+Here equal values are counted first, and the middle ranks are found by radix selection: a double's bits, read as an
+integer in the order of the values, are split into three parts. A round counts the values of a group by the next
+part, adds the counts up and goes on in the part where the rank falls. A round's running sum has at most ``2**22``
+rows per group whatever the data, every rank is found exactly, and what is shuffled are counts.
 """
 
 from __future__ import annotations
@@ -17,12 +14,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rank error of percentile_approx is at most n / ACCURACY, far inside the +-MARGIN * n bracket.
-ACCURACY = 10_000
-MARGIN = 0.002
-# Groups up to this size are counted without a bracket: at most this many values per group.
-SMALL_GROUP = 10_000
-SALTS = 32
+#: Low bits still undecided after each round.
+ROUNDS = (42, 21, 0)
+SIGN = 0x7FFF_FFFF_FFFF_FFFF
+
+
+def ordered_bits(value: Column) -> Column:
+    """A double as a long in the same order; both zeros are one value, NaN is the largest."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("bigint")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(SIGN))).otherwise(bits)
+
+
+def from_bits(bits: Column) -> Column:
+    raw = F.when(bits < 0, bits.bitwiseXOR(F.lit(SIGN))).otherwise(bits)
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), raw).cast("double")
 
 
 def grouped_order_statistics(
@@ -31,7 +36,6 @@ def grouped_order_statistics(
     value: str,
     extra: Sequence[Column],
     median: str = "median",
-    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """``keys``, the ``extra`` aggregates and the exact median of the non-null ``value`` per group.
 
@@ -39,65 +43,35 @@ def grouped_order_statistics(
     """
     keys = list(keys)
     number = F.col(value)
-    quantiles = F.percentile_approx(number, F.array(F.lit(0.5 - MARGIN), F.lit(0.5 + MARGIN)), ACCURACY)
-    summary = df.groupBy(*keys).agg(
-        *extra, F.count(number).alias("__n"), quantiles.alias("__quantiles")
-    )
-    large = F.col("__n") > small_group
-    brackets = summary.select(
-        *keys,
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"),
-        "__n",
-        F.when(large, F.col("__quantiles")[0]).alias("__low"),
-        F.when(large, F.col("__quantiles")[1]).alias("__high"),
-    )
-    raw = F.col("__raw")
-    inside = F.when(F.col("__low").isNull(), raw).otherwise(
-        F.greatest(F.least(raw, F.col("__high")), F.col("__low"))
-    )
-    salted = df.where(number.isNotNull()).select(
-        *keys, number.alias("__raw"), F.pmod(F.hash(number), F.lit(SALTS)).alias("__salt")
-    )
-    # Grouping by the salt first keeps the partitioning of the join, so the rows are not shuffled again.
+    summary = df.groupBy(*keys).agg(*extra, F.count(number).alias("__n"))
+    # Counting the values themselves first: their bits are then taken once per distinct value.
     counted = (
-        salted.join(brackets, [*keys, "__salt"])
-        .select(*keys, "__salt", "__n", "__low", "__high", inside.alias("__value"), "__raw")
-        .groupBy(*keys, "__salt", "__value")
-        .agg(
-            F.max("__n").alias("__n"),
-            F.count(F.lit(1)).alias("__rows"),
-            F.count_if(F.col("__raw") < F.col("__low")).alias("__below"),
-            F.count_if(F.col("__raw") > F.col("__high")).alias("__above"),
-        )
-        .groupBy(*keys, "__value")
-        .agg(
-            F.max("__n").alias("__n"),
-            *[F.sum(name).alias(name) for name in ("__rows", "__below", "__above")],
-        )
-    )
-    running = F.sum("__rows").over(
-        Window.partitionBy(*keys).orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)
+        df.where(number.isNotNull()).groupBy(*keys, number.alias("__value"))
+        .agg(F.count(F.lit(1)).alias("__rows"))
+        .select(*keys, ordered_bits(F.col("__value").cast("double")).alias("__bits"), "__rows")
     )
-    left = F.floor((F.col("__n") + 1) / 2)
-    right = F.floor(F.col("__n") / 2) + 1
-
-    def covers(rank: Column) -> Column:
-        return (F.col("__upto") - F.col("__rows") < rank) & (rank <= F.col("__upto"))
-
-    middle = (
-        counted.withColumn("__upto", running)
-        .where(covers(left) | covers(right))
-        .groupBy(*keys)
-        .agg(
-            F.max(F.when(covers(left), F.col("__value"))).alias("__left"),
-            F.max(F.when(covers(right), F.col("__value"))).alias("__right"),
-            F.max(F.col("__below") >= left).alias("__missed_low"),
-            F.max(F.col("__above") > F.col("__n") - right).alias("__missed_high"),
+    sides = F.array(*[
+        F.struct(F.lit(side).alias("__side"), rank.cast("bigint").alias("__rank"))
+        for side, rank in (("left", F.floor((F.col("__n") + 1) / 2)), ("right", F.floor(F.col("__n") / 2) + 1))
+    ])
+    wanted = summary.where("__n > 0").select(*keys, F.inline(sides))
+    within: list[str] = []
+    for low in ROUNDS:
+        part = F.shiftright("__bits", low).alias("__part")
+        inside = counted
+        if within:
+            chosen = wanted.select(*keys, *within).distinct()
+            inside = counted.withColumn("__prefix", F.shiftright("__bits", previous)).join(chosen, [*keys, *within])
+        sums = inside.groupBy(*keys, *within, part).agg(F.sum("__rows").alias("__rows"))
+        running = Window.partitionBy(*keys, *within).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+        upto = sums.withColumn("__upto", F.sum("__rows").over(running))
+        wanted = (
+            upto.join(wanted, [*keys, *within])
+            .where((F.col("__upto") - F.col("__rows") < F.col("__rank")) & (F.col("__rank") <= F.col("__upto")))
+            .select(*keys, "__side", (F.col("__rank") - F.col("__upto") + F.col("__rows")).alias("__rank"),
+                    F.col("__part").alias("__prefix"))
         )
-    )
-    exact = F.when(
-        F.col("__missed_low") | F.col("__missed_high"),
-        F.raise_error(F.lit("median bracket missed the middle of a group")).cast("double"),
-    ).otherwise((F.col("__left") + F.col("__right")) / 2)
-    medians = middle.select(*keys, exact.alias(median))
-    return summary.drop("__n", "__quantiles").join(medians, keys, "left")
+        within, previous = ["__prefix"], low
+    middle = wanted.select(*keys, from_bits(F.col("__prefix")).alias("__middle"))
+    medians = middle.groupBy(*keys).agg(F.avg("__middle").alias(median))
+    return summary.drop("__n").join(medians, keys, "left")

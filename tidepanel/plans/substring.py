@@ -15,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAM = 8
+#: A needle is represented by one of its grams of the largest of these sizes that it has.
+SIZES = (1, 2, 4, 8)
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -33,32 +34,30 @@ def substring_pairs(
     ids: Sequence[str],
     needles: DataFrame,
     needle: str = "needle",
-    gram: int = GRAM,
+    sizes: Sequence[int] = SIZES,
+    blank: bool = False,
 ) -> DataFrame:
     """Rows ``(needle, *ids, text)`` for every text that contains the needle literally.
 
-    ``needles`` must be distinct and non-empty; case folding is up to the caller.
+    ``needles`` must be distinct; case folding is up to the caller. The empty needle matches every text if ``blank``
+    is set, else none. ``sizes`` starts with 1. Texts give their grams of all sizes, and those no needle has are
+    dropped before anything else is done with them.
     """
-    # At most ``gram`` distinct sizes exist, so the driver receives at most ``gram`` small integers.
-    size = F.least(F.length(F.col(needle)), F.lit(gram))
-    sizes = sorted(row[0] for row in needles.select(size.alias("size")).distinct().collect())
-    if not sizes:
-        return texts.select(F.lit("").alias(needle), *ids, text).limit(0)
-
-    needle_grams = needles.select(
-        needle, F.explode(_grams(F.col(needle), size)).alias("__gram")
-    )
+    sized = F.lit(sizes[0])
+    for size in sizes[1:]:
+        sized = F.when(F.length(F.col(needle)) >= size, F.lit(size)).otherwise(sized)
+    own = _grams(F.col(needle), sized)
+    all_grams = [_grams(F.col(text), F.lit(n)) for n in sizes]
+    if blank:
+        # The empty text is a gram of every text, wanted only where an empty needle is.
+        own = F.when(F.col(needle) == "", F.array(F.lit(""))).otherwise(own)
+        all_grams.append(F.array(F.lit("")))
+    needle_grams = needles.select(needle, F.explode(own).alias("__gram"))
     wanted = needle_grams.select("__gram").distinct()
-    grams_of_text = F.flatten(
-        F.array_compact(F.array(*[_grams(F.col(text), F.lit(n)) for n in sizes]))
-    )
-    text_grams = texts.select(*ids, text, F.explode(grams_of_text).alias("__gram"))
-    frequency = (
-        text_grams.select("__gram")
-        .join(wanted, "__gram", "left_semi")
-        .groupBy("__gram")
-        .agg(F.count(F.lit(1)).alias("__texts"))
-    )
+    text_grams = texts.where(F.col(text).isNotNull()).select(
+        *ids, text, F.explode(F.flatten(F.array_compact(F.array(*all_grams)))).alias("__gram")
+    ).join(wanted, "__gram", "left_semi")
+    frequency = text_grams.groupBy("__gram").agg(F.count(F.lit(1)).alias("__texts"))
     # A gram no text contains never joins, so needles without any match drop out here.
     rarest = (
         needle_grams.join(frequency, "__gram", "left")

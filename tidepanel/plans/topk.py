@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this k Spark puts a WindowGroupLimit below the shuffle, so every map task already forwards at
-# most k rows of a group (spark.sql.optimizer.windowGroupLimitThreshold, default 1000).
-GROUP_LIMIT = 1000
 SALTS = 64
 
 
@@ -23,20 +20,19 @@ def top_per_group(
 ) -> DataFrame:
     """Keep the first ``k`` rows of every group in the given total order.
 
-    For k within Spark's group limit one window does it: the limit is applied before the shuffle. For
-    a larger k the group is first cut to k rows within hash slices of the ``spread`` columns, so that
-    no task sorts a whole hot group; the survivors are then ranked. ``rank`` names a rank column.
+    A group is first cut to k rows within hash slices of the ``spread`` columns, so that no task sorts a whole hot
+    group; the survivors are then ranked. Where k is within Spark's group limit
+    (spark.sql.optimizer.windowGroupLimitThreshold), both cuts already happen before their shuffles. ``rank`` names
+    a rank column.
     """
     position = rank or "__position"
-    if k > GROUP_LIMIT:
-        slice_of = F.pmod(F.xxhash64(*spread), F.lit(SALTS))
-        slices = Window.partitionBy(*keys, "__slice").orderBy(*order)
-        df = (
-            df.withColumn("__slice", slice_of)
-            .withColumn("__in_slice", F.row_number().over(slices))
-            .where(F.col("__in_slice") <= k)
-            .drop("__slice", "__in_slice")
-        )
-    ranked = df.withColumn(position, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    slices = Window.partitionBy(*keys, "__slice").orderBy(*order)
+    cut = (
+        df.withColumn("__slice", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
+        .withColumn("__in_slice", F.row_number().over(slices))
+        .where(F.col("__in_slice") <= k)
+        .drop("__slice", "__in_slice")
+    )
+    ranked = cut.withColumn(position, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     kept = ranked.where(F.col(position) <= k)
     return kept if rank else kept.drop(position)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel.dims import fixed
+from tidepanel.model import Selection
 from tidepanel.operators import resolve as ops
 from tidepanel.operators import select as select_ops
 from tidepanel.registry.base import (
@@ -111,13 +112,14 @@ def n3_expand_income(spark, folder):
 
 
 @query("n4_find_entities", f"""with {CUSTOMER_ENTITIES},
-queries as (select distinct ' ' || right(c_name, 3) as query from customer)
+queries as (select distinct ' ' || right(c_name, 3) as query from customer union all select chr(9) || chr(160))
 select query, entity_code, entity_name, region, income from queries join ent
-  on contains(entity_code, trim(query)) or contains(lower(entity_name), trim(query))""")
+  on contains(entity_code, trim(query)) or contains(lower(entity_name), trim(query))
+    or query = chr(9) || chr(160)""")
 def n4_find_entities(spark, folder):
     queries = _customers(spark, folder).select(
         F.concat(F.lit(" "), F.substring("c_name", -3, 3)).alias("query")
-    )
+    ).union(_customers(spark, folder).limit(1).select(F.lit("\t\u00a0")))
     return ops.find_entities(star.customer_panel(spark, folder), queries, "query")
 
 
@@ -133,6 +135,8 @@ def j5_match_names(spark, folder):
     return ops.match_names(star.customer_panel(spark, folder), needles)
 
 
+NATION_ENTITIES_OF = f"""{NATIONS}, {NATION_ENTITIES.replace('ent as (', 'nation_ent as (')},
+ent as (select entity_code, entity_name from nation_ent union all select 'NER', 'Niger')"""
 NATION_SPELLINGS = {
     0: "kenya", 1: "Col", 2: "INDIA", 3: "franc", 4: "EGY", 5: "gha", 6: "peru ", 7: "Japan",
     8: "GER", 9: "jordan", 10: "ETH", 11: "U.S.A.", 12: "vietnam", 13: "poland", 14: "moroc",
@@ -173,14 +177,16 @@ asked as (
 needles as (select distinct spelling, lower(trim(spelling)) as needle from asked),
 by_code as (select spelling, entity_code from needles join ent on upper(needle) = entity_code),
 by_name as (
-  select spelling, count(*) as n, min(entity_code) as only_code
+  select spelling, count(*) as n, min(entity_code) as only_code,
+         list(entity_name order by entity_name, entity_code) as names
   from needles join ent on contains(lower(entity_name), needle)
   where spelling not in (select spelling from by_code) group by spelling)
 select c_custkey, spelling,
   coalesce(c.entity_code, case when n = 1 then only_code end) as entity_code,
   case when c.entity_code is not null then 'code' when n = 1 then 'name'
        when n > 1 then 'ambiguous' else 'unknown' end as status,
-  cast(case when c.entity_code is not null then 1 else coalesce(n, 0) end as integer) as n_matches
+  cast(case when c.entity_code is not null then 1 else coalesce(n, 0) end as integer) as n_matches,
+  case when n > 1 then array_to_string(names[1:5], '|') end as candidates
 from asked left join by_code c using (spelling) left join by_name using (spelling)""")
 def n5_resolve_customers(spark, folder):
     name, key = F.col("c_name"), F.col("c_custkey").cast("string")
@@ -192,7 +198,32 @@ def n5_resolve_customers(spark, folder):
     )
     asked = _customers(spark, folder).select("c_custkey", spelling.alias("spelling"))
     rows = ops.resolve_entities(asked, "spelling", star.customer_panel(spark, folder))
-    return rows.drop("candidates")
+    return rows.withColumn("candidates", F.array_join("candidates", "|"))
+
+
+EXACT_SPELLINGS = ("Niger", "nigeria", "Guinea", "united", "Kenya ")
+
+
+@query("n5_exact_first", f"""with {NATION_ENTITIES_OF},
+asked as (select c_custkey, {_pick_sql('c_custkey', EXACT_SPELLINGS)} as spelling from customer),
+needles as (select distinct spelling, lower(trim(spelling)) as needle from asked),
+hits as (
+  select spelling, count(*) as n, min(entity_code) as code,
+    count(*) filter (where lower(entity_name) = needle) as n_full,
+    min(entity_code) filter (where lower(entity_name) = needle) as full_code
+  from needles join ent on contains(lower(entity_name), needle) group by spelling)
+select c_custkey, spelling, case when n_full = 1 then full_code when n = 1 then code end as entity_code,
+  case when n_full = 1 or n = 1 then 'name' when n > 1 then 'ambiguous' else 'unknown' end as status
+from asked left join hits using (spelling)""")
+def n5_exact_first(spark, folder):
+    asked = _customers(spark, folder).select("c_custkey", _pick("c_custkey", EXACT_SPELLINGS).alias("spelling"))
+    panel = star.nation_panel(spark, folder)
+    # A second country whose name holds that of another.
+    more = panel.entities.where("entity_code = 'NGA'").selectExpr(
+        "'NER' as entity_code", "'Niger' as entity_name", "region", "income")
+    panel = panel.replace(entities=panel.entities.unionByName(more))
+    rows = ops.resolve_entities(asked, "spelling", panel, exact_first=True)
+    return rows.select("c_custkey", "spelling", "entity_code", "status")
 
 
 @query("n6_selection_entities", f"""with {CUSTOMER_ENTITIES}, {CUSTOMER_MEMBERS},
@@ -207,9 +238,26 @@ def n6_selection_entities(spark, folder):
 
 
 @query("n6_empty_group", f"""with {NATIONS}, {NATION_ENTITIES}
-select entity_code, entity_name, region, income from ent where false""")
+select entity_code, entity_name, region, income from ent where entity_code = 'IND'""")
 def n6_empty_group(spark, folder):
-    # Nobody in North America but the United States: without it the group selects nothing.
+    # Nobody in North America but the United States: without it that group selects nothing, others as before.
     panel = star.nation_panel(spark, folder)
     others = panel.replace(entities=panel.entities.where("entity_code <> 'USA'"))
-    return select_ops.list_entities(others, group="NAR")
+    return select_ops.list_entities(others, group="NAR").unionByName(
+        select_ops.list_entities(others, group="South Asia"))
+
+
+@query("p1_resolved_inputs", f"""with {values_cte('answers', 'spelling, entity_code', [
+    ('peru ', 'PER'), ('U.S.A.', 'USA'), ('KEN', 'KEN'), ('Great  Britain', 'GBR'), ('nobody', None)])}
+select spelling, entity_code from answers where exists (select 1 from nation)""")
+def p1_resolved_inputs(spark, folder):
+    names = ["peru ", "U.S.A.", "KEN", "Great  Britain", "nobody", "KEN"]
+    return select_ops.resolved_inputs(star.nation_panel(spark, folder), names)
+
+
+@query("p3_group_member_list", f"""with {CUSTOMER_ENTITIES}, {CUSTOMER_MEMBERS}
+select entity_code, entity_name, region, income from ent
+where income = 'High' and entity_code in (select entity_code from members where group_code = 'OECD')""")
+def p3_group_member_list(spark, folder):
+    panel = star.customer_panel(spark, folder)
+    return select_ops.selected_entities(panel, Selection(group="OECD members", income="HIC"))

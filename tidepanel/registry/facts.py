@@ -228,10 +228,9 @@ SEARCHED = (
 
 
 @query("f5_search_indicators", f"""with {PARTS_BOOK}
-select {BOOK_COLUMNS} from book where contains({SEARCHED}, 'hot') and category_1 <> 'INDICATORS'""")
+select {BOOK_COLUMNS} from book where contains({SEARCHED}, 'hot')""")
 def f5_search_indicators(spark, folder):
-    found = ops.search_indicators(star.parts_panel(spark, folder), "  HOT ")
-    return found.where("category_1 <> 'INDICATORS'")
+    return ops.search_indicators(star.parts_panel(spark, folder), "  HOT ")
 
 
 @query("f5_search_indicators_batch", f"""with {PARTS_BOOK},

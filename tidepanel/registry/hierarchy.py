@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidepanel.model import Selection
 from tidepanel.operators import hierarchy as ops
 from tidepanel.registry.base import (
+    BOOK,
     CUSTOMER,
     CUSTOMER_EDGES,
     PARTS,
@@ -44,7 +44,7 @@ select child_code, parent_code, parent_name, 'sha_direct_children' as relationsh
   'inferred_from_sha11_long_codes' as source
 from part_parents""")
 def j6_known_parents(spark, folder):
-    return ops.known_parents(star.parts_panel(spark, folder)).where("relationship_id = 'sha_direct_children'")
+    return ops.known_parents(star.parts_panel(spark, folder))
 
 
 @query("c6_classify_indicators", f"""with {PARTS_BOOK}, {PART_EDGES}, {PART_PARENTS},
@@ -97,7 +97,7 @@ def a8_additive_breakdown(spark, folder):
 
 
 @query("a8_breakdown_totals_many_children", f"""{PARTS}, {PART_EDGES},
-known as (select * from obs join ent using (entity_code) where income = 'Low'),
+known as (select * from obs join ent using (entity_code)),
 children as (
   select parent_code, entity_code, period, sum(value) as child_sum, count(*) as child_count
   from known join part_edges on indicator_code = child_code group by all),
@@ -112,5 +112,18 @@ select parent_code, 'sha_direct_children' as relationship_id, entity_code, perio
     as balanced
 from children full join parents using (parent_code, entity_code, period)""")
 def a8_breakdown_totals_many_children(spark, folder):
-    rows = ops.breakdown_totals(star.parts_panel(spark, folder), None, Selection(income="low income"))
+    rows = ops.breakdown_totals(star.parts_panel(spark, folder))
     return rounded(rows, "relative_difference", digits=9)
+
+
+@query("a8_named_edges", f"""with {BOOK}, {CUSTOMER_EDGES}
+select parent_code, relationship_id, priority, position, child_code, long_code as child_long_code, source
+from edges left join book on indicator_code = child_code
+where parent_code = 'rev' and priority = 0
+union all
+select parent_code, relationship_id, priority, position, child_code, long_code, source
+from edges left join book on indicator_code = child_code where relationship_id = 'sha_direct_children'""")
+def a8_named_edges(spark, folder):
+    panel = star.customer_panel(spark, folder)
+    first = ops.named_edges(panel, "rev")
+    return first.unionByName(ops.named_edges(panel, "rev", "sha_direct_children"))

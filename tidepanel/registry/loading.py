@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.model import EXTRACT_COLUMNS, INDICATOR_COLUMNS, Selection
 from tidepanel.operators.select import research_panel
-from tidepanel.registry.base import CUSTOMER, PARTS_BOOK, STAR, NOTES, query
+from tidepanel.registry.base import CUSTOMER, PARTS_BOOK, STAR, NOTES, query, rnd, rounded
 from tidepanel.sources import catalog as catalogs
 from tidepanel.sources import export, load, snapshot
 from tidepanel.sources import star_panels as star
@@ -55,29 +55,51 @@ def s5_check_keys(spark, folder):
     )
 
 
-@query("s5_check_panel", """select 'observations' as "table", 'duplicate_key' as problem, 'x' as key,
-  cast(0 as bigint) as n where false""")
+@query("s5_check_panel", f"""{CUSTOMER}
+select 'observations' as "table", 'duplicate_key' as problem,
+  indicator_code || '|' || entity_code || '|' || period as key, cast(2 as bigint) as n
+from obs where indicator_code = 'n_items' and period = 1997
+union all
+select 'entities', 'null_value', 'entity_name', count(*) from ent where region = 'EUR' having count(*) > 0""")
 def s5_check_panel(spark, folder):
-    return load.check_keys(star.customer_panel(spark, folder))
+    # A panel with repeated facts and unnamed entities.
+    panel = star.customer_panel(spark, folder)
+    twice = panel.observations.where("indicator_code = 'n_items' and period = 1997")
+    unnamed = panel.entities.withColumn(
+        "entity_name", F.when(F.col("region") == "EUR", F.lit(None)).otherwise(F.col("entity_name"))
+    )
+    return load.check_keys(panel.replace(observations=panel.observations.unionByName(twice), entities=unnamed))
 
 
 # ---- snapshots -----------------------------------------------------------------------------------------
 
 
+SOURCES = ("lineitem", "orders", "customer", "nation", "region")
+
+
 def _built_snapshot(spark, folder) -> tuple[str, str]:
     path = scratch_dir(spark, "snapshot")
-    signature = snapshot.source_signature(spark, f"{folder}/lineitem.parquet")
-    snapshot.build_snapshot(star.customer_panel(spark, folder), path, signature)
+    signature = snapshot.source_signature(spark, *[f"{folder}/{name}.parquet" for name in SOURCES])
+    lines = star.table(spark, folder, "region").select(
+        (F.col("r_regionkey") + 1).cast("int").alias("line_no"), F.concat(F.lit("Covers "), "r_name").alias("text")
+    )
+    panel = star.customer_panel(spark, folder).replace(version_lines=lines)
+    snapshot.build_snapshot(panel, path, signature)
     return path, signature
 
 
 @query("s6_build_snapshot", f"""{CUSTOMER}
-select entity_code, period, indicator_code, value from obs where indicator_code in ('rev', 'n_items')
-  and period >= 1998""")
+select entity_code, period, indicator_code, value from obs""")
 def s6_build_snapshot(spark, folder):
     path, _ = _built_snapshot(spark, folder)
-    facts = snapshot.read_snapshot(spark, path).observations
-    return facts.where("indicator_code in ('rev', 'n_items') and period >= 1998")
+    return snapshot.read_snapshot(spark, path).observations
+
+
+@query("s7_version_lines", """select cast(r_regionkey + 1 as integer) as line_no, 'Covers ' || r_name as text
+from region""")
+def s7_version_lines(spark, folder):
+    path, _ = _built_snapshot(spark, folder)
+    return snapshot.version_lines(spark, path)
 
 
 @query("s7_snapshot_status", f"""{CUSTOMER}
@@ -104,7 +126,10 @@ def _file(identifier, name, kind, size, modified) -> F.Column:
 
 
 def order_trees(spark, folder):
-    """One document tree per order: a list in a subfolder and a note beside it, as JSON text."""
+    """One document tree per order, as JSON text: a list below nine to one folders, an equally new copy and a note.
+
+    The list is deeper than the copy and stands before it.
+    """
     key = F.col("o_orderkey")
     size = F.floor("o_totalprice").cast("bigint")
     millis = star.epoch_millis("o_orderdate").cast("string")
@@ -112,28 +137,27 @@ def order_trees(spark, folder):
         F.concat(F.lit("/Date("), millis, F.lit(")/"))
     )
     kind = F.when(F.col("o_orderpriority") == "5-LOW", ".pdf").otherwise(".XLSX")
-    listing = _file(key * 2, F.concat(F.lit("Order Data "), key.cast("string")), kind, size, modified)
-    note = _file(key * 2 + 1, F.concat(F.lit("Note "), key.cast("string")), F.lit(".txt"), size % 100, modified)
-    inner = F.struct(
-        F.lit(True).alias("IsFolder"), F.lit("lists").alias("Name"), F.array(listing).alias("Children")
-    )
-    # Two arrays of different node types: the JSON text is put together from its parts.
+    listing = _file(key * 3, F.concat(F.lit("Order Data "), key.cast("string")), kind, size, modified)
+    copy = _file(key * 3 + 1, F.concat(F.lit("order data [copy] "), key.cast("string")), kind, size, modified)
+    note = _file(key * 3 + 2, F.concat(F.lit("Note "), key.cast("string")), F.lit(".txt"), size % 100, modified)
+    folders = (key % 9 + 1).cast("int")
+    # Nodes of different types: the JSON text is put together from its parts.
     tree = F.concat(
-        F.lit('{"IsFolder":true,"Name":"root","Children":['), F.to_json(inner), F.lit(","),
-        F.to_json(note), F.lit("]}"),
+        F.lit('{"IsFolder":true,"Name":"root","Children":['),
+        F.repeat(F.lit('{"IsFolder":true,"Name":"lists","Children":['), folders), F.to_json(listing),
+        F.repeat(F.lit("]}"), folders), F.lit(","), F.to_json(copy), F.lit(","), F.to_json(note), F.lit("]}"),
     )
     return star.table(spark, folder, "orders").select(F.col("o_custkey").alias("series"), tree.alias("tree"))
 
 
 CATALOG = """files as (
-  select o_custkey as series, o_orderkey * 2 as doc_id, 'Order Data ' || o_orderkey as name,
-    case when o_orderpriority = '5-LOW' then '.pdf' else '.XLSX' end as file_type,
-    cast(floor(o_totalprice) as bigint) as size, 1 as position, o_orderstatus, o_orderdate
-  from orders
-  union all
-  select o_custkey, o_orderkey * 2 + 1, 'Note ' || o_orderkey, '.txt',
-    cast(floor(o_totalprice) as bigint) % 100, 0, o_orderstatus, o_orderdate
-  from orders),
+  select o_custkey as series, o_orderkey * 3 + i as doc_id,
+    case i when 0 then 'Order Data ' when 1 then 'order data [copy] ' else 'Note ' end || o_orderkey as name,
+    case when i = 2 then '.txt' when o_orderpriority = '5-LOW' then '.pdf' else '.XLSX' end as file_type,
+    case when i = 2 then cast(floor(o_totalprice) as bigint) % 100
+         else cast(floor(o_totalprice) as bigint) end as size,
+    cast(i as integer) as position, o_orderstatus, o_orderdate
+  from orders, range(3) as t(i)),
 cat as (
   select series, position, doc_id, name, file_type, size,
     case when o_orderstatus = 'P' then 'unknown'
@@ -205,42 +229,46 @@ def s11_export_csv(spark, folder):
 
 
 @query("s12_export_package", f"""{CUSTOMER},
-picked as (select * from {STAR} where indicator_code in ('rev', 'n_items') and region = 'AMR')
-select 'data' as part, indicator_code, cast(count(*) as varchar) as detail from picked group by 2
+picked as (select * from {STAR} where indicator_code in ('rev', 'n_items') and region = 'AMR'),
+asked as (select * from book where indicator_code in ('rev', 'n_items', 'rev_x'))
+select 'data' as part, indicator_code, entity_code, period, {rnd('value')} as value, unit as detail from picked
 union all
-select 'codebook', indicator_code, unit from book where indicator_code in ('rev', 'n_items', 'rev_x')
+select 'codebook', indicator_code, null, null, null,
+  concat_ws('|', indicator_name, long_code, category_1, category_2, unit, currency, measurement_method) from asked
 union all
-select 'availability', b.indicator_code, coalesce(n, 0) || ' ' || coalesce(e, 0)
-from (select indicator_code from book where indicator_code in ('rev', 'n_items', 'rev_x')) b
-left join (select indicator_code, count(*) as n, count(distinct entity_code) as e from picked group by 1)
-  using (indicator_code)
+select 'availability', indicator_code, null, null, null,
+  coalesce(n, 0) || '|' || coalesce(e, 0) || coalesce('|' || low || '|' || high, '')
+from asked left join (select indicator_code, count(*) as n, count(distinct entity_code) as e,
+                        min(period) as low, max(period) as high from picked group by 1) using (indicator_code)
 union all
-select 'readme', 'Rows', cast(count(*) as varchar) from picked""")
+select 'readme', 'rows', null, null, null, cast(count(*) as varchar) from picked""")
 def s12_export_package(spark, folder):
     codes = ["rev", "n_items", "rev_x"]
     path = scratch_dir(spark, "package")
     panel = star.customer_panel(spark, folder, ["rev", "n_items"])
     export.export_package(panel, codes, path, Selection(region="AMR"))
     read = spark.read.option("header", True)
-    data = read.schema(EXTRACT_SCHEMA).csv(f"{path}/data").groupBy("indicator_code").agg(
-        F.count(F.lit(1)).cast("string").alias("detail")
-    )
+    data = read.schema(EXTRACT_SCHEMA).csv(f"{path}/data")
     book = read.schema(", ".join(f"{name} string" for name in INDICATOR_COLUMNS)).csv(f"{path}/codebook")
     found = read.schema(
         "indicator_code string, observation_count bigint, entity_count bigint, first_period int, "
         "latest_period int"
     ).csv(f"{path}/availability")
-    line = spark.read.text(f"{path}/readme").where(F.startswith("value", F.lit("Rows: ")))
+    line = spark.read.text(f"{path}/readme").where(F.startswith("value", F.lit("rows = ")))
+
+    def part(rows, name, detail, code="indicator_code", entity=None, period=None, value=None):
+        return rows.select(
+            F.lit(name).alias("part"), code, F.lit(entity).cast("string").alias("entity_code"),
+            F.lit(period).cast("int").alias("period"), F.lit(value).cast("double").alias("value"),
+            detail.alias("detail"),
+        )
+
     parts = [
-        data.select(F.lit("data").alias("part"), "indicator_code", "detail"),
-        book.select(F.lit("codebook").alias("part"), "indicator_code", F.col("unit").alias("detail")),
-        found.select(
-            F.lit("availability").alias("part"), "indicator_code",
-            F.concat_ws(" ", "observation_count", "entity_count").alias("detail"),
-        ),
-        line.select(
-            F.lit("readme").alias("part"), F.lit("Rows").alias("indicator_code"),
-            F.substring_index("value", " ", -1).alias("detail"),
-        ),
+        part(rounded(data, "value"), "data", F.col("unit"), "indicator_code", F.col("entity_code"),
+             F.col("period"), F.col("value")),
+        part(book, "codebook", F.concat_ws("|", *INDICATOR_COLUMNS[1:])),
+        part(found, "availability", F.concat_ws(
+            "|", "observation_count", "entity_count", "first_period", "latest_period")),
+        part(line, "readme", F.substring_index("value", " ", -1), F.lit("rows").alias("indicator_code")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -8,6 +8,7 @@ from tidepanel.model import Selection
 from tidepanel.operators import select as select_ops
 from tidepanel.operators import summarize as ops
 from tidepanel.registry.base import (
+    CURATED_MEMBERS,
     CUSTOMER,
     CUSTOMER_ENTITIES,
     CUSTOMER_MEMBERS,
@@ -60,13 +61,12 @@ def a6_indicator_trends(spark, folder):
 @query("a6_trends_top_per_indicator", f"""{PARTS},
 {ENDS.format(source='(select * from obs where period between 1996 and 2001)')}
 select {TREND_SQL} from trends join ent using (entity_code)
-where region <> 'EUR' and region is not null
+where income in ('Low', 'Lower-middle', 'Upper-middle')
 qualify row_number() over (
   partition by indicator_code order by trends.absolute_change desc, entity_code) <= 3""")
 def a6_trends_top_per_indicator(spark, folder):
     panel = star.parts_panel(spark, folder)
-    panel = panel.replace(entities=panel.entities.where("region <> 'EUR'"))
-    sel = Selection(start=1996, end=2001)
+    sel = Selection(income="LMIC", start=1996, end=2001)
     return _rounded_trends(ops.indicator_trends(panel, None, sel, top=3))
 
 
@@ -174,18 +174,26 @@ def a4_summarize_income_one_period(spark, folder):
     return _flat_stats(ops.summarize_groups(panel, "income", period=1999))
 
 
-@query("a4_summarize_nation_groups", f"""{NATION},
-curated(group_code, entity_code) as (
-  select 'LAC', unnest(['COL', 'PER', 'BRA', 'HTI']) union all select 'OECD', unnest(
-    ['COL', 'FRA', 'JPN', 'DEU', 'USA', 'POL', 'TUR', 'GBR'])),
+@query("a4_summarize_nation_groups", f"""{NATION}, {CURATED_MEMBERS},
+members as (select group_code, member as entity_code from curated join ent on member = entity_code),
 latest as (select * from obs qualify {LATEST}),
-sizes as (select group_code, count(*) as entity_count from curated group by 1),
-stats as (select {STATS} from latest join curated using (entity_code) group by 1, 2)
+sizes as (select group_code, count(*) as entity_count from members group by 1),
+stats as (select {STATS} from latest join members using (entity_code) group by 1, 2)
 select indicator_code, group_code, {STAT_COLUMNS} from stats join sizes using (group_code)""")
 def a4_summarize_nation_groups(spark, folder):
     panel = star.nation_panel(spark, folder)
-    rows = ops.summarize_groups(panel, "group").where("group_code in ('LAC', 'OECD')")
-    return _flat_stats(rows)
+    return _flat_stats(ops.summarize_groups(panel, "group"))
+
+
+@query("a4_summarize_selection", f"""{NATION},
+latest as (select *, 'selection' as group_code from obs where entity_code in ('USA', 'PER', 'KEN', 'GBR')
+           qualify {LATEST}),
+stats as (select {STATS} from latest group by 1, 2)
+select indicator_code, group_code, {STAT_COLUMNS.replace('entity_count', '4').replace(' 4,', ' cast(4 as bigint) as entity_count,', 1)}
+from stats""")
+def a4_summarize_selection(spark, folder):
+    sel = Selection(entities=["US", "peru", "KEN", "great britain"])
+    return _flat_stats(ops.summarize_groups(star.nation_panel(spark, folder), None, sel=sel))
 
 
 ENDS_OF_GROUP = """ranked as (
@@ -304,3 +312,16 @@ def a9_result_warnings(spark, folder):
     )
     listed = F.array_join(F.transform("values", lambda p: p.cast("string")), ",")
     return rows.withColumn("values", listed)
+
+
+@query("a9_mixed_reference_years", f"""{CUSTOMER},
+latest as (select * from obs join ent using (entity_code) where income = 'Low' qualify {LATEST})
+select 'mixed_reference_years' as type, entity_code as key, cast(min(period) as bigint) as min_value,
+  cast(max(period) as bigint) as max_value,
+  string_agg(distinct cast(period as varchar), ',' order by cast(period as varchar)) as values
+from latest group by entity_code having count(distinct period) > 1""")
+def a9_mixed_reference_years(spark, folder):
+    panel = star.customer_panel(spark, folder)
+    latest = select_ops.latest_per_entity(panel, None, Selection(income="LIC"))
+    rows = ops.mixed_period_warnings(latest, "entity_code", "mixed_reference_years")
+    return rows.withColumn("values", F.array_join(F.transform("values", lambda p: p.cast("string")), ","))

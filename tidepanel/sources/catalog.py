@@ -22,7 +22,8 @@ FIELDS = {
 }
 COMPARED = ("doc_id", "size", "modified_raw", "name")
 DOCUMENT_ARRAY = "array<struct<" + ", ".join(c.replace(" ", ": ") for c in FIELDS.values()) + ">>"
-MAX_DEPTH = 6
+# Everything inside a JSON string, which may hold brackets of its own.
+QUOTED = r'"(?:[^"\\\\]|\\\\.)*"'
 
 
 def _node_schema(depth: int) -> str:
@@ -32,46 +33,67 @@ def _node_schema(depth: int) -> str:
     return f"struct<IsFolder: boolean, {fields}, Children: {children}>"
 
 
-def _as_document(node: Column) -> Column:
-    return F.struct(*[node[name].alias(column.split()[0]) for name, column in FIELDS.items()])
+def _documents(node: Column, depth: int) -> Column:
+    """The files of a node, depth first: the node itself, then what its children hold, in their order."""
+    document = F.struct(*[node[name].alias(column.split()[0]) for name, column in FIELDS.items()])
+    own = F.when(~F.coalesce(node["IsFolder"], F.lit(False)), F.array(document)).otherwise(
+        F.array().cast(DOCUMENT_ARRAY)
+    )
+    own = F.when(node.isNotNull(), own).otherwise(F.array().cast(DOCUMENT_ARRAY))
+    if not depth:
+        return own
+    below = F.flatten(F.transform(node["Children"], lambda child: _documents(child, depth - 1)))
+    return F.concat(own, F.coalesce(below, F.array().cast(DOCUMENT_ARRAY)))
+
+
+def tree_depth(trees: DataFrame, tree: str = "tree") -> int:
+    """How deep the deepest tree nests: one pass over the texts, one number back."""
+    brackets = F.regexp_replace(F.regexp_replace(tree, QUOTED, ""), r"[^\[\]]+", "")
+    steps = F.transform(F.split(brackets, ""), lambda c: F.when(c == "[", 1).when(c == "]", -1).otherwise(0))
+    deepest = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda state, step: F.struct(
+            (state["now"] + step).alias("now"), F.greatest(state["most"], state["now"] + step).alias("most")
+        ),
+        lambda state: state["most"],
+    )
+    return trees.agg(F.max(deepest)).head()[0] or 0
 
 
 def flatten_catalog(
-    trees: DataFrame, tree: str = "tree", keep: Sequence[str] = (), max_depth: int = MAX_DEPTH
+    trees: DataFrame, tree: str = "tree", keep: Sequence[str] = (), max_depth: int | None = None
 ) -> DataFrame:
-    """One row per file of every JSON tree, at any depth up to ``max_depth``; deeper trees are an error.
+    """One row per file of every JSON tree.
 
-    ``position`` numbers the files of a tree level by level. Columns in ``keep`` are carried along. Each
-    tree is parsed once and its levels are gathered in one expression, so nothing is shuffled.
+    ``position`` numbers the files of a tree depth first, as a reader would list them. Columns in ``keep`` are
+    carried along. The schema is made as deep as the deepest tree, which one pass over the texts finds out unless
+    ``max_depth`` says it (deeper children are then an error). Each tree is parsed once, and nothing is shuffled.
     """
-    rows = trees.select(
-        *keep,
-        F.array(F.from_json(tree, _node_schema(max_depth))).alias("__level"),
-        F.array().cast(DOCUMENT_ARRAY).alias("__found"),
-    )
-    # One projection per level: each level is evaluated once and feeds both its files and the next.
-    for depth in range(max_depth + 1):
-        level = F.col("__level")
-        files = F.transform(
-            F.filter(level, lambda node: ~F.coalesce(node["IsFolder"], F.lit(False))), _as_document
-        )
-        below = F.transform(level, lambda node: node["Children"])
-        if depth < max_depth:
-            below = F.flatten(F.filter(below, lambda children: children.isNotNull()))
-        rows = rows.select(
-            *keep, below.alias("__level"), F.concat("__found", files).alias("__found")
-        )
+    depth = tree_depth(trees, tree) if max_depth is None else max_depth
+    rows = trees.select(*keep, F.from_json(tree, _node_schema(depth)).alias("__root"))
+    lowest = _lowest(F.col("__root"), depth)
     deeper = F.exists(
-        "__level", lambda children: ~F.coalesce(children, F.lit("[]")).isin("[]", "null", "")
+        lowest, lambda children: ~F.coalesce(children, F.lit("[]")).isin("[]", "null", "")
     )
-    message = F.lit(f"the catalog nests deeper than {max_depth} levels")
-    checked = F.when(deeper, F.raise_error(message)).otherwise(F.col("__found"))
-    documents = rows.select(*keep, F.posexplode(checked).alias("position", "document"))
+    message = F.lit(f"the catalog nests deeper than {depth} levels")
+    found = _documents(F.col("__root"), depth)
+    if max_depth is not None:
+        found = F.when(deeper, F.raise_error(message)).otherwise(found)
+    documents = rows.select(*keep, F.posexplode(found).alias("position", "document"))
     return documents.select(*keep, "position", "document.*").withColumn(
         "modified_ms", dotnet_millis(F.col("modified_raw"))
     )
 
 
+def _lowest(node: Column, depth: int) -> Column:
+    """The unparsed children below the last level that the schema has."""
+    if not depth:
+        return F.array(node["Children"])
+    below = F.flatten(F.transform(node["Children"], lambda child: _lowest(child, depth - 1)))
+    return F.coalesce(below, F.array().cast("array<string>"))
+
+
 def latest_document(
     catalog: DataFrame,
     prefix: str,

@@ -12,10 +12,10 @@ from tidepanel.model import ALL, EXTRACT_COLUMNS, Panel, Selection
 from tidepanel.operators.select import lookup_codes, research_panel
 from tidepanel.operators.summarize import data_availability, limit_warnings
 
-CAUTIONS = (
-    "- Latest data may differ by entity and indicator.",
-    "- Check units and measurement methods in the codebook before combining indicators.",
-    "- Percentages, per-capita values, converted currencies and constant prices do not add up.",
+NOTES = (
+    "latest values may come from different periods",
+    "units and methods are in the codebook; compare like with like",
+    "only amounts in one currency and price base can be added up",
 )
 
 
@@ -32,23 +32,22 @@ def export_csv(df: DataFrame, path: str, fields: Sequence[str] | None = EXTRACT_
 def package_summary(
     codes: Sequence[str], sel: Selection, rows: int, top: int | None = None
 ) -> list[str]:
-    """Lines of the text that goes with a package: filters, row count, cautions."""
-    named = ", ".join(sel.entities) if sel.entities else "by region, income or group, or all"
-    lines = [
-        "# Panel extract",
-        "",
-        f"Indicators: {', '.join(codes)}",
-        f"Entities: {named}",
-        f"Group: {sel.group or 'None'}",
-        f"Region: {sel.region or 'Any'}",
-        f"Income: {sel.income or 'Any'}",
-        f"Periods: {'earliest' if sel.start is None else sel.start} to "
-        f"{'latest' if sel.end is None else sel.end}",
-        f"Rows: {rows}",
-    ]
+    """``name = value`` lines of the text that goes with a package: the request, the row count, notes."""
+    asked = {
+        "indicators": ", ".join(codes),
+        "entities": ", ".join(sel.entities or ()),
+        "group": sel.group,
+        "region": sel.region,
+        "income": sel.income,
+        "from": sel.start,
+        "until": sel.end,
+        "rows": rows,
+        "limit": top,
+    }
+    lines = [f"{name} = {value}" for name, value in asked.items() if value not in (None, "")]
     if top is not None and rows >= top:
-        lines.append(f"The extract reached its limit of {top} rows; more may exist.")
-    return [*lines, "", "Cautions:", *CAUTIONS]
+        lines.append("complete = unknown, the limit was reached")
+    return [*lines, *(f"note = {note}" for note in NOTES)]
 
 
 def export_package(

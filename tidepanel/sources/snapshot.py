@@ -25,23 +25,21 @@ MANIFEST_SCHEMA = "signature string, schema_version int, version string, built_a
 FACTS = "observations"
 TABLES = (FACTS, "entities", "indicators", "notes", "memberships", "relations", "version_lines")
 COUNTED = (FACTS, "entities", "indicators", "notes")
-# Up to this many indicators each gets its own directory; beyond, directories would hold tiny files.
-MAX_DIRECTORIES = 5000
 
 
-def source_signature(spark: SparkSession, path: str) -> str:
+def source_signature(spark: SparkSession, *paths: str) -> str:
     """Signature of source files: schema version, paths, sizes and modification times.
 
     The file listing is hashed by Spark; file contents are not read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
     file_hash = F.xxhash64("path", "length", "modificationTime")
     row = files.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum("length"), F.lit(0)).alias("size"),
         F.bit_xor(file_hash).alias("hash"),
     ).head()
-    return f"{SCHEMA_VERSION}|{path}|{row['n']}|{row['size']}|{row['hash']}"
+    return f"{SCHEMA_VERSION}|{','.join(paths)}|{row['n']}|{row['size']}|{row['hash']}"
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame | None:
@@ -69,12 +67,9 @@ def is_current(spark: SparkSession, path: str, signature: str) -> bool:
     )
 
 
-def _write_facts(facts: DataFrame, target: str, by_directory: bool) -> None:
+def _write_facts(facts: DataFrame, target: str) -> None:
     ordered = facts.repartitionByRange(*OBSERVATION_KEY).sortWithinPartitions(*OBSERVATION_KEY)
-    writer = ordered.write.mode("errorifexists")
-    if by_directory:
-        writer = writer.partitionBy("indicator_code")
-    writer.parquet(f"{target}/{FACTS}")
+    ordered.write.mode("errorifexists").parquet(f"{target}/{FACTS}")
 
 
 def build_snapshot(panel: Panel, path: str, signature: str, check: bool = True) -> str:
@@ -93,8 +88,7 @@ def build_snapshot(panel: Panel, path: str, signature: str, check: bool = True)
         table = getattr(panel, name)
         if table is not None:
             table.write.mode("errorifexists").parquet(f"{target}/{name}")
-    few = spark.read.parquet(f"{target}/indicators").count() <= MAX_DIRECTORIES
-    _write_facts(panel.observations, target, few)
+    _write_facts(panel.observations, target)
     if check:
         # On the written columns: the sources are not computed a second time.
         require_keys(_read_build(spark, target))
@@ -127,7 +121,7 @@ def _read_build(spark: SparkSession, location: str) -> Panel:
 
 
 def read_snapshot(spark: SparkSession, path: str) -> Panel:
-    """The panel of the current build; indicator filters prune directories, the rest is pushed down."""
+    """The panel of the current build; filters on indicator, entity and period are pushed down to sorted files."""
     build = current_build(spark, path)
     if build is None:
         raise ValueError(f"No snapshot at {path}.")
