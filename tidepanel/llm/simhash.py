@@ -194,4 +194,6 @@ def near_deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     kept = (prints.join(groups, "fp").groupBy("root")
             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")).alias("first"))
             .select(F.col("first._rid").alias("_rid")))
-    return rows.join(saved(kept, "kept").withColumnRenamed("_rid", rid), rid, "left_semi").drop(rid)
+    # Hashing the few ids of a partition spares sorting the texts; every size takes this path.
+    ids = saved(kept, "kept").withColumnRenamed("_rid", rid).hint("shuffle_hash")
+    return rows.join(ids, rid, "left_semi").drop(rid)
