@@ -21,8 +21,10 @@ from tidepanel.sources.storage import scratch_dir
 
 SHARDS = 8
 SEED = 42
-#: Text bytes that a bucket holds in the mean; a task keeps one bucket in memory.
-BUCKET_BYTES = 16 << 20
+#: Text bytes that a bucket holds in the mean, at most; a task keeps one bucket in memory.
+BUCKET_BYTES = 64 << 20
+#: Buckets that are made of any table, for parallel work.
+LEAST_BUCKETS = 64
 
 
 def record_size(text):
@@ -61,7 +63,7 @@ def write_shards(docs: DataFrame, path: str | None = None, shards: int = SHARDS,
     path = path or scratch_dir(spark, "shards")
     rows, rid = with_row_id(docs)
     total = rows.agg(F.sum(record_size(F.col(text)))).first()[0] or 0
-    buckets = max(1, math.ceil(total / bucket_bytes))
+    buckets = max(LEAST_BUCKETS, math.ceil(total / bucket_bytes))
     bucket, order = scattered(rid, doc_id, buckets, seed)
     counts = dict(rows.select(bucket.alias("bucket")).groupBy("bucket").count().collect())
     starts, at = {}, 0
@@ -71,7 +73,7 @@ def write_shards(docs: DataFrame, path: str | None = None, shards: int = SHARDS,
     packed = rows.select(
         bucket.alias("bucket"), order.alias("order"), F.struct(*[quoted(c) for c in docs.columns]).alias("record"),
         F.col(rid).alias("rid"))
-    dealt = (packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "order", "rid")
+    dealt = (packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "order", "rid")
              .select("bucket", "record"))
     record = packed.schema["record"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(starts)
