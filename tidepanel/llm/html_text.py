@@ -238,13 +238,14 @@ def laid_out(children: list, parent: Node) -> list[str]:
 
 
 def _flow(children: list, flow: Flow, parent: Node, number: list[int]) -> None:
+    closed = parent.tag == "details" and "open" not in parent.attributes
     for child in children:
         if isinstance(child, str):
-            flow.text(child)
+            if not closed:
+                flow.text(child)
             continue
         tag = child.tag
-        if not visible(child) or (
-                parent.tag == "details" and tag != "summary" and "open" not in parent.attributes):
+        if not visible(child) or (closed and tag != "summary"):
             continue
         if tag == "br":
             if flow.current:
