@@ -360,6 +360,40 @@ def test_pairs_and_classes_agree():
             suffixes.PAIRWISE = limit
 
 
+def test_slices_tell_which_windows_are_equal():
+    """Members of two tasks: equal windows have equal cores, and equal wholes have equal windows only."""
+    rng = random.Random(13)
+    length, gram = 40, 6
+    core = bytes(rng.choice(b"ab") for _ in range(gram))
+    base = bytes(rng.choice(b"ab") for _ in range(34)), bytes(rng.choice(b"ab") for _ in range(34))
+
+    def varied(part, at):
+        return bytes(c ^ 1 if i == at else c for i, c in enumerate(part))
+
+    members = []
+    for _ in range(40):
+        least, back = sorted((rng.randrange(35), rng.randrange(35)))
+        left, right = varied(base[0], rng.randrange(60)), core + varied(base[1], rng.randrange(60))
+        members.append((least, back, left[len(left) - back:], right[:length - least]))
+    each = [list(suffixes.distinct_slices([m], length, gram)) for m in members]
+    for (least, back, _, _), found in zip(members, each):
+        assert [o for _, low, high, _, _ in found for o in range(low, high + 1)] == list(range(least, back + 1))
+
+    def window(member, offset):
+        return member[2][len(member[2]) - offset:] + member[3][:length - offset]
+
+    equal = 0
+    for a, found in zip(members, each):
+        for b, others in zip(members, each):
+            for _, low, high, own, whole in found:
+                for _, low2, high2, own2, whole2 in others:
+                    same = [window(a, o) == window(b, o) for o in range(max(low, low2), min(high, high2) + 1)]
+                    equal += any(same)
+                    assert own == own2 or not any(same)
+                    assert whole != whole2 or (all(same) and (low, high) == (low2, high2))
+    assert equal > 1000
+
+
 @pytest.mark.parametrize("bucket", [3, 20_000])
 def test_repeats_equal_brute_force(spark, make_docs, bucket):
     """Small windows; with buckets of three, frequent grams are dealt to several tasks."""

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,10 @@ STEP, SHALLOW = 32, 128
 PAIRWISE = 48
 #: Occurrences of one gram that a task sorts together; a more frequent gram is dealt to several tasks.
 BUCKET = 20_000
+#: Slices of the offsets by which a gram of several tasks is compared between them.
+SLICES = 16
+#: Rows that leave a task at a time.
+ROWS_OUT = 10_000
 
 
 # ---- anchors ---------------------------------------------------------------------------------------------------
@@ -278,16 +283,29 @@ def repeated_offsets(members: list[tuple[int, int, bytes, bytes]], length: int)
     return out
 
 
-def distinct_windows(members: list[tuple[int, int, bytes, bytes]], length: int) -> Iterator[tuple[int, int, bytes]]:
-    """``(member, offset, digest)`` of one window of each content that occurs in the bucket."""
-    lefts, rights = [m[2] for m in members], [m[3] for m in members]
-    least, back = np.array([m[0] for m in members]), np.array([m[1] for m in members])
-    for offset, own in window_classes(lefts, rights, range(int(least.min()), int(back.max()) + 1), length):
-        able = np.flatnonzero((least <= offset) & (offset <= back))
-        for i in able[np.unique(own[able], return_index=True)[1]].tolist():
-            left, right = lefts[i], rights[i]
-            window = left[len(left) - offset:] + right[: length - offset]
-            yield i, offset, hashlib.md5(window, usedforsecurity=False).digest()
+def distinct_slices(members: list[tuple[int, int, bytes, bytes]], length: int, gram: int):
+    """``(member, low, high, core, whole)`` of one member of each content that occurs in the bucket.
+
+    The offsets of windows are cut into slices; a member has offsets ``low`` to ``high`` of a slice. ``core`` is the
+    digest of the bytes that all windows of the slice share, ``whole`` that of all bytes that the member's windows
+    cover. So equal windows have equal cores, and with equal wholes all windows are equal.
+    """
+    def digest(left: bytes, right: bytes, *at: int) -> bytes:
+        return hashlib.md5(b"%d:%d:" % at + left + right, usedforsecurity=False).digest()
+
+    last = length - gram
+    width = -(-(last + 1) // SLICES)
+    for first in range(0, last + 1, width):
+        end = min(first + width - 1, last)
+        seen = set()
+        for i, (least, back, left, right) in enumerate(members):
+            low, high = max(least, first), min(back, end)
+            if low > high:
+                continue
+            whole = digest(left[len(left) - high:], right[: length - low], low, high)
+            if whole not in seen:
+                seen.add(whole)
+                yield i, low, high, digest(left[len(left) - first:], right[: length - end], first, end), whole
 
 
 # ---- the operator ----------------------------------------------------------------------------------------------
@@ -333,46 +351,90 @@ def surroundings(candidates: DataFrame, length: int) -> DataFrame:
         cut, "hash bigint, salts int, key binary, place bigint, least int, back int, left binary, right binary")
 
 
-def covered(dealt: DataFrame, length: int) -> DataFrame:
-    """``(key, start, stop, window)``: covered stretches; with ``window``, one window of a gram dealt to more tasks."""
+def covered(dealt: DataFrame, length: int, gram: int) -> DataFrame:
+    """``(key, place, low, high, core, whole)``: anchors with the smallest and largest offset of repeated windows.
+
+    With ``core`` it is a slice of a gram dealt to more tasks instead, which waits for what the others have.
+    """
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.binary()), ("start", pa.int64()), ("stop", pa.int64()),
-                            ("window", pa.binary())])
+        schema = pa.schema([("key", pa.binary()), ("place", pa.int64()), ("low", pa.int32()), ("high", pa.int32()),
+                            ("core", pa.binary()), ("whole", pa.binary())])
 
         def results(bucket: list[tuple]) -> Iterator[tuple]:
-            members = [row[4:] for row in bucket]
+            members = [row[4:8] for row in bucket]
             if len(bucket) > 1:
                 for row, offsets in zip(bucket, repeated_offsets(members, length)):
                     if offsets:
-                        yield row[2], row[3] - offsets[1], row[3] - offsets[0] + length, None
-            if bucket[0][1] > 1:
-                for i, offset, digest in distinct_windows(members, length):
-                    start = bucket[i][3] - offset
-                    yield bucket[i][2], start, start + length, digest
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
-
-        held: list[tuple] = []
-        out: list[tuple] = []
-        last = None
-        for batch in batches:
-            salt = batch.column(8).to_pylist()
-            for row, s in zip(zip(*(batch.column(i).to_pylist() for i in range(8))), salt):
-                if (row[0], s) != last:
-                    if held:
-                        out.extend(results(held))
-                    held, last = [], (row[0], s)
-                    if len(out) >= 10_000:
-                        yield batch_of(out)
-                        out = []
-                held.append(row)
-        if held:
-            out.extend(results(held))
-        for first in range(0, len(out), 10_000):
-            yield batch_of(out[first:first + 10_000])
-
-    return dealt.mapInArrow(search, "key binary, start bigint, stop bigint, window binary")
+                        yield row[2], row[3], *offsets, None, None
+            if bucket and bucket[0][1] > 1:
+                for i, *slice_ in distinct_slices(members, length, gram):
+                    yield bucket[i][2], bucket[i][3], *slice_
+
+        def found() -> Iterator[tuple]:
+            held: list[tuple] = []
+            for batch in batches:
+                for row in zip(*(column.to_pylist() for column in batch.columns)):
+                    if held and (row[0], row[8]) != (held[0][0], held[0][8]):
+                        yield from results(held)
+                        held = []
+                    held.append(row)
+            yield from results(held)
+
+        rows = found()
+        while out := list(islice(rows, ROWS_OUT)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+
+    return dealt.mapInArrow(search, "key binary, place bigint, low int, high int, core binary, whole binary")
+
+
+def listed_windows(asked: DataFrame, length: int) -> DataFrame:
+    """``(key, start, window)``: the digest of each window of the slices ``asked (place, low, high)`` of a text."""
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def windows() -> Iterator[tuple]:
+            for batch in batches:
+                for key, text, places in zip(*batch.columns):
+                    key, text = key.as_py(), text.as_py()
+                    for x in places.as_py():
+                        for start in range(x["place"] - x["high"], x["place"] - x["low"] + 1):
+                            yield key, start, hashlib.md5(text[start:start + length], usedforsecurity=False).digest()
+
+        rows = windows()
+        while out := list(islice(rows, ROWS_OUT)):
+            key, start, window = zip(*out)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key, pa.binary()), pa.array(start, pa.int64()), pa.array(window, pa.binary())],
+                names=["key", "start", "window"])
+
+    return asked.select("key", "text", "asked").mapInArrow(listed, "key binary, start bigint, window binary")
+
+
+def repeated_between_tasks(slices: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """``(key, start, stop)``: what slices of grams dealt to several tasks have in common.
+
+    A core that occurs in one place only is done with. If its occurrences have one whole content, all their windows
+    are repeated. What is left are slices within which contents begin to differ: their windows are compared singly.
+    """
+    place = F.xxhash64("key", "place")
+    cores = saved(slices.groupBy("core").agg(
+        F.min(place).alias("a"), F.max(place).alias("b"),
+        (F.min(F.xxhash64("whole")) == F.max(F.xxhash64("whole"))).alias("alike"))
+        .where("a <> b").select("core", "alike"), "cores")
+    shared = saved(slices.join(cores, "core").select("key", "place", "low", "high", "alike"), "slices")
+    asked = (shared.where("not alike").groupBy("key")
+             .agg(F.collect_set(F.struct("place", "low", "high")).alias("asked"))
+             .join(texts.select("key", "text"), "key"))
+    windows = saved(listed_windows(asked, length), "windows")
+    start = F.xxhash64("key", "start")
+    twice = saved(windows.groupBy("window").agg(F.min(start).alias("a"), F.max(start).alias("b"))
+                  .where("a <> b").select("window"), "twice")
+    return stretches_of(shared.where("alike"), length).union(
+        windows.join(twice, "window").select("key", "start", (F.col("start") + length).alias("stop")))
+
+
+def stretches_of(offsets: DataFrame, length: int) -> DataFrame:
+    """``(key, start, stop)``: the bytes that the windows ``low`` to ``high`` before a place cover."""
+    return offsets.select("key", (F.col("place") - F.col("high")).alias("start"),
+                          (F.col("place") - F.col("low") + length).alias("stop"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -427,16 +489,11 @@ def repeated_spans(located: DataFrame, rid: str, doc_id: str, text: str, length:
     dealt = (surroundings(texts, length)
              .withColumn("salt", F.pmod(F.xxhash64("key", "place"), F.col("salts")))
              .repartition("hash", "salt").sortWithinPartitions("hash", "salt"))
-    seen = saved(covered(dealt, length), "covered")
-    stretches = seen.where("window is null").select("key", "start", "stop").union(
+    seen = saved(covered(dealt, length, gram), "covered")
+    stretches = stretches_of(seen.where("core is null"), length).union(
         found.where("hash is null").select("key", F.col("place").alias("start"), "stop"))
     if repeated.where("salts > 1").limit(1).count():
-        # Grams of several tasks: each task has listed its distinct windows; those of two tasks occur twice.
-        windows = seen.where("window is not null")
-        shared = windows.groupBy("window").agg(
-            F.min(F.xxhash64("key", "start")).alias("a"), F.max(F.xxhash64("key", "start")).alias("b")).where("a <> b")
-        stretches = stretches.union(windows.join(saved(shared.select("window"), "windows"), "window")
-                                    .select("key", "start", "stop"))
+        stretches = stretches.union(repeated_between_tasks(seen.where("core is not null"), texts, length))
     spans = saved(stretches.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
     return rows, texts, spans
 
