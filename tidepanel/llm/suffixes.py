@@ -31,7 +31,7 @@ STEP, SHALLOW = 32, 128
 #: Up to this many suffixes are compared by their pairs' common lengths, more by classes.
 PAIRWISE = 48
 #: Occurrences of one gram that a task sorts together; a more frequent gram is dealt to several tasks.
-BUCKET = 20_000
+BUCKET = 4_000
 #: Slices of the offsets by which a gram of several tasks is compared between them.
 SLICES = 16
 #: Rows that leave a task at a time.
