@@ -235,6 +235,24 @@ def test_hostile_pages_take_linear_time(html):
     assert time.process_time() - start < 10
 
 
+@pytest.mark.parametrize("around", ["<div>", "<font>", "<a name=x>", "<ul><li>"])
+def test_elements_keep_their_role_at_any_depth(around):
+    page = around * 3000 + (
+        "<script>no</script><style>no</style><noscript>no</noscript><i hidden>no</i><b style='display:none'>no</b>"
+        "<div hidden><div>no</div>no</div><ul><li>a<li>b</ul>"
+        "<table><tr><th>k<th>value<tr><td>longer<td>1</table>yes<p>end")
+    lines = [line.strip() for line in html_text.visible_text(page).splitlines() if line.strip()]
+    assert lines[-6:] == [("- " * 3000 if "li" in around else "") + "- a", "- b", "k      | value", "longer | 1",
+                          "yes", "end"]
+    assert not any("no" in line for line in lines)
+
+
+def test_tables_nested_deep_lose_nothing():
+    words = re.findall(r"w\d+", html_text.visible_text("".join(
+        f"<table><tr><th>w{3 * i}<td>w{3 * i + 1}<br>w{3 * i + 2} " for i in range(2000))))
+    assert sorted(words) == sorted(f"w{i}" for i in range(6000))
+
+
 def test_pages_of_edge_rows(spark):
     pages = spark.createDataFrame(
         [(1, None, None), (None, "", "u"), (2, "<p>a", "u"), (2, "<p>a", "u"), (3, "z" * 300_000, None)],

@@ -1,12 +1,14 @@
 """Visible text of HTML pages, laid out as a browser would: blocks, lists and aligned tables.
 
 A tolerant tree builder supplies the tags that HTML lets authors leave out; visibility rules drop what is not shown;
-rendering keeps the spacing between blocks, marks list items and pads the cells of data tables to columns.
+rendering keeps the spacing between blocks, marks list items and pads the cells of data tables to columns. Both use
+stacks of their own, so pages may nest to any depth.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -39,8 +41,13 @@ SCOPES = {
 TABLE = frozenset(("table",))
 CLOSES_P = BLOCKS - frozenset("html body option optgroup tr td th thead tbody tfoot caption".split())
 P_SCOPE = frozenset(("table", "td", "th", "caption", "button", "object"))
-#: Deeper elements become siblings, as in browsers; their text stays.
-MAX_DEPTH = 200
+#: In a table they tell that it holds data; the others, in a cell, that the table only lays out the page.
+DATA_MARKS = frozenset("th caption thead tfoot".split())
+LAYOUT_MARKS = frozenset("table article aside footer header main nav section h1".split())
+#: A table that holds tables nested this deep lays out the page, whatever its marks.
+LAYOUT_NESTING = 8
+#: Nested lists and quotes are indented up to this width; deeper ones keep their marks, but move no further.
+MAX_INDENT = 400
 #: A table is aligned if all its cells are single lines up to this width; wider ones are laid out as blocks.
 MAX_CELL = 80
 MAX_COLSPAN = 1000
@@ -57,6 +64,8 @@ class Node:
     tag: str
     attributes: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)
+    #: Of a table: whether it shows signs of data or of layout.
+    signs: frozenset[str] = frozenset()
 
 
 # ---- tokens ----------------------------------------------------------------------------------------------------
@@ -126,19 +135,33 @@ def tag_end(html: str, at: int, last_quote: dict[str, int]) -> int:
 def tree(html: str) -> Node:
     root = Node("html")
     stack = [root]
+    #: Where the open elements of each name stand in the stack: no end tag has to search it.
+    places: dict[str, list[int]] = defaultdict(list)
+
+    def last(names) -> int:
+        return max((places[n][-1] for n in names if n in places and places[n]), default=0)
+
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            places[stack.pop().tag].pop()
 
     def close(names: tuple[str, ...], scope: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return
-            if stack[i].tag in scope:
-                return
+        at = last(names)
+        if at and at >= last(scope):
+            cut(at)
 
     def open_(tag: str, attributes: dict[str, str]) -> None:
         node = Node(tag, attributes)
         stack[-1].children.append(node)
-        if tag not in VOID and len(stack) < MAX_DEPTH:
+        tables = places["table"]
+        if tables and tag in DATA_MARKS:
+            stack[tables[-1]].signs |= {"data"}
+        if tables and tag in LAYOUT_MARKS:
+            stack[tables[-1]].signs |= {"layout"}
+        if tag == "table" and len(tables) >= LAYOUT_NESTING:
+            stack[tables[-LAYOUT_NESTING]].signs |= {"deep"}
+        if tag not in VOID:
+            places[tag].append(len(stack))
             stack.append(node)
 
     for kind, value, attributes in tokens(html):
@@ -155,7 +178,7 @@ def tree(html: str) -> Node:
             if value in CLOSES_P:
                 close(("p",), P_SCOPE)
             if value in BLOCKS and stack[-1].tag == "head":
-                stack.pop()
+                cut(len(stack) - 1)
             if value in ENDS:
                 close(ENDS[value], SCOPES.get(value, TABLE))
                 if value in ("thead", "tbody", "tfoot"):
@@ -187,14 +210,26 @@ def visible(node: Node) -> bool:
     return not INVISIBLE.search(node.attributes.get("style", ""))
 
 
+@dataclass(slots=True)
+class Part:
+    """A stretch of lines laid out for itself: what its first line begins with, and how far the others are indented."""
+
+    mark: str = ""
+    indent: str = ""
+    started: bool = False
+    #: Whether an empty line was due where it stands.
+    blank_before: bool = False
+
+
 class Flow:
-    """Lines of text so far, the line being written, and how many empty lines stand before the next one."""
+    """Lines of text so far, the line being written, and whether an empty line stands before the next one."""
 
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.current: list[str] = []
         self.blank_due = False
         self.space_due = False
+        self.parts = [Part()]
 
     def text(self, value: str) -> None:
         words = BLANKS.sub(" ", value)
@@ -213,113 +248,167 @@ class Flow:
         self.current, self.space_due = [], False
 
     def put(self, lines: list[str]) -> None:
-        if self.blank_due and self.lines:
+        if not lines:
+            return
+        # Parts that have no line yet are the last ones; their marks stand before this line.
+        first = len(self.parts)
+        while first and not self.parts[first - 1].started:
+            first -= 1
+        fresh = self.parts[first:]
+        if first and (fresh[0].blank_before if fresh else self.blank_due):
             self.lines.append("")
+        begin = (self.parts[first - 1].indent if first else "") + "".join(part.mark for part in fresh)
+        for part in fresh:
+            part.started = True
         self.blank_due = False
-        self.lines.extend(lines)
+        indent = self.parts[-1].indent
+        if not fresh:
+            begin = indent if lines[0] else ""
+        self.lines.append(begin + lines[0])
+        self.lines.extend(indent + line if line else "" for line in lines[1:])
 
     def gap(self) -> None:
         self.end_line()
         self.blank_due = True
 
+    def enter(self, mark: str = "") -> None:
+        """Begin a part; the line before it has ended."""
+        indent = (self.parts[-1].indent + " " * len(mark))[:MAX_INDENT]
+        self.parts.append(Part(mark, indent, False, self.blank_due))
+        self.blank_due = False
+
+    def leave(self) -> None:
+        self.end_line()
+        part = self.parts.pop()
+        self.blank_due = part.blank_before and not part.started
+
+    def line_break(self) -> None:
+        if self.current:
+            self.end_line()
+        elif self.parts[-1].started and self.lines[-1]:
+            self.put([""])
+
     def done(self) -> list[str]:
         self.end_line()
         return self.lines
 
 
+def _first_number(parent: Node) -> int:
+    start = parent.attributes.get("start", "").strip() if parent.tag == "ol" else ""
+    return int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
+
+
 def laid_out(children: list, parent: Node) -> list[str]:
     flow = Flow()
-    number = 1
-    if parent.tag == "ol":
-        start = parent.attributes.get("start", "").strip()
-        number = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
-    _flow(children, flow, parent, [number])
-    return flow.done()
+    # Elements that have been begun: what is left of them, the block they stand in, its next number, and what ends them.
+    begun = [(iter(children), parent, [_first_number(parent)], ())]
 
+    def begin(node: Node, block: Node, number: list[int], *ends) -> None:
+        begun.append((iter(node.children), block, number, ends))
 
-def _flow(children: list, flow: Flow, parent: Node, number: list[int]) -> None:
-    closed = parent.tag == "details" and "open" not in parent.attributes
-    for child in children:
-        if isinstance(child, str):
-            if not closed:
-                flow.text(child)
-            continue
-        tag = child.tag
-        if not visible(child) or (closed and tag != "summary"):
-            continue
-        if tag == "br":
-            if flow.current:
-                flow.end_line()
-            elif flow.lines and flow.lines[-1]:
-                flow.put([""])
-        elif tag == "input":
-            flow.text(f" {child.attributes.get('value', '')} ")
-        elif tag in ("pre", "xmp", "textarea"):
-            flow.gap()
-            lines = _plain(child).replace("\r\n", "\n").split("\n")
-            while lines and not lines[0].strip():
-                lines.pop(0)
-            while lines and not lines[-1].strip():
-                lines.pop()
-            if lines:
-                flow.put(lines)
-            flow.gap()
-        elif tag == "table":
-            flow.gap()
-            if lines := _table(child):
-                flow.put(lines)
-            flow.gap()
-        elif tag == "li":
-            flow.end_line()
-            mark = "- "
-            if parent.tag == "ol":
-                value = child.attributes.get("value", "").strip()
-                if re.fullmatch(r"-?[0-9]{1,9}", value):
-                    number[0] = int(value)
-                mark = f"{number[0]}. "
-                number[0] += 1
-            lines = laid_out(child.children, child)
-            if lines:
-                flow.put([(mark if i == 0 else " " * len(mark) if line else "") + line
-                          for i, line in enumerate(lines)])
-        elif tag in ("blockquote", "dd"):
-            flow.gap() if tag == "blockquote" else flow.end_line()
-            lines = laid_out(child.children, child)
-            if lines:
-                flow.put(["  " + line if line else "" for line in lines])
-            flow.gap() if tag == "blockquote" else flow.end_line()
-        elif tag in ("ul", "ol", "menu", "dir"):
-            nested = parent.tag == "li"
-            flow.end_line() if nested else flow.gap()
-            if lines := laid_out(child.children, child):
+    while begun:
+        rest, parent, number, ends = begun[-1]
+        depth = len(begun)
+        closed = parent.tag == "details" and "open" not in parent.attributes
+        for child in rest:
+            if isinstance(child, str):
+                if not closed:
+                    flow.text(child)
+                continue
+            tag = child.tag
+            if not visible(child) or (closed and tag != "summary"):
+                continue
+            if tag == "br":
+                flow.line_break()
+            elif tag == "input":
+                flow.text(f" {child.attributes.get('value', '')} ")
+            elif tag in ("pre", "xmp", "textarea"):
+                flow.gap()
+                lines = _plain(child).replace("\r\n", "\n").split("\n")
+                while lines and not lines[0].strip():
+                    lines.pop(0)
+                while lines and not lines[-1].strip():
+                    lines.pop()
                 flow.put(lines)
-            flow.end_line() if nested else flow.gap()
-        elif tag in BLOCKS:
-            spaced = tag in SPACED
-            flow.gap() if spaced else flow.end_line()
-            _flow(child.children, flow, child, [1])
-            flow.gap() if spaced else flow.end_line()
+                flow.gap()
+            elif tag == "table":
+                flow.gap()
+                if _is_layout(child):
+                    flow.enter()
+                    begin(_stacked(child), child, [1], flow.leave, flow.gap)
+                else:
+                    flow.put(_table(child))
+                    flow.gap()
+            elif tag == PART:
+                flow.enter()
+                begin(child, child, [1], flow.leave)
+            elif tag == "li":
+                flow.end_line()
+                mark = "- "
+                if parent.tag == "ol":
+                    value = child.attributes.get("value", "").strip()
+                    if re.fullmatch(r"-?[0-9]{1,9}", value):
+                        number[0] = int(value)
+                    mark = f"{number[0]}. "
+                    number[0] += 1
+                flow.enter(mark)
+                begin(child, child, [1], flow.leave)
+            elif tag in ("blockquote", "dd"):
+                end = flow.gap if tag == "blockquote" else flow.end_line
+                end()
+                flow.enter("  ")
+                begin(child, child, [1], flow.leave, end)
+            elif tag in ("ul", "ol", "menu", "dir"):
+                end = flow.end_line if parent.tag == "li" else flow.gap
+                end()
+                flow.enter()
+                begin(child, child, [_first_number(child)], flow.leave, end)
+            elif tag in BLOCKS:
+                end = flow.gap if tag in SPACED else flow.end_line
+                end()
+                begin(child, child, [1], end)
+            else:
+                begin(child, parent, number)
+            if len(begun) > depth:
+                break
         else:
-            _flow(child.children, flow, parent, number)
+            begun.pop()
+            for end in ends:
+                end()
+    return flow.done()
 
 
 def _plain(node: Node) -> str:
     """Text as it stands, line ends kept."""
     parts = []
-    for child in node.children:
+    left = node.children[::-1]
+    while left:
+        child = left.pop()
         if isinstance(child, str):
             parts.append(child)
         elif child.tag == "br":
             parts.append("\n")
         elif visible(child):
-            parts.append(_plain(child))
+            left.extend(reversed(child.children))
     return "".join(parts)
 
 
-def _table(table: Node) -> list[str]:
-    above: list[str] = []
-    rows: list[list[Node]] = []
+#: What is laid out for itself in a layout table: no tag has this name.
+PART = "#part"
+
+
+def _is_layout(table: Node) -> bool:
+    """Told by what the table says of itself and holds; with signs of both, it holds data."""
+    if "deep" in table.signs or table.attributes.get("role", "").lower() in ("presentation", "none"):
+        return True
+    return "layout" in table.signs and "data" not in table.signs
+
+
+def _gathered(table: Node) -> tuple[list, list[Node], list[list[Node]]]:
+    """What stands outside its cells, its captions, and the cells of its rows."""
     loose: list = []
+    captions: list[Node] = []
+    rows: list[list[Node]] = []
 
     def gather(node: Node) -> None:
         for child in node.children:
@@ -329,7 +418,7 @@ def _table(table: Node) -> list[str]:
             elif not visible(child):
                 continue
             elif child.tag == "caption":
-                above.extend(laid_out(child.children, child))
+                captions.append(child)
             elif child.tag in ("thead", "tbody", "tfoot"):
                 gather(child)
             elif child.tag == "tr":
@@ -340,8 +429,20 @@ def _table(table: Node) -> list[str]:
                 loose.append(child)
 
     gather(table)
+    return loose, captions, rows
+
+
+def _stacked(table: Node) -> Node:
+    """A layout table: its parts one below the other; what stands outside its cells is shown before it."""
+    loose, captions, rows = _gathered(table)
+    return Node(PART, children=[Node(PART, children=loose), *[
+        Node(PART, children=c.children) for c in [*captions, *[c for row in rows for c in row]]]])
+
+
+def _table(table: Node) -> list[str]:
+    loose, captions, rows = _gathered(table)
     # What stands in a table outside its cells is shown before it.
-    above = laid_out(loose, Node("div")) + above
+    above = laid_out(loose, Node("div")) + [line for c in captions for line in laid_out(c.children, c)]
     grid = _grid(rows)
     texts = [[(laid_out(c.children, c) if c else []) for c in row] for row in grid]
     if all(len(t) <= 1 and (not t or len(t[0]) <= MAX_CELL) for row in texts for t in row):
