@@ -253,6 +253,44 @@ def test_tables_nested_deep_lose_nothing():
     assert sorted(words) == sorted(f"w{i}" for i in range(6000))
 
 
+FOREIGN_CASES = {
+    "<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here": "so x=2 here",
+    "<math><semantics><mi>y</mi><annotation encoding='x'>no</annotation><annotation-xml><ci>no</ci></annotation-xml>"
+    "</semantics></math>": "y",
+    "<math><mfrac><mn>1</mn><mn>2</mn></mfrac></math>": "1 2",
+    "<svg><title>no</title><desc>no</desc><metadata>no</metadata><defs><text>no</text></defs><style>no</style>"
+    "<text>a <tspan>b</tspan></text><text x=1>c</text></svg>d": "a b\nc\nd",
+    "<svg><defs/><title/><path d='M0 0'/><text><tspan x=0>a</tspan><tspan x=0 dy=9>b</tspan></text></svg>c": "a\nb\nc",
+    "<svg><foreignObject><p>a<p>b</foreignObject><text>c</text></svg>": "a\n\nb\n\nc",
+    "<svg><text><![CDATA[a < b]]></text></svg>": "a < b",
+    "<svg hidden><text>no</text></svg><svg><path><p>yes": "yes",
+    "<svg><text display=none>no</text><g visibility='hidden'><text>no</text></g><defs><br/>yes": "yes",
+    "<desc>shown</desc> <symbol>in HTML</symbol>": "shown in HTML",
+}
+
+
+@pytest.mark.parametrize("html", FOREIGN_CASES)
+def test_drawings_and_formulas_are_shown(html):
+    assert html_text.visible_text(html) == FOREIGN_CASES[html]
+
+
+def test_no_visible_word_of_drawings_and_formulas_is_lost():
+    rng = random.Random(6)
+    tags = "p div b ul li table tr td span math mi mo mn mrow mfrac svg text tspan g foreignObject a section".split()
+    for _ in range(400):
+        parts, words = [], []
+        for i in range(rng.randrange(1, 40)):
+            kind = rng.random()
+            if kind < 0.4:
+                parts.append(f"<{rng.choice(tags)}{rng.choice(['', '', '/', ' x=1'])}>")
+            elif kind < 0.6:
+                parts.append(f"</{rng.choice(tags)}>")
+            else:
+                words.append(f"w{i}")
+                parts.append(f" w{i} ")
+        assert sorted(re.findall(r"w\d+", html_text.visible_text("".join(parts)))) == sorted(words)
+
+
 def test_pages_of_edge_rows(spark):
     pages = spark.createDataFrame(
         [(1, None, None), (None, "", "u"), (2, "<p>a", "u"), (2, "<p>a", "u"), (3, "z" * 300_000, None)],

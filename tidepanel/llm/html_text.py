@@ -21,7 +21,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their content is text up to their own end tag.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video "
-                   "canvas svg math meta link base param source track col colgroup".split())
+                   "canvas meta link base param source track col colgroup".split())
+#: Drawings and formulas are shown, but for what only describes or defines something in them.
+FOREIGN = ("svg", "math")
+SVG_HIDDEN = frozenset("title desc defs metadata style script symbol clippath mask marker pattern filter "
+                       "lineargradient radialgradient".split())
+MATH_HIDDEN = frozenset("annotation annotation-xml mphantom".split())
+#: In them HTML begins again.
+INTEGRATION = ("foreignobject", "desc", "mi", "mo", "mn", "ms", "mtext", "annotation-xml")
+#: HTML elements that end a drawing or a formula left open.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta "
+    "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Their children stand above, below or beside each other: they are no single number or word.
+APART = frozenset("mfrac mroot msub msup msubsup munder mover munderover mmultiscripts mtable mtr mlabeledtr".split())
 #: Blocks; those with a margin are set off by an empty line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset menu hr xmp".split())
 BLOCKS = SPACED | frozenset(
@@ -64,7 +77,7 @@ class Node:
     tag: str
     attributes: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)
-    #: Of a table: whether it shows signs of data or of layout.
+    #: Of a table: whether it shows signs of data or of layout. Of an element of a drawing: whether it has its own line.
     signs: frozenset[str] = frozenset()
 
 
@@ -72,8 +85,12 @@ class Node:
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
-    """``(kind, name or text, attributes)``; kinds are text, start and end. Every character is looked at a few times."""
+    """``(kind, name or text, attributes)``; kinds are text, raw, start, empty and end.
+
+    Every character is looked at a few times. An empty element is one that ends itself, in a drawing or a formula.
+    """
     lowered = None
+    spaces: list[str] = []  # open drawings and formulas, and HTML inside them
     last_quote = {q: html.rfind(q) for q in "\"'"}
     at, n = 0, len(html)
     while at < n:
@@ -88,6 +105,12 @@ def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             end = html.find("-->", tag + 4)
             at = n if end < 0 else end + 3
             continue
+        foreign = bool(spaces) and spaces[-1] in FOREIGN
+        if foreign and html.startswith("<![CDATA[", tag):
+            end = html.find("]]>", tag)
+            yield "raw", html[tag + 9:n if end < 0 else end], {}
+            at = n if end < 0 else end + 3
+            continue
         if following in ("!", "?"):
             end = html.find(">", tag)
             at = n if end < 0 else end + 1
@@ -100,6 +123,9 @@ def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
         end = tag_end(html, name.end(), last_quote)
         tag_name = name[0].lower()
         if following == "/":
+            if tag_name in spaces:
+                while spaces.pop() != tag_name:
+                    pass
             yield "end", tag_name, {}
             at = end + 1
             continue
@@ -108,8 +134,16 @@ def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str]]]:
         if inside and not inside.isspace():
             for key, *values in ATTRIBUTE.findall(inside):
                 attributes.setdefault(key.lower(), unescape("".join(values)))
-        yield "start", tag_name, attributes
         at = end + 1
+        if inside.endswith("/") and (tag_name in FOREIGN or (foreign and tag_name not in BREAKOUT)):
+            yield "empty", tag_name, attributes
+            continue
+        if foreign and tag_name in BREAKOUT:
+            while spaces and spaces[-1] in FOREIGN:
+                spaces.pop()
+        elif tag_name in FOREIGN or (foreign and tag_name == "foreignobject"):
+            spaces.append(tag_name)
+        yield "start", tag_name, attributes
         if tag_name in RAW and at < n:
             lowered = lowered or html.replace("İ", ".").lower()
             close = lowered.find("</" + tag_name, at)
@@ -150,8 +184,20 @@ def tree(html: str) -> Node:
         if at and at >= last(scope):
             cut(at)
 
-    def open_(tag: str, attributes: dict[str, str]) -> None:
+    def open_(tag: str, attributes: dict[str, str], empty: bool = False) -> None:
         node = Node(tag, attributes)
+        svg, math = last(("svg",)), last(("math",))
+        if svg and svg > max(math, last(("foreignobject",))):
+            if (tag in SVG_HIDDEN or attributes.get("display") == "none"
+                    or attributes.get("visibility") in ("hidden", "collapse")):
+                attributes["hidden"] = ""
+            elif tag in ("text", "foreignobject") or (tag == "tspan" and not attributes.keys().isdisjoint("xy")):
+                node.signs |= {"line"}
+        elif math > svg:
+            if tag in MATH_HIDDEN:
+                attributes["hidden"] = ""
+            if stack[-1].tag in APART:
+                stack[-1].children.append(" ")
         stack[-1].children.append(node)
         tables = places["table"]
         if tables and tag in DATA_MARKS:
@@ -160,7 +206,7 @@ def tree(html: str) -> Node:
             stack[tables[-1]].signs |= {"layout"}
         if tag == "table" and len(tables) >= LAYOUT_NESTING:
             stack[tables[-LAYOUT_NESTING]].signs |= {"deep"}
-        if tag not in VOID:
+        if tag not in VOID and not empty:
             places[tag].append(len(stack))
             stack.append(node)
 
@@ -169,7 +215,12 @@ def tree(html: str) -> Node:
             stack[-1].children.append(unescape(value))
         elif kind == "raw":
             stack[-1].children.append(unescape(value) if stack[-1].tag == "textarea" else value)
+        elif kind == "empty":
+            open_(value, attributes, True)
         elif kind == "start":
+            if value in BREAKOUT:
+                while (at := last(FOREIGN)) and at > last(INTEGRATION):
+                    cut(at)
             if value in ("html", "body"):
                 # They are there already; a head that was left open ends here.
                 if value == "body":
@@ -363,7 +414,7 @@ def laid_out(children: list, parent: Node) -> list[str]:
                 end()
                 flow.enter()
                 begin(child, child, [_first_number(child)], flow.leave, end)
-            elif tag in BLOCKS:
+            elif tag in BLOCKS or "line" in child.signs:
                 end = flow.gap if tag in SPACED else flow.end_line
                 end()
                 begin(child, child, [1], end)
