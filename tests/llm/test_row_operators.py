@@ -291,6 +291,33 @@ def test_no_visible_word_of_drawings_and_formulas_is_lost():
         assert sorted(re.findall(r"w\d+", html_text.visible_text("".join(parts)))) == sorted(words)
 
 
+LONG = "long " * 30 + "end"
+TABLE_CASES = {
+    f"<table><tr><th>k<th>text<th>n<tr><td>a<td>{LONG}<td>1<tr><td>b<td><td>2</table>":
+        f"k | text | n\na | {LONG} | 1\nb |      | 2",
+    "<table><tr><td>key<td>one<br>two<td>1<tr><td>k<td>three<td>2</table>":
+        "key | one   | 1\n    | two\nk   | three | 2",
+    "<table><tr><td><ul><li>x<li>y</ul><td><p>p<p>q<td>1<tr><td>k<td><td>2</table>":
+        "- x | p | 1\n- y\n    | q\nk   |   | 2",
+    f"<table role=presentation><tr><td>menu<td>{LONG}</table>": f"menu\n{LONG}",
+    f"<table><tr><td>menu<td><h1>t</h1>{LONG}</table>": f"menu\nt\n\n{LONG}",
+    "<table><tr><td>menu<td>x<table><tr><td>a<td>1<br>2</table></table>": "menu\nx\n\na | 1\n  | 2",
+    "<table><tr><th>k<td>x<table><tr><td>a<td>1<tr><td>b<td>2</table></table>": "k | x\n  | a | 1\n  | b | 2",
+}
+
+
+@pytest.mark.parametrize("html", TABLE_CASES)
+def test_tables_are_aligned_whatever_the_cells_hold(html):
+    assert html_text.visible_text(html).splitlines() == TABLE_CASES[html].splitlines()
+
+
+def test_padding_of_large_tables_is_bounded():
+    page = "<table><tr>" + "<td>a" * 3000 + "<td>" + "x<br>" * 3000 + "<tr><td>b<td>c</table>"
+    text = html_text.visible_text(page)
+    assert len(text) < 20_000 and text.splitlines()[1] == "b | c"
+    assert text.splitlines()[0] == "a | " * 3000 + " ".join("x" * 3000)
+
+
 def test_pages_of_edge_rows(spark):
     pages = spark.createDataFrame(
         [(1, None, None), (None, "", "u"), (2, "<p>a", "u"), (2, "<p>a", "u"), (3, "z" * 300_000, None)],

@@ -12,6 +12,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,8 +62,10 @@ LAYOUT_MARKS = frozenset("table article aside footer header main nav section h1"
 LAYOUT_NESTING = 8
 #: Nested lists and quotes are indented up to this width; deeper ones keep their marks, but move no further.
 MAX_INDENT = 400
-#: A table is aligned if all its cells are single lines up to this width; wider ones are laid out as blocks.
+#: Lines of cells are padded to at most this width; longer ones run on, and the separator follows them.
 MAX_CELL = 80
+#: A table that padding makes this many times as long as its text, and longer than MAX_PADDED, has one line a row.
+PADDED_TIMES, MAX_PADDED = 100, 1_000_000
 MAX_COLSPAN = 1000
 
 SPECIAL = re.compile(r"[>\"']")
@@ -496,14 +499,28 @@ def _table(table: Node) -> list[str]:
     above = laid_out(loose, Node("div")) + [line for c in captions for line in laid_out(c.children, c)]
     grid = _grid(rows)
     texts = [[(laid_out(c.children, c) if c else []) for c in row] for row in grid]
-    if all(len(t) <= 1 and (not t or len(t[0]) <= MAX_CELL) for row in texts for t in row):
-        columns = max(map(len, texts), default=0)
-        widths = [max((len(row[i][0]) for row in texts if i < len(row) and row[i]), default=0)
-                  for i in range(columns)]
-        lines = [" | ".join((t[0] if t else "").ljust(w) for t, w in zip(row, widths)).rstrip(" |")
-                 for row in texts]
-        return above + [line for line in lines if line]
-    return above + [line for row in texts for t in row for line in t]
+    return above + _aligned(texts)
+
+
+def _aligned(texts: list[list[list[str]]]) -> list[str]:
+    """Rows of cells, each a list of lines: the lines of a cell stand below each other in its column."""
+    widths = [0] * max(map(len, texts), default=0)
+    for row in texts:
+        for i, cell in enumerate(row):
+            widths[i] = max([widths[i], *[len(line) for line in cell if len(line) <= MAX_CELL]])
+    upto = [0, *accumulate(w + 3 for w in widths)]
+    padded = sum(max(map(len, row), default=0) * upto[len(row)] for row in texts)
+    if padded > MAX_PADDED + PADDED_TIMES * sum(len(line) for row in texts for cell in row for line in cell):
+        texts = [[[" ".join(filter(None, cell))] if cell else [] for cell in row] for row in texts]
+        widths = [0] * len(widths)
+    lines = []
+    for row in texts:
+        for k in range(max(map(len, row), default=0)):
+            cells = [cell[k] if k < len(cell) else "" for cell in row]
+            line = " | ".join(c.ljust(w) for c, w in zip(cells, widths)).rstrip(" |")
+            if line or (k and len(row) == 1):  # an empty line would part a row of several cells
+                lines.append(line)
+    return lines
 
 
 def _grid(rows: list[list[Node]]) -> list[list[Node | None]]:
