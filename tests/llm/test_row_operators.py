@@ -306,6 +306,12 @@ TABLE_CASES = {
 }
 
 
+TABLE_CASES |= {
+    "<table><tr><td>or<td>|<tr><td>pipe<td>a |<tr><td>shell<td>||<td><td></table>": "or    | |\npipe  | a |\nshell | ||",
+    "<table><tr><td>|<td>||<tr><td>a<td></table>": "| | ||\na",
+}
+
+
 @pytest.mark.parametrize("html", TABLE_CASES)
 def test_tables_are_aligned_whatever_the_cells_hold(html):
     assert html_text.visible_text(html).splitlines() == TABLE_CASES[html].splitlines()

@@ -517,7 +517,9 @@ def _aligned(texts: list[list[list[str]]]) -> list[str]:
     for row in texts:
         for k in range(max(map(len, row), default=0)):
             cells = [cell[k] if k < len(cell) else "" for cell in row]
-            line = " | ".join(c.ljust(w) for c, w in zip(cells, widths)).rstrip(" |")
+            while cells and not cells[-1].strip():
+                cells.pop()
+            line = " | ".join(c.ljust(w) for c, w in zip(cells, widths)).rstrip(" ")
             if line or (k and len(row) == 1):  # an empty line would part a row of several cells
                 lines.append(line)
     return lines
