@@ -120,6 +120,27 @@ def test_decontamination_of_edge_rows(spark, edge_docs, edge_rows, no_docs, make
         assert decontaminate.decontaminated(docs, bench).count() == docs.count()
 
 
+def test_blocks_of_items_are_bounded(spark, make_docs):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(400)]
+    texts = [" ".join(rng.sample(words, 6)) for _ in range(60)]
+    rows = [(i, texts[i % 60] if i % 3 else texts[0].upper(), "x") for i in range(600)] + [(7, texts[7], "x")] * 3
+    items = spark.createDataFrame(rows, "item_id int, text string, distance string")
+    blocks = decontaminate.item_blocks(items, "item_id", "text", 2000)
+    held = [decontaminate.collected(block) for block in blocks]
+    largest = len(texts[0]) + decontaminate.ID_CHARS * 220
+    assert len(blocks) > 3 and all(sum(len(norm) + decontaminate.ID_CHARS * len(ids) for ids, norm in block) <= (
+        2000 if len(block) > 1 else largest) for block in held)
+    assert sorted((i, norm) for block in held for ids, norm in block for i, n in ids for _ in range(n)) == sorted(
+        (i, decontaminate.normalised(t)) for i, t, _ in rows)
+    docs = make_docs([(i, f"some {text} more", "a") for i, text in enumerate(texts[:20])] + [(99, "clean", "a")] * 2)
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items, block_chars=2000).collect())
+    assert got == sorted((d, i) for d in range(20) for i, t, _ in rows if t.lower() == texts[d])
+    kept = decontaminate.decontaminated(docs, items, block_chars=2000)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [
+        *range(3, 20, 3), 99, 99]
+
+
 # ---- quality ---------------------------------------------------------------------------------------------------
 
 

@@ -13,15 +13,21 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import free_name
+from tidepanel.llm.common import free_name, remove, saved
+from tidepanel.sources.storage import scratch_dir
 
 #: Edits allowed per character of an item's normalised text.
 ERROR_RATE = 0.08
-#: Characters of items that are broadcast and searched at a time.
+#: Characters of items, and ID_CHARS for each id, that are collected, broadcast and searched at a time.
 BLOCK_CHARS = 4_000_000
+ID_CHARS = 16
+#: About so many ids of equal items stay together.
+IDS = 10_000
+#: Each block is put together from about so many buckets of items.
+BUCKETS = 16
 WORDS = re.compile(r"\w+")
 
 
@@ -113,14 +119,47 @@ class Items:
         return sorted(found)
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> list[list[tuple[object, str]]]:
-    """All items, normalised, in blocks whose size is checked: about ``block_chars`` characters each."""
-    chosen = benchmark.select(F.col(item_id).alias("id"), F.col(text).alias("text")).where("length(text) > 0")
-    total = chosen.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    count = math.ceil(total / block_chars)
-    numbered = chosen.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(max(count, 1))))
-    return [[(row["id"], normalised(row["text"])) for row in numbered.where(F.col("block") == b).collect()]
-            for b in range(count)]
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> list[DataFrame]:
+    """The items as tables ``(norm, ids)`` small enough to be collected one at a time: none is empty.
+
+    ``norm`` is the normalised text, ``ids`` lists ``(id, n)``: the ids of equal items and how often they occur. A
+    block counts at most ``block_chars``, or else holds one entry of more than half of that.
+    """
+    @F.arrow_udf("string")
+    def norm(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([normalised(value.as_py()) for value in batch], pa.string())
+
+    ids = math.ceil(benchmark.count() / IDS)
+    entries = saved(
+        benchmark.select(F.col(item_id).alias("id"), norm(F.col(text)).alias("norm")).where("length(norm) > 0")
+        .groupBy("id", "norm").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("norm", F.pmod(F.xxhash64("id"), F.lit(max(ids, 1))).alias("share"))
+        .agg(F.collect_list(F.struct("id", "n")).alias("ids"))
+        .withColumn("size", F.length("norm") + F.size("ids").cast("long") * ID_CHARS), "items")
+    total = entries.agg(F.sum("size")).first()[0] or 0
+    if total <= block_chars:
+        return [entries.select("norm", "ids")] if total else []
+    buckets = BUCKETS * math.ceil(total / block_chars)
+    before = Window.partitionBy("bucket").orderBy("norm", "share").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = saved(
+        entries.withColumn("bucket", F.pmod(F.xxhash64("norm", "share"), F.lit(buckets)))
+        .withColumn("part", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) * 2 / block_chars).cast("long")),
+        "items")
+    first, held = [], 0
+    for row in dealt.groupBy("bucket", "part").agg(F.sum("size").alias("size")).orderBy("bucket", "part").collect():
+        if not first or held + row["size"] > block_chars:
+            first.append((row["bucket"], row["part"]))
+            held = 0
+        held += row["size"]
+    place = F.struct("bucket", "part")
+    starts = [F.struct(F.lit(bucket).cast("long"), F.lit(part).cast("long")) for bucket, part in first]
+    return [dealt.where((place >= low) & (place < high if high is not None else F.lit(True))).select("norm", "ids")
+            for low, high in zip(starts, [*starts[1:], None])]
+
+
+def collected(block: DataFrame) -> list[tuple[list[tuple[object, int]], str]]:
+    return [([(entry["id"], entry["n"]) for entry in row["ids"]], row["norm"]) for row in block.collect()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -130,41 +169,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     ``distance`` is the smallest over the whole normalised text. Null, empty and wordless documents and items hold
     and match nothing. Repeated rows each give their rows, as do repeated items. An empty table on either side gives
-    no rows. Other columns are not read. Documents are only scanned, once per block of items, and never shuffled.
+    no rows. Other columns are not read. Documents are only scanned, once per block of items, and never shuffled;
+    blocks are searched one after the other, and what is found is written at once.
     """
     spark = docs.sparkSession
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     item_type = benchmark.schema[item_id].dataType
     schema = (chosen.drop("text").schema.add("item_id", item_type)
               .add("distance", "integer").add("budget", "integer"))
-    parts = []
-    for block in item_blocks(benchmark, item_id, item_text, block_chars):
-        shared = spark.sparkContext.broadcast(block)
+    blocks = item_blocks(benchmark, item_id, item_text, block_chars)
+    if not blocks:
+        return spark.createDataFrame([], schema)
+    path = scratch_dir(spark, "contaminated")
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(collected(block))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = Items(shared.value, rate)
             for batch in batches:
-                rows, numbers, distances = [], [], []
+                rows, keys, distances, budgets = [], [], [], []
                 for i, value in enumerate(batch.column(1)):
                     for number, distance in items.found_in(normalised(value.as_py())):
-                        rows.append(i)
-                        numbers.append(number)
-                        distances.append(distance)
-                keys = pa.array([items.items[n][0] for n in numbers])
+                        ids, _, errors = items.items[number]
+                        found = [key for key, times in ids for _ in range(times)]
+                        keys.extend(found)
+                        for column, entry in ((rows, i), (distances, distance), (budgets, errors)):
+                            column.extend([entry] * len(found))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(rows, pa.int64())),
-                    keys if numbers else pa.array([], pa.null()),
-                    pa.array(distances, pa.int32()),
-                    pa.array([items.items[n][2] for n in numbers], pa.int32()),
+                    pa.array(keys) if keys else pa.array([], pa.null()),
+                    pa.array(distances, pa.int32()), pa.array(budgets, pa.int32()),
                 ], names=["doc_id", "item_id", "distance", "budget"])
 
-        parts.append(chosen.mapInArrow(_cast(search, item_type), schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+        (chosen.mapInArrow(_cast(search, item_type), schema)
+         .write.mode("append").option("compression", "zstd").parquet(path))
+        shared.destroy()
+    return spark.read.schema(schema).parquet(path)
 
 
 def _cast(search, item_type):
@@ -186,18 +226,28 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
                    block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that hold no item; nulls, empty texts and tables as in ``contaminated``.
 
-    Each row is decided by its own text, so ids may be null or repeated. Columns stay as they are.
+    Each row is decided by its own text, so ids may be null or repeated. Columns stay as they are. With more than one
+    block of items, the rows that are left are written after each block but the last.
     """
-    out = docs
-    for block in item_blocks(benchmark, item_id, item_text, block_chars):
+    spark = docs.sparkSession
+    blocks = item_blocks(benchmark, item_id, item_text, block_chars)
+    out, before = docs, None
+    for left, block in zip(range(len(blocks) - 1, -1, -1), blocks):
         flag = free_name(out, "_clean")
-        out = out.withColumn(flag, _clean(docs.sparkSession, block, rate)(F.col(text))).where(F.col(flag)).drop(flag)
+        shared = spark.sparkContext.broadcast(collected(block))
+        out = out.withColumn(flag, _clean(shared, rate)(F.col(text))).where(F.col(flag)).drop(flag)
+        if left:
+            # What is left is written, so that one block is held at a time.
+            path = scratch_dir(spark, "decontaminated")
+            out = saved(out, "decontaminated", path)
+            shared.destroy()
+            if before:
+                remove(spark, before)
+            before = path
     return out
 
 
-def _clean(spark, block, rate):
-    shared = spark.sparkContext.broadcast(block)
-
+def _clean(shared, rate):
     @F.arrow_udf("boolean")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = Items(shared.value, rate)
