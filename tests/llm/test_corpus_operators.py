@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -194,6 +195,20 @@ def test_neighbours_equal_a_full_search(spark):
     assert nearest.nearest(frame.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_rows_of_one_id_all_count(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), rng.integers(-9, 10, size=4).astype(float).tolist()) for i in rng.integers(0, 120, size=400)]
+    frame = spark.createDataFrame(rows + rows[:40], "vec_id long, embedding array<double>")
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as connection:
+        connection.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+        expected = connection.execute(queries.NEAREST_SQL).fetchall()
+    got = queries.QUERIES["op7_nearest_neighbours"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
+    small = nearest.nearest(frame, F.col("vec_id") % 20 == 0, query_block=3, task_rows=30).collect()
+    assert sorted(map(tuple, small)) == sorted(expected)
+
+
 # ---- tokens ----------------------------------------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import saved
+from tidepanel.llm.common import saved, with_row_id
 
 NEAREST = 20
 EVERY = 20
@@ -106,26 +106,26 @@ def nearest(vectors: DataFrame, is_query, k: int = NEAREST, vec_id: str = "vec_i
     """``(query_id, rank, vec_id, score)``: each query's ``k`` nearest by inner product, nearest first.
 
     ``is_query`` is a condition on the table's columns. A query is not its own candidate: rows that share its id are
-    left out. Ties go to the smaller id. Null ids and unusable vectors (see ``usable``) take no part; of rows with
-    one id the one with the smallest vector counts, so repeated rows change nothing. Vectors of another length than
-    a query are no candidates of it. With fewer than ``k`` candidates all are returned; an empty table gives no rows.
+    left out. Ties go to the smaller id. Null ids and unusable vectors (see ``usable``) take no part. Every other row
+    is a candidate, and a query if it asks, whether or not its id or vector is repeated; the queries of one id share
+    its ``k`` ranks. Vectors of another length than a query are no candidates of it. With fewer than ``k`` candidates
+    all are returned; an empty table gives no rows.
 
-    Queries and candidates are dealt to blocks by a hash of the id, and each pair of a query block and a task's share
+    Queries and candidates are dealt to blocks by a hash of the row, and each pair of a query block and a task's share
     of the candidates is one group of a co-group: its size does not depend on the data. Per task and query at most
     ``k`` rows leave; they are cut again before and after the last shuffle.
     """
-    rows = saved(vectors.where(usable(F.col(vector)) & F.col(vec_id).isNotNull())
-            .select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"),
-                    F.coalesce(is_query, F.lit(False)).alias("asks"))
-            .groupBy("id").agg(F.min(F.struct("v", "asks")).alias("one"))
-            .select("id", "one.v", "one.asks", F.size("one.v").alias("dim")), "vectors")
+    rows, row = with_row_id(saved(
+        vectors.where(usable(F.col(vector)) & F.col(vec_id).isNotNull())
+        .select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"),
+                F.coalesce(is_query, F.lit(False)).alias("asks"), F.size(vector).alias("dim")), "vectors"))
     n_all, n_asks = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     if not n_asks:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     groups, shares = math.ceil(n_asks / query_block), math.ceil(n_all / task_rows)
 
     def block(count: int, seed: int):
-        return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).cast("int")
+        return F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(count)).cast("int")
 
     def every(count: int):
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
