@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import (
-    decontaminate, html_text, mixing, nearest, quality, secrets_scan, sharding, simhash, suffixes, tokens,
+    decontaminate, html_text, mixing, nearest, pieces, quality, secrets_scan, sharding, simhash, suffixes, tokens,
 )
 from tidepanel.llm.common import table
 
@@ -152,3 +152,11 @@ def op9_source_mixing(spark, folder):
     return mixing.mix_sources(table(spark, folder, "documents")).select(
         F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
         (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op11_sentencepiece")
+def op11_sentencepiece(spark, folder):
+    return pieces.encoded(table(spark, folder, "documents")).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
