@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import (
-    decontaminate, html_text, mixing, nearest, pieces, quality, secrets_scan, sharding, simhash, suffixes, tokens,
+    alignment, decontaminate, html_text, mixing, nearest, pieces, quality, secrets_scan, sharding, simhash, suffixes,
+    tokens,
 )
 from tidepanel.llm.common import table
 
@@ -160,3 +161,12 @@ def op11_sentencepiece(spark, folder):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark, folder):
+    found = alignment.aligned(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+        .alias("groups_sha256"))
