@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import (
-    alignment, decontaminate, html_text, mixing, nearest, pieces, quality, secrets_scan, sharding, simhash, suffixes,
-    tokens,
+    alignment, decontaminate, html_text, mixing, nearest, pieces, prefix_trie, quality, secrets_scan, sharding,
+    simhash, suffixes, tokens,
 )
 from tidepanel.llm.common import table
 
@@ -170,3 +170,8 @@ def op12_token_alignment(spark, folder):
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
         F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
         .alias("groups_sha256"))
+
+
+@query("op13_prefix_trie")
+def op13_prefix_trie(spark, folder):
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
