@@ -30,12 +30,20 @@ def block_number(index: int) -> int:
     return TaskContext.get().partitionId() << 32 | index
 
 
+def squeezed(data: bytes) -> bytes:
+    return _PACK.compress(data)
+
+
+def stretched(data: bytes) -> bytes:
+    return _UNPACK.decompress(data)
+
+
 def packed(numbers) -> bytes:
     """Non-negative integers below 2**32, byte plane by byte plane, compressed."""
     planes = np.asarray(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4).T
-    return _PACK.compress(np.ascontiguousarray(planes).tobytes())
+    return squeezed(np.ascontiguousarray(planes).tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(_UNPACK.decompress(data), dtype=np.uint8).reshape(4, -1)
+    planes = np.frombuffer(stretched(data), dtype=np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
