@@ -315,6 +315,25 @@ def test_catalog_of_any_depth_is_listed_depth_first(spark):
     assert {r["t"]: r["doc_id"] for r in newest} == {0: 1, 1: 5}
 
 
+def test_catalog_of_a_thousand_levels(spark):
+    def chain(depth):
+        inner = '{"Identifier":7,"Name":"a]\\"{","Children":null}'
+        return '{"IsFolder":true,"x":{"Children":[{"Name":"no"}]},"Children":[' * depth + inner + ",{}]}" * depth
+
+    rows = [
+        (1, chain(2000)), (2, chain(1)), (3, "[{}]"), (4, "{"), (5, '{"Identifier":5,"Name":{"a":[1]},"Children":[[{}]]}'),
+        (6, ' \n{"Children":[{"Identifier":1},{"Identifier":2,"Children":[{"Identifier":3}],"Name":"n"}],"Identifier":9}'),
+    ]
+    trees = spark.createDataFrame([*rows, rows[1]], "t int, tree string")
+    files = catalog.flatten_catalog(trees, keep=["t"])
+    found = sorted((r["t"], r["position"], r["doc_id"] or 0, r["name"] or "") for r in files.collect())
+    assert found == sorted(
+        [(1, 0, 7, 'a]"{')] + [(1, i, 0, "") for i in range(1, 2001)] + [(2, 0, 7, 'a]"{'), (2, 1, 0, "")] * 2
+        + [(5, 0, 5, ""), (6, 0, 9, ""), (6, 1, 1, ""), (6, 2, 2, "n"), (6, 3, 3, "")])
+    short = catalog.flatten_catalog(spark.createDataFrame([(2, chain(1))], "t int, tree string"), keep=["t"])
+    assert len(str(files._jdf.queryExecution().analyzed())) == len(str(short._jdf.queryExecution().analyzed()))
+
+
 def test_catalog_changes(spark):
     columns = "series int, doc_id bigint, size bigint, modified_raw string, name string"
     old = spark.createDataFrame([(1, 7, 10, "a", "n"), (2, 8, None, "a", "n"), (3, 9, 1, "a", "n")], columns)

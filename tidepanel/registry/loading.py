@@ -175,6 +175,32 @@ def s8_flatten_catalog(spark, folder):
     return _catalog(spark, folder).drop("description", "file_name")
 
 
+def supplier_trees(spark, folder):
+    """One chain of folders per supplier, 901 to 1,000 deep, with a file at its end and a note beside its top."""
+    key = F.col("s_suppkey").cast("bigint")
+    kind, none = F.lit(".txt"), F.lit(None).cast("bigint")
+    deep = _file(key * 2, F.concat(F.lit("Deep [list] {"), key.cast("string")), kind, key, F.concat(F.lit("["), F.col("s_name")))
+    note = _file(key * 2 + 1, F.lit('Note "]}"'), kind, none, F.col("s_name"))
+    folders = (1000 - key % 100).cast("int")
+    tree = F.concat(
+        F.lit('{"IsFolder":true,"Children":['),
+        F.repeat(F.lit('{"Name":"f","IsFolder":true,"Owner":{"Children":[{}]},"Children":['), folders),
+        F.to_json(deep), F.repeat(F.lit("]}"), folders), F.lit(","), F.to_json(note), F.lit("]}"),
+    )
+    return star.table(spark, folder, "supplier").select(key.alias("series"), tree.alias("tree"))
+
+
+@query("s8_flatten_deep_catalog", """
+select cast(s_suppkey as bigint) as series, cast(i as integer) as position, cast(s_suppkey * 2 + i as bigint) as doc_id,
+  case i when 0 then 'Deep [list] {' || s_suppkey else 'Note "]}"' end as name,
+  case i when 0 then cast(s_suppkey as bigint) end as size,
+  case i when 0 then '[' else '' end || s_name as modified_raw
+from supplier, range(2) as t(i)""")
+def s8_flatten_deep_catalog(spark, folder):
+    files = catalogs.flatten_catalog(supplier_trees(spark, folder), keep=["series"])
+    return files.select("series", "position", "doc_id", "name", "size", "modified_raw")
+
+
 NEWEST = """newest as (
   select * from {source} where starts_with(lower(name), 'order data') and lower(file_type) = '.xlsx'
     and doc_id <> 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import dotnet_millis, starts_with_text
@@ -21,77 +21,75 @@ FIELDS = {
     "DateModified": "modified_raw string",
 }
 COMPARED = ("doc_id", "size", "modified_raw", "name")
-DOCUMENT_ARRAY = "array<struct<" + ", ".join(c.replace(" ", ": ") for c in FIELDS.values()) + ">>"
-# Everything inside a JSON string, which may hold brackets of its own.
-QUOTED = r'"(?:[^"\\\\]|\\\\.)*"'
+NODE = "IsFolder boolean, " + ", ".join(f"{name} {column.split()[1]}" for name, column in FIELDS.items())
+# A bracket, or everything up to the next one; strings may hold brackets of their own.
+TOKEN = r'[\[\]{}]|(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\[\]{}"]++)++'
+CHILDREN, VALUE = r'"Children"\s*:\s*$', r":\s*$"
 
 
-def _node_schema(depth: int) -> str:
-    """DDL of a tree node whose children nest ``depth`` levels; deeper ones stay unparsed text."""
-    fields = ", ".join(f"{name}: {column.split()[1]}" for name, column in FIELDS.items())
-    children = f"array<{_node_schema(depth - 1)}>" if depth else "string"
-    return f"struct<IsFolder: boolean, {fields}, Children: {children}>"
+def _nodes(trees: DataFrame, tree: str, keep: Sequence[str]) -> DataFrame:
+    """``(tree, at, level, text, kept)``: the nodes of every tree, each with its own fields as a flat JSON text.
 
-
-def _documents(node: Column, depth: int) -> Column:
-    """The files of a node, depth first: the node itself, then what its children hold, in their order."""
-    document = F.struct(*[node[name].alias(column.split()[0]) for name, column in FIELDS.items()])
-    own = F.when(~F.coalesce(node["IsFolder"], F.lit(False)), F.array(document)).otherwise(
-        F.array().cast(DOCUMENT_ARRAY)
-    )
-    own = F.when(node.isNotNull(), own).otherwise(F.array().cast(DOCUMENT_ARRAY))
-    if not depth:
-        return own
-    below = F.flatten(F.transform(node["Children"], lambda child: _documents(child, depth - 1)))
-    return F.concat(own, F.coalesce(below, F.array().cast(DOCUMENT_ARRAY)))
-
-
-def tree_depth(trees: DataFrame, tree: str = "tree") -> int:
-    """How deep the deepest tree nests: one pass over the texts, one number back."""
-    brackets = F.regexp_replace(F.regexp_replace(tree, QUOTED, ""), r"[^\[\]]+", "")
-    steps = F.transform(F.split(brackets, ""), lambda c: F.when(c == "[", 1).when(c == "]", -1).otherwise(0))
-    deepest = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-        lambda state, step: F.struct(
-            (state["now"] + step).alias("now"), F.greatest(state["most"], state["now"] + step).alias("most")
-        ),
-        lambda state: state["most"],
-    )
-    return trees.agg(F.max(deepest)).head()[0] or 0
+    A node is the outermost object, or an object in the ``Children`` array of a node. Brackets that open anything else
+    are foreign, with all that they enclose. Everything is a running sum over the tokens of a tree, so neither the plan
+    nor the number of passes depends on the depth, and one shuffle brings a tree's tokens together.
+    """
+    text = F.ltrim(F.col(tree), F.lit(" \t\r\n"))
+    rows = trees.where(F.startswith(text, F.lit("{"))).select(
+        F.monotonically_increasing_id().alias("tree"), F.struct(F.lit(True).alias("__here"), *keep).alias("kept"),
+        F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    known = F.transform("tokens", lambda t, i: F.struct(
+        t.alias("token"),
+        F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0).alias("step"),
+        F.when(t == "{", ~F.coalesce(F.get("tokens", i - 1).rlike(VALUE), F.lit(False)))
+        .when(t == "[", F.coalesce(F.get("tokens", i - 1).rlike(CHILDREN), F.lit(False))).alias("own")))
+    tokens = rows.select("tree", "kept", F.posexplode(known).alias("at", "t")).select(
+        "tree", F.when(F.col("at") == 0, F.col("kept")).alias("kept"), "at", "t.*")
+
+    upto = Window.partitionBy("tree").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    depth = F.sum("step").over(upto)
+    levels = tokens.withColumns({
+        # An opening and its closing bracket and all between them that no deeper bracket encloses have one level.
+        "level": F.when(F.col("step") < 0, depth + 1).otherwise(depth),
+        "rest": F.sum("step").over(Window.partitionBy("tree")),
+    })
+    inside = Window.partitionBy("tree", "level").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    opener = F.last(F.when(F.col("step") > 0, F.struct("at", "token", "own")), ignorenulls=True).over(inside)
+    matched = levels.where((F.col("rest") == 0) & (F.col("level") > 0)).withColumn("opener", opener)
+    foreign = F.sum(F.when(F.col("opener.own"), 0).otherwise(F.col("step"))).over(upto)
+    clean = matched.withColumn("foreign", foreign).where(
+        (F.col("foreign") == 0) & F.col("opener.own") & (F.col("opener.token") == "{") & (F.col("step") >= 0))
+    # Between two pieces of a node's own text stands one array or object.
+    pieces = F.transform(
+        F.filter(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda t: t["token"] != "{"),
+        lambda t: t["token"])
+    whole = F.concat_ws("null", pieces)
+    return clean.groupBy("tree", F.col("opener.at").alias("at")).agg(
+        F.first("level").alias("level"), F.max("kept").alias("kept"),
+        F.concat(F.lit("{"), whole, F.when(whole.rlike(VALUE), "null").otherwise(""), F.lit("}")).alias("text"))
 
 
 def flatten_catalog(
     trees: DataFrame, tree: str = "tree", keep: Sequence[str] = (), max_depth: int | None = None
 ) -> DataFrame:
-    """One row per file of every JSON tree.
+    """One row per file of every JSON tree, however deep the trees nest.
 
-    ``position`` numbers the files of a tree depth first, as a reader would list them. Columns in ``keep`` are
-    carried along. The schema is made as deep as the deepest tree, which one pass over the texts finds out unless
-    ``max_depth`` says it (deeper children are then an error). Each tree is parsed once, and nothing is shuffled.
+    ``position`` numbers the files of a tree depth first, as a reader would list them: in the order in which they
+    open. Columns in ``keep`` are carried along. Deeper nodes than ``max_depth``, if given, are an error. A text that
+    is no object, or whose brackets don't balance, has no files; a field that holds an object or array is null.
     """
-    depth = tree_depth(trees, tree) if max_depth is None else max_depth
-    rows = trees.select(*keep, F.from_json(tree, _node_schema(depth)).alias("__root"))
-    lowest = _lowest(F.col("__root"), depth)
-    deeper = F.exists(
-        lowest, lambda children: ~F.coalesce(children, F.lit("[]")).isin("[]", "null", "")
-    )
-    message = F.lit(f"the catalog nests deeper than {depth} levels")
-    found = _documents(F.col("__root"), depth)
+    nodes = _nodes(trees, tree, keep).withColumn("node", F.from_json("text", NODE))
     if max_depth is not None:
-        found = F.when(deeper, F.raise_error(message)).otherwise(found)
-    documents = rows.select(*keep, F.posexplode(found).alias("position", "document"))
-    return documents.select(*keep, "position", "document.*").withColumn(
-        "modified_ms", dotnet_millis(F.col("modified_raw"))
-    )
-
-
-def _lowest(node: Column, depth: int) -> Column:
-    """The unparsed children below the last level that the schema has."""
-    if not depth:
-        return F.array(node["Children"])
-    below = F.flatten(F.transform(node["Children"], lambda child: _lowest(child, depth - 1)))
-    return F.coalesce(below, F.array().cast("array<string>"))
+        message = F.lit(f"the catalog nests deeper than {max_depth} levels")
+        nodes = nodes.where(F.when(F.col("level") > 2 * max_depth + 1, F.raise_error(message)).otherwise(F.lit(True)))
+    order = Window.partitionBy("tree").orderBy("at")
+    files = nodes.withColumn("kept", F.first("kept", ignorenulls=True).over(order)).where(
+        "node is not null and not coalesce(node.IsFolder, false)")
+    return files.select(
+        *[F.col("kept")[name].alias(name) for name in keep],
+        (F.row_number().over(order) - 1).alias("position"),
+        *[F.col("node")[name].alias(column.split()[0]) for name, column in FIELDS.items()],
+    ).withColumn("modified_ms", dotnet_millis(F.col("modified_raw")))
 
 
 def latest_document(
