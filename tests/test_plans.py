@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import alias_key, fold_marks, group_key, label_key
 from tidepanel.functions.normalize import GROUP_SEPARATORS, LABEL_SEPARATORS, WHITESPACE, key_of
-from tidepanel.plans import grouped_order_statistics, substring_pairs, top_per_group
+from tidepanel.operators.select import ordered_page
+from tidepanel.plans import count_table, grouped_order_statistics, substring_pairs, table_medians, top_per_group, with_rank
 from tidepanel.registry import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -38,6 +39,48 @@ def test_median_equals_sorting(spark):
         assert (got[group]["n"], got[group]["top"]) == (len(values), max(values, default=None))
 
 
+def test_medians_of_a_count_table(spark):
+    draw = random.Random(5)
+    rows = [("hot", draw.randint(0, 3), draw.choice([None, 1.5, 2.5, draw.random()])) for _ in range(5_000)]
+    rows += [("few", 1, 2.0), ("none", 0, None), ("zero", 0, -0.0), ("zero", 0, 0.0)]
+    frame = spark.createDataFrame(rows, "g string, p int, v double").repartition(8)
+    table = count_table(frame, ["g"], "v", ["p"], {"most": F.max("p")})
+    got = {r["g"]: r["median"] for r in table_medians(table, ["g"], "v").collect()}
+    known = {g: [v for h, _, v in rows if h == g and v is not None] for g in ("hot", "few", "zero", "none")}
+    assert got == {g: statistics.median(v) for g, v in known.items() if v}
+    assert table.agg(F.sum("__rows")).first()[0] == len(rows)
+    empty = count_table(frame.limit(0), ["g"], "v")
+    assert empty.count() == table_medians(empty, ["g"], "v").count() == 0
+
+
+def test_ranks_equal_sorting(spark):
+    draw = random.Random(9)
+    groups = ["hot"] * 8 + ["cold", None, "one"]
+    rows = [(draw.choice(groups[:-1]), draw.randint(0, 40), i) for i in range(6000)] + [("one", 5, -1)]
+    frame = spark.createDataFrame(rows, "g string, v int, id int").repartition(8)
+    order = [F.desc("v"), F.asc("id")]
+    got = {tuple(r) for r in with_rank(frame, ["g"], order).collect()}
+    whole = {tuple(r) for r in with_rank(frame, [], order, "place").collect()}
+    expected = set()
+    for group in set(groups):
+        ranked = sorted((r for r in rows if r[0] == group), key=lambda r: (-r[1], r[2]))
+        expected |= {(*r, i) for i, r in enumerate(ranked, 1)}
+    assert got == expected
+    everything = sorted(rows, key=lambda r: (-r[1], r[2]))
+    assert whole == {(*r, i) for i, r in enumerate(everything, 1)}
+    for top, skip in ((None, 5990), (None, 7000), (20, 9_995), (10, 3), (9_999, 100), (None, 0)):
+        page = [tuple(r) for r in ordered_page(frame, order, top, skip).collect()]
+        assert page == everything[skip:][:top], (top, skip)
+    assert with_rank(frame.limit(0), ["g"], order).count() == with_rank(frame.limit(0), [], order).count() == 0
+
+
+def test_pages_behind_an_offset_have_no_single_task(spark):
+    frame = spark.range(50_000).repartition(8)
+    for top in (None, 9_000):
+        plan = ordered_page(frame, [F.col("id")], top, 20_000)._jdf.queryExecution().executedPlan().toString()
+        assert "Limit" not in plan and "SinglePartition" not in plan
+
+
 def test_substring_pairs_equal_nested_loop(spark):
     draw = random.Random(11)
     alphabet = "abé %_0"

@@ -24,11 +24,13 @@ from tidepanel.model import (
     Selection,
 )
 from tidepanel.operators import resolve
-from tidepanel.plans import substring_pairs, top_per_group
+from tidepanel.plans import substring_pairs, top_per_group, with_rank
 
 SERIES_KEY = ["indicator_code", "entity_code"]
 SEARCHED_COLUMNS = INDICATOR_COLUMNS[:-1]
 HEADLINE = "INDICATORS"
+#: Pages that end within the first so many rows are cut by a top-k, which every task holds in memory.
+TOP_ROWS = 10_000
 
 
 # ---- F1: selection ----------------------------------------------------------------------------------
@@ -100,7 +102,16 @@ def select_observations(
 def ordered_page(
     df: DataFrame, order: Sequence[Column], top: int | None = None, skip: int = 0
 ) -> DataFrame:
-    """Total order, then offset and limit; a limit is planned as a distributed top-k."""
+    """Total order, then offset and limit.
+
+    A page near the start is planned as a distributed top-k. A later one, or all rows behind an offset, is cut by the
+    rows' places in sorted range partitions, so that no task sees the rows that are skipped.
+    """
+    if skip and (top is None or skip + top > TOP_ROWS):
+        place = F.col("__rank")
+        page = with_rank(df, [], order, "__rank").where(place > skip)
+        page = page if top is None else page.where(place <= skip + top)
+        return page.orderBy(place).drop("__rank")
     page = df.orderBy(*order)
     if skip:
         page = page.offset(skip)
@@ -254,9 +265,9 @@ def list_indicators(
     skip: int = 0,
     top: int | None = None,
 ) -> DataFrame:
-    """Codebook rows of a category, by code, paged (an offset applies only together with a limit)."""
+    """Codebook rows of a category, by code, paged; without a limit everything behind the offset."""
     rows = _in_categories(panel.indicators.select(*INDICATOR_COLUMNS), category_1, category_2)
-    return ordered_page(rows, [F.col("indicator_code")], top, skip if top is not None else 0)
+    return ordered_page(rows, [F.col("indicator_code")], top, skip)
 
 
 def count_indicators(

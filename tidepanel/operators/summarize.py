@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.dims import tables
@@ -21,7 +21,7 @@ from tidepanel.operators.select import (
     select_observations,
     selected_entities,
 )
-from tidepanel.plans import grouped_order_statistics, top_per_group
+from tidepanel.plans import ROWS, count_table, table_medians, top_per_group, with_rank
 
 CHANGE_METRICS = ("absolute_change", "percent_change", "cagr")
 GROUPINGS = ("region", "income", "group")
@@ -129,15 +129,18 @@ def _group_facts(
     period: int | None,
     latest_only: bool,
     sel: Selection,
+    firsts: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
+    """The facts with their groups, and the groups' members; ``firsts`` marks one row of every series."""
     assignment = group_assignment(panel, by, selected_entities(panel, sel))
     if period is not None:
         sel = sel.between(period, period)
-    # The facts are used more than once per query, with different columns and joins. Testing the key, which
-    # is never null, keeps the uses alike below their last shuffle, so Spark runs that part only once.
-    facts = _filtered_facts(panel, codes, sel).where("indicator_code is not null and entity_code is not null")
+    facts = _filtered_facts(panel, codes, sel)
     if latest_only and period is None:
         facts = latest_of_series(facts)
+    if firsts:
+        in_series = Window.partitionBy(*SERIES_KEY).orderBy("period")
+        facts = facts.where("period is not null").withColumn("first", F.row_number().over(in_series) == 1)
     return facts.where("period is not null").join(assignment, "entity_code"), assignment
 
 
@@ -151,28 +154,26 @@ def summarize_groups(
 ) -> DataFrame:
     """Statistics of every (indicator, group): n, mean, exact median, min, max, coverage, periods.
 
-    ``by=None`` summarises the selection as one group. ``period`` selects that period only. Otherwise the latest row of each entity counts, or with
-    ``latest_only=False`` every row. Statistics are unweighted. With requested ``codes`` every pair
-    of code and group appears, also without data. ``periods`` is the sorted set of periods seen.
+    ``by=None`` summarises the selection as one group. ``period`` selects that period only. Otherwise the latest row
+    of each entity counts, or with ``latest_only=False`` every row. Statistics are unweighted. With requested ``codes``
+    every pair of code and group appears, also without data. ``periods`` is the sorted set of periods seen.
+
+    The facts are read once: everything is taken from one written table of counts by group, value and period.
     """
-    facts, assignment = _group_facts(panel, by, codes, period, latest_only, sel)
     one_row_per_entity = latest_only or period is not None
-    covered = F.count(F.lit(1)) if one_row_per_entity else F.count_distinct("entity_code")
-    extra = [
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
+    facts, assignment = _group_facts(panel, by, codes, period, latest_only, sel, firsts=not one_row_per_entity)
+    keys = ["indicator_code", "group_code"]
+    covered = F.count(F.lit(1)) if one_row_per_entity else F.count_if("first")
+    table = count_table(facts, keys, "value", ["period"], {"covered": covered})
+    n = F.sum(F.when(F.col("value").isNotNull(), F.col(ROWS)).otherwise(0))
+    stats = table.groupBy(*keys).agg(
+        n.alias("n"),
+        (F.sum(F.col("value") * F.col(ROWS)) / F.nullif(n, F.lit(0))).alias("mean"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         F.array_sort(F.collect_set("period")).alias("periods"),
-    ]
-    keys = ["indicator_code", "group_code"]
-    if one_row_per_entity:
-        extra.append(covered.alias("entities_with_data"))
-        stats = grouped_order_statistics(facts, keys, "value", extra)
-    else:
-        stats = grouped_order_statistics(facts, keys, "value", extra).join(
-            facts.groupBy(*keys).agg(covered.alias("entities_with_data")), keys
-        )
+        F.sum("covered").alias("entities_with_data"),
+    ).join(table_medians(table, keys, "value"), keys, "left")
     sizes = assignment.groupBy("group_code").agg(F.count(F.lit(1)).alias("entity_count"))
     if codes is not None:
         wanted = F.explode(F.array(*[F.lit(code) for code in dict.fromkeys(codes)]))
@@ -200,22 +201,21 @@ def top_bottom(
     """First and last ``n`` entities of every (indicator, group) by value.
 
     Bottom: value, then entity ascending, then newest period; top is the exact reverse of that order.
-    The two ends are separate branches so that each is cut to n rows before the shuffle.
+    Every row stands for both ends, so that one pass cuts both to n rows before the shuffle.
     """
     facts, _ = _group_facts(panel, by, codes, period, latest_only, sel)
     keys = ["indicator_code", "group_code"]
-    value, entity, when = F.col("value"), F.col("entity_code"), F.col("period")
-    ends = {
-        "bottom": [value.asc(), entity.asc(), when.desc()],
-        "top": [value.desc(), entity.desc(), when.asc()],
-    }
-    branches = [
-        top_per_group(facts, keys, order, n, ["entity_code", "period"], rank="rank").withColumn(
-            "side", F.lit(side)
-        )
-        for side, order in ends.items()
+    sides = facts.withColumn("side", F.explode(F.array(F.lit("bottom"), F.lit("top"))))
+
+    def at(side: str, name: str):
+        return F.when(F.col("side") == side, F.col(name))
+
+    # Within one side the other side's expressions are all null and decide nothing.
+    order = [
+        at("bottom", "value").asc(), at("bottom", "entity_code").asc(), at("bottom", "period").desc(),
+        at("top", "value").desc(), at("top", "entity_code").desc(), at("top", "period").asc(),
     ]
-    rows = reduce(DataFrame.unionByName, branches)
+    rows = top_per_group(sides, [*keys, "side"], order, n, ["entity_code", "period"], rank="rank")
     return rows.select(*keys, "side", "rank", "entity_code", "period", "value").orderBy(
         *keys, "side", "rank"
     )
@@ -286,7 +286,7 @@ def rank_changes(
     """Series ranked within their indicator by a change metric; series without it are left out.
 
     Ties go to the larger absolute change, then the entity code, in both directions. ``top=None``
-    returns all rows in that order by a range-partitioned sort, without a ``rank`` column.
+    ranks all rows, by sorted range partitions and their counts.
     """
     if metric not in CHANGE_METRICS:
         raise ValueError(f"metric must be one of {', '.join(CHANGE_METRICS)}")
@@ -294,7 +294,7 @@ def rank_changes(
     lead = F.desc(metric) if descending else F.asc(metric)
     order = [lead, F.desc("absolute_change"), F.asc("entity_code")]
     if top is None:
-        return rows.orderBy("indicator_code", *order)
+        return with_rank(rows, ["indicator_code"], order).orderBy("indicator_code", "rank")
     ranked = top_per_group(rows, ["indicator_code"], order, top, ["entity_code"], rank="rank")
     return ranked.orderBy("indicator_code", "rank")
 

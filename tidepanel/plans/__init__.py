@@ -1,8 +1,10 @@
 """Plan shapes shared by the operators: ways to lay out a query so that it survives hot groups."""
 
-from tidepanel.plans.median import grouped_order_statistics
+from tidepanel.plans.median import ROWS, count_table, grouped_order_statistics, table_medians
 from tidepanel.plans.ranks import with_rank
 from tidepanel.plans.substring import substring_pairs
 from tidepanel.plans.topk import top_per_group
 
-__all__ = ["grouped_order_statistics", "substring_pairs", "top_per_group", "with_rank"]
+__all__ = [
+    "ROWS", "count_table", "grouped_order_statistics", "substring_pairs", "table_medians", "top_per_group", "with_rank",
+]

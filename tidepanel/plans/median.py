@@ -1,33 +1,57 @@
 """Exact medians of groups of any size.
 
 ``median`` keeps every distinct value of a group in one buffer, which a group of billions of rows does not survive.
-Here equal values are counted first, and the middle ranks are found by radix selection: a double's bits, read as an
-integer in the order of the values, are split into three parts. A round counts the values of a group by the next
-part, adds the counts up and goes on in the part where the rank falls. A round's running sum has at most ``2**22``
-rows per group whatever the data, every rank is found exactly, and what is shuffled are counts.
+Here equal values are counted first, and the counts are range-partitioned and sorted once (see ``ranks``). How many
+rows of a group earlier partitions hold tells which partition has a middle rank, and only there the counts are added
+up. Every rank is found exactly, and what is shuffled are counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Low bits still undecided after each round.
-ROUNDS = (42, 21, 0)
-SIGN = 0x7FFF_FFFF_FFFF_FFFF
+from tidepanel.plans.ranks import BEFORE, HELD, PART, PLACE, join_spans, sorted_table, spans
 
+#: How many rows an entry of a count table stands for.
+ROWS = "__rows"
 
-def ordered_bits(value: Column) -> Column:
-    """A double as a long in the same order; both zeros are one value, NaN is the largest."""
-    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("bigint")
-    return F.when(bits < 0, bits.bitwiseXOR(F.lit(SIGN))).otherwise(bits)
 
+def count_table(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    also: Sequence[str] = (),
+    sums: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """``(*keys, value, *also, __rows, *sums)``, sorted by group and value: how often each group has each value.
 
-def from_bits(bits: Column) -> Column:
-    raw = F.when(bits < 0, bits.bitwiseXOR(F.lit(SIGN))).otherwise(bits)
-    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), raw).cast("double")
+    ``also`` are further columns to count by, ``sums`` further aggregates. Null values come last.
+    """
+    counted = df.groupBy(*keys, value, *also).agg(
+        F.count(F.lit(1)).alias(ROWS), *[column.alias(name) for name, column in (sums or {}).items()])
+    return sorted_table(counted, keys, [F.col(value).asc_nulls_last(), *[F.col(name).asc() for name in also]])
+
+
+def table_medians(table: DataFrame, keys: Sequence[str], value: str, median: str = "median") -> DataFrame:
+    """``(*keys, median)`` of the non-null values of a count table; groups without any have no row."""
+    known = table.where(F.col(value).isNotNull())
+    found = spans(known, keys, F.sum(ROWS))
+    n = found.groupBy(*keys).agg(F.sum(HELD).alias("__n"))
+    middles = F.array(F.floor((F.col("__n") + 1) / 2), F.floor(F.col("__n") / 2) + 1)
+    wanted = (
+        found.join(n, list(keys)).select("*", F.posexplode(middles).alias("__side", "__rank"))
+        .where((F.col(BEFORE) < F.col("__rank")) & (F.col("__rank") <= F.col(BEFORE) + F.col(HELD)))
+        .select(*keys, PART, "__side", (F.col("__rank") - F.col(BEFORE)).alias("__rank"))
+    )
+    running = Window.partitionBy(*keys, PART, "__side").orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    inside = join_spans(known.select(*keys, value, ROWS, PART, PLACE), wanted, keys).withColumn(
+        "__upto", F.sum(ROWS).over(running))
+    middle = inside.where(
+        (F.col("__upto") - F.col(ROWS) < F.col("__rank")) & (F.col("__rank") <= F.col("__upto")))
+    return middle.groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias(median))
 
 
 def grouped_order_statistics(
@@ -41,37 +65,5 @@ def grouped_order_statistics(
 
     Keys must not be null. A group that has only null values keeps its row, with a null median.
     """
-    keys = list(keys)
-    number = F.col(value)
-    summary = df.groupBy(*keys).agg(*extra, F.count(number).alias("__n"))
-    # Counting the values themselves first: their bits are then taken once per distinct value.
-    counted = (
-        df.where(number.isNotNull()).groupBy(*keys, number.alias("__value"))
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .select(*keys, ordered_bits(F.col("__value").cast("double")).alias("__bits"), "__rows")
-    )
-    sides = F.array(*[
-        F.struct(F.lit(side).alias("__side"), rank.cast("bigint").alias("__rank"))
-        for side, rank in (("left", F.floor((F.col("__n") + 1) / 2)), ("right", F.floor(F.col("__n") / 2) + 1))
-    ])
-    wanted = summary.where("__n > 0").select(*keys, F.inline(sides))
-    within: list[str] = []
-    for low in ROUNDS:
-        part = F.shiftright("__bits", low).alias("__part")
-        inside = counted
-        if within:
-            chosen = wanted.select(*keys, *within).distinct()
-            inside = counted.withColumn("__prefix", F.shiftright("__bits", previous)).join(chosen, [*keys, *within])
-        sums = inside.groupBy(*keys, *within, part).agg(F.sum("__rows").alias("__rows"))
-        running = Window.partitionBy(*keys, *within).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
-        upto = sums.withColumn("__upto", F.sum("__rows").over(running))
-        wanted = (
-            upto.join(wanted, [*keys, *within])
-            .where((F.col("__upto") - F.col("__rows") < F.col("__rank")) & (F.col("__rank") <= F.col("__upto")))
-            .select(*keys, "__side", (F.col("__rank") - F.col("__upto") + F.col("__rows")).alias("__rank"),
-                    F.col("__part").alias("__prefix"))
-        )
-        within, previous = ["__prefix"], low
-    middle = wanted.select(*keys, from_bits(F.col("__prefix")).alias("__middle"))
-    medians = middle.groupBy(*keys).agg(F.avg("__middle").alias(median))
-    return summary.drop("__n").join(medians, keys, "left")
+    medians = table_medians(count_table(df, keys, value), keys, value, median)
+    return df.groupBy(*keys).agg(*extra).join(medians, list(keys), "left")

@@ -20,6 +20,8 @@ from tidepanel.registry.base import (
     PARTS_BOOK,
     STAR,
     query,
+    rnd,
+    rounded,
 )
 from tidepanel.sources import star_panels as star
 
@@ -203,6 +205,33 @@ def f3_list_indicators(spark, folder):
     return ops.list_indicators(star.parts_panel(spark, folder), "ECONOMY", skip=5, top=40)
 
 
+@query("f3_list_indicators_rest", f"""with {PARTS_BOOK}
+select {BOOK_COLUMNS} from book order by indicator_code offset 7""")
+def f3_list_indicators_rest(spark, folder):
+    return ops.list_indicators(star.parts_panel(spark, folder), skip=7)
+
+
+ORDERED_FACTS = f"{CUSTOMER} select indicator_code, entity_code, period, {rnd('value')} as value from obs " \
+    "order by period desc, entity_code, indicator_code"
+
+
+def _page(spark, folder, top, skip):
+    facts = star.customer_panel(spark, folder).observations
+    order = [F.desc("period"), F.col("entity_code"), F.col("indicator_code")]
+    page = ops.ordered_page(facts, order, top, skip)
+    return rounded(page.select("indicator_code", "entity_code", "period", "value"), "value")
+
+
+@query("o1_deep_page", f"{ORDERED_FACTS} limit 300 offset 9900")
+def o1_deep_page(spark, folder):
+    return _page(spark, folder, 300, 9900)
+
+
+@query("o1_rest_of_rows", f"{ORDERED_FACTS} offset 500")
+def o1_rest_of_rows(spark, folder):
+    return _page(spark, folder, None, 500)
+
+
 @query("f3_count_indicators", f"""with {PARTS_BOOK}
 select count(*) as total from book where category_1 = 'ECONOMY'""")
 def f3_count_indicators(spark, folder):

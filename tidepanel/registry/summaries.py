@@ -94,7 +94,16 @@ def w3_rank_changes(spark, folder):
 select {TREND_SQL} from trends join ent using (entity_code) where percent_change is not null""")
 def w3_rank_changes_all(spark, folder):
     panel = star.customer_panel(spark, folder, ["n_items"])
-    return _rounded_trends(ops.rank_changes(panel, ["n_items"], "percent_change", top=None))
+    return _rounded_trends(ops.rank_changes(panel, ["n_items"], "percent_change", top=None)).drop("rank")
+
+
+@query("w3_rank_changes_complete", f"""{CUSTOMER}, {ENDS.format(source='obs')}
+select {TREND_SQL}, row_number() over (
+    partition by indicator_code
+    order by trends.absolute_change desc, entity_code) as rank
+from trends join ent using (entity_code) where trends.absolute_change is not null""")
+def w3_rank_changes_complete(spark, folder):
+    return _rounded_trends(ops.rank_changes(star.customer_panel(spark, folder), top=None))
 
 
 # ---- counts ------------------------------------------------------------------------------------------------
