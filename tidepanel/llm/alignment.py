@@ -13,6 +13,8 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -23,19 +25,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tidepanel.llm.blocks import BLOCK_CHARS, block_number, numbering, packed, unpacked
+from tidepanel.llm.blocks import block_number, numbering, packed, unpacked
 from tidepanel.llm.common import saved
-from tidepanel.llm.pieces import MODEL, pieces, read_model
+from tidepanel.llm.pieces import MARK, MODEL, Pieces, pieces, read_model
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
-#: Characters of text whose tokens are held at a time.
-BATCH_CHARS = 2 << 20
+#: Characters of text of a block, and those whose tokens are held at a time; a longer text is one block.
+BLOCK_CHARS, BATCH_CHARS = 4 << 20, 1 << 19
 #: Texts from this length on are searched for runs of blanks that the faster library can't take.
 LONG_TEXT, LONG_BLANKS = 100_000, re.compile(r"\s{5000}")
 #: Groups with more cells (pairs of places) than this are linked id by id, with counts.
 MOST_CELLS = 4096
 #: Positions of windows that are expanded to pairs at a time.
-EXPAND = 1 << 20
+EXPAND = 1 << 18
+#: Stands between the two sides of a window's key; no id.
+SEPARATOR = (1 << 32) - 1
 PAIR, WINDOWS, DOCUMENT = 0, 1, 2
 
 _LOADED: dict[int, ByteBpe] = {}
@@ -51,8 +55,7 @@ class ByteBpe:
 
     def __init__(self, content: bytes) -> None:
         spec = json.loads(content)
-        self.library = Tokenizer.from_str(content.decode())
-        self.library.encode_special_tokens = True
+        self.content = content
         # Byte-level files write a byte as itself if it prints, else as the next free character from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(plain)]
@@ -85,10 +88,16 @@ class ByteBpe:
         return tiktoken.Encoding("aligned", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                  special_tokens={})
 
-    def encode(self, text: str) -> list[int]:
+    @cached_property
+    def library(self) -> Tokenizer:
+        made = Tokenizer.from_str(self.content.decode())
+        made.encode_special_tokens = True
+        return made
+
+    def encode(self, text: str) -> np.ndarray:
         if self.ranked is None or (len(text) >= LONG_TEXT and LONG_BLANKS.search(text)):
-            return self.library.encode(text, add_special_tokens=False).ids
-        return self.ranked.encode_ordinary(text)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return self.ranked.encode_to_numpy(text, disallowed_special=())
 
 
 def byte_bpe(content: bytes) -> ByteBpe:
@@ -115,6 +124,38 @@ def before(counts: np.ndarray) -> np.ndarray:
     return np.cumsum(counts) - counts
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, np.uint32)
+
+
+class Spelling:
+    """The bytes of a vocabulary's tokens, for many tokens at once."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.sizes = np.array(list(map(len, tokens)), dtype=np.int64)
+        self.spaced = np.array([t[:1] == b" " for t in tokens])
+        self.data, self.starts = np.frombuffer(b"".join(tokens), dtype=np.uint8), before(self.sizes)
+
+    def right(self, ids: np.ndarray, counts: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Of texts whose tokens stand one after the other, ``counts`` of each: whether they spell the text."""
+        size = self.sizes[ids]
+        lengths = np.array(list(map(len, texts)), dtype=np.int64)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ends = np.cumsum(counts)
+        good = upto[ends] - upto[ends - counts] == lengths
+        if not good.all():
+            # Only texts of the right length can be compared at once.
+            ids = ids[np.repeat(good, counts)]
+            size, lengths = self.sizes[ids], lengths[good]
+            texts = [t for t, ok in zip(texts, good) if ok]
+        spelled = self.data[spread(self.starts[ids], size)] == np.frombuffer(b"".join(texts), dtype=np.uint8)
+        if not spelled.all():
+            wrong = np.add.reduceat(~spelled, before(lengths)[lengths > 0], dtype=np.int64) > 0
+            places = np.flatnonzero(good)[lengths > 0]
+            good[places[wrong]] = False
+        return good
+
+
 class Table:
     """Distinct windows: their ids of both sides, the sizes of their groups and their numbers of groups."""
 
@@ -156,10 +197,13 @@ class Table:
 
     def texts(self) -> list[str]:
         """The groups of each window, ``a1,a2|b1;a3|b2,b3``."""
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        a1, b1 = np.cumsum(self.na), np.cumsum(self.nb)
-        groups = [f"{','.join(a[i:j])}|{','.join(b[k:l])}" for i, j, k, l in zip(
-            (a1 - self.na).tolist(), a1.tolist(), (b1 - self.nb).tolist(), b1.tolist())]
+        ids = list(map(str, range(int(max(self.a.max(initial=0), self.b.max(initial=0))) + 1)))
+        sides = []
+        for tokens, counts in ((self.a, self.na), (self.b, self.nb)):
+            words, stops = [ids[t] for t in tokens.tolist()], np.cumsum(counts)
+            sides.append([words[i] if j - i == 1 else ",".join(words[i:j])
+                          for i, j in zip((stops - counts).tolist(), stops.tolist())])
+        groups = list(map("|".join, zip(*sides)))
         return [groups[i] if n == 1 else ";".join(groups[i:i + n])
                 for i, n in zip(self.first.tolist(), self.groups.tolist())]
 
@@ -167,10 +211,9 @@ class Table:
 class Block:
     """The windows of a run of documents, numbered as they come, and the documents' positions."""
 
-    def __init__(self, left: ByteBpe, right) -> None:
+    def __init__(self, left: ByteBpe, right: Pieces) -> None:
         self.left, self.right = left, right
-        self.sizes = [np.array(list(map(len, t.bytes)), dtype=np.int64) for t in (left, right)]
-        self.spaced = [np.array([b[:1] == b" " for b in t.bytes]) for t in (left, right)]
+        self.spelling = [Spelling(t.bytes) for t in (left, right)]
         self.clear()
 
     def clear(self) -> None:
@@ -178,50 +221,74 @@ class Block:
         self.new: list[tuple[np.ndarray, ...]] = []
         self.rows: list[tuple[pa.Scalar, bytes]] = []
         self.chars = 0
+        # The right side's chunks (see ``pieces``): numbers, ids one after the other, how many, and whether they spell.
+        self.chunk = numbering()
+        self.chunk_ids, self.chunk_sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.spelled = np.empty(0, bool)
+
+    def _right(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The chunks of each text, and whether the tokens of all of them spell the text with a space before."""
+        known = len(self.chunk)
+        codes = [np.array(list(map(self.chunk.__getitem__, self.right.chunks(t))), dtype=np.int64) for t in texts]
+        fresh = list(islice(self.chunk, known, None))
+        ids = self.right.encode(fresh)
+        flat, sizes = np.fromiter(chain.from_iterable(ids), np.uint32), np.array(list(map(len, ids)), dtype=np.int64)
+        whole = [(c if self.right.cuts else " " + c).encode() for c in fresh]
+        self.chunk_ids = np.concatenate([self.chunk_ids, flat])
+        self.chunk_sizes = np.concatenate([self.chunk_sizes, sizes])
+        self.spelled = np.concatenate([self.spelled, self.spelling[1].right(flat, sizes, whole)])
+        # Chunks hold blanks for markers, so a text that itself holds a marker isn't spelled.
+        good = [MARK not in t and bool(self.spelled[c].all()) for t, c in zip(texts, codes)]
+        return codes, np.array(good, dtype=bool)
 
     def add(self, ids: list, texts: list[str]) -> None:
         """Documents with their texts; a text whose tokens don't spell it has no windows."""
-        encoded = self.right.library.encode(texts, num_threads=1)
-        lefts, rights, good = [], [], []
-        for i, (text, right) in enumerate(zip(texts, encoded)):
-            self.chars += len(text)
-            if not text:
-                continue
-            data, left = b" " + text.encode(), self.left.encode(" " + text)
-            if (b"".join([self.right.bytes[t] for t in right]) == data
-                    and b"".join([self.left.bytes[t] for t in left]) == data):
-                lefts.append(left)
-                rights.append(right)
-                good.append(i)
+        self.chars += sum(map(len, texts))
+        chunks, spelled = self._right(texts)
+        good = [i for i, text in enumerate(texts) if text and spelled[i]]
+        lefts = [self.left.encode(" " + texts[i]) for i in good]
+        left, sizes = _joined(lefts), np.array(list(map(len, lefts)), dtype=np.int64)
+        kept = self.spelling[0].right(left, sizes, [b" " + texts[i].encode() for i in good])
+        if not kept.all():
+            left, sizes = left[np.repeat(kept, sizes)], sizes[kept]
+            good = [i for i, ok in zip(good, kept) if ok]
         codes: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
         if good:
-            found, cuts = self._windows(lefts, rights)
+            flat = np.concatenate([chunks[i] for i in good])
+            size = self.chunk_sizes[flat]
+            right = self.chunk_ids[spread(before(self.chunk_sizes)[flat], size)]
+            found, cuts = self._windows(left, right, np.cumsum(sizes))
             for i, part in zip(good, np.split(found, cuts)):
                 codes[i] = part
         self.rows += [(i, packed(c)) for i, c in zip(ids, codes)]
 
-    def _windows(self, lefts: list[list[int]], rights: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """The windows' numbers of documents one after the other, and where documents end."""
-        tokens = [np.array([t for d in side for t in d], dtype="<u4") for side in (lefts, rights)]
-        ends = [np.cumsum(size[t]) for size, t in zip(self.sizes, tokens)]
-        mark = np.zeros(ends[0][-1] + 1, dtype=np.uint8)
-        mark[ends[0]] = 1
-        mark[ends[1]] += 1
+    def _windows(self, left: np.ndarray, right: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows' numbers of documents one after the other, and where documents end; their tokens end at
+        ``ends`` on the left."""
+        tokens = [left, right]
+        bytes_upto = [np.cumsum(s.sizes[t]) for s, t in zip(self.spelling, tokens)]
+        mark = np.zeros(bytes_upto[0][-1] + 1, dtype=np.uint8)
+        mark[bytes_upto[0]] = 1
+        mark[bytes_upto[1]] += 1
         # One past the last token of each group, on both sides.
-        stops = [np.flatnonzero(mark[e] == 2) + 1 for e in ends]
+        stops = [np.flatnonzero(mark[e] == 2) + 1 for e in bytes_upto]
         sizes = [np.diff(s, prepend=0) for s in stops]
         cut = np.ones(len(stops[0]), dtype=bool)
-        cut[:-1] = (self.spaced[0][tokens[0][stops[0][:-1]]] & self.spaced[1][tokens[1][stops[1][:-1]]])
-        document = np.searchsorted(stops[0], np.cumsum([len(d) for d in lefts]))
+        cut[:-1] = self.spelling[0].spaced[left[stops[0][:-1]]] & self.spelling[1].spaced[right[stops[1][:-1]]]
+        document = np.searchsorted(stops[0], ends)
         cut[document] = True
         last = np.flatnonzero(cut)
-        bounds = []
-        for stop, kind in zip(stops, tokens):
-            at = 4 * stop[last]
-            bounds += [np.concatenate([[0], at[:-1]]).tolist(), at.tolist()]
-        number, (left, right) = self.number, (t.tobytes() for t in tokens)
-        known = len(number)
-        codes = np.array([number[left[i:j], right[k:l]] for i, j, k, l in zip(*bounds)], dtype=np.int64)
+        # A window's key: its tokens on the left, a separator, its tokens on the right.
+        counts = [np.diff(s[last], prepend=0) for s in stops]
+        length = counts[0] + counts[1] + 1
+        start = before(length)
+        keys = np.full(length.sum(), SEPARATOR, dtype="<u4")
+        keys[spread(start, counts[0])] = left
+        keys[spread(start + counts[0] + 1, counts[1])] = right
+        data, bounds = keys.tobytes(), (4 * np.append(start, len(keys))).tolist()
+        known = len(self.number)
+        codes = np.fromiter(map(self.number.__getitem__, map(data.__getitem__, map(slice, bounds, bounds[1:]))),
+                            np.int64, len(last))
         # Numbers are given in order, so a window is new where its number exceeds all before it.
         so_far = np.maximum.accumulate(np.concatenate([[known - 1], codes]))[:-1]
         new = np.flatnonzero(codes > so_far)
@@ -238,22 +305,16 @@ class Block:
 
     def counts(self, pairs: np.ndarray, entries: np.ndarray, place: np.ndarray) -> np.ndarray:
         """How many documents hold each pair."""
-        held = np.zeros(len(pairs), dtype=np.int64)
-        starts, n_windows = before(entries), max(len(entries), 1)
-        at = 0
-        while at < len(self.rows):
-            codes, size, first = [], 0, at
-            while at < len(self.rows) and (size < EXPAND or at == first):
-                codes.append(unpacked(self.rows[at][1]).astype(np.int64) + (at - first) * n_windows)
-                size += len(codes[-1])
-                at += 1
-            once = np.unique(np.concatenate(codes))
-            document, window = once // n_windows, once % n_windows
-            if not len(once):
-                continue
-            found = place[spread(starts[window], entries[window])]
-            found = np.unique(np.repeat(document, entries[window]) * len(pairs) + found) % len(pairs)
-            held += np.bincount(found, minlength=len(pairs))
+        held, starts = np.zeros(len(pairs), dtype=np.int64), before(entries)
+        seen = np.zeros(len(pairs), dtype=bool)
+        for _, data in self.rows:
+            codes = unpacked(data)
+            for at in range(0, len(codes), EXPAND):
+                part = codes[at:at + EXPAND]
+                seen[place[spread(starts[part], entries[part])]] = True
+            found = np.flatnonzero(seen)
+            held[found] += 1
+            seen[found] = False
         return held
 
 

@@ -14,8 +14,6 @@ import numpy as np
 import zstandard
 from pyspark import TaskContext
 
-#: Characters of text of a block; a longer text is a block of its own.
-BLOCK_CHARS = 16 << 20
 _PACK = zstandard.ZstdCompressor(level=3)
 _UNPACK = zstandard.ZstdDecompressor()
 
