@@ -68,6 +68,8 @@ class Pieces:
             and proto.trainer_spec.model_type == proto.trainer_spec.BPE
             and not any(re.search(f"[^{MARK}]{MARK}", p.piece) or p.type == kinds.USER_DEFINED
                         for p in proto.pieces))
+        # A marker alone is the one chunk that the library doesn't give back: it adds none to an empty text.
+        self.blank = self.library.encode("x ")[len(self.library.encode("x")):]
 
     def chunks(self, text: str) -> list[str]:
         """The chunks of a text with its dummy prefix, markers as blanks; an empty text has none."""
@@ -77,7 +79,10 @@ class Pieces:
 
     def encode(self, chunks: list[str]) -> list[list[int]]:
         """Ids of chunks; the library puts the first marker back."""
-        return self.library.encode([c[1:] for c in chunks] if self.cuts else chunks, num_threads=1)
+        if not self.cuts:
+            return self.library.encode(chunks, num_threads=1)
+        ids = self.library.encode([c[1:] for c in chunks], num_threads=1)
+        return [part if chunk != " " else self.blank for chunk, part in zip(chunks, ids)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of encoded chunks; the library takes off the first marker, which only a text's first chunk lacks."""
