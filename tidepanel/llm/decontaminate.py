@@ -77,10 +77,14 @@ def best_distance(pattern: str, text: str) -> int:
 
 
 class Items:
-    """Benchmark items, ready to be searched for in documents."""
+    """Benchmark items, ready to be searched for in documents.
+
+    Items and documents stand between blanks, so that an item's ends are ends of words; to stop or start inside a word
+    is an edit.
+    """
 
     def __init__(self, items: list[tuple[object, str]], rate: float) -> None:
-        self.items = [(key, text, budget(len(text), rate)) for key, text in items if text]
+        self.items = [(key, f" {text} ", budget(len(text), rate)) for key, text in items if text]
         places: dict[str, list[tuple[int, int]]] = {}
         for number, (_, text, errors) in enumerate(self.items):
             for offset, piece in pieces(text, errors):
@@ -95,6 +99,7 @@ class Items:
         """``(item number, distance)`` of every item within its budget."""
         if not self.items or not text:
             return []
+        text = f" {text} "
         windows: dict[int, list[tuple[int, int]]] = {}
         for last, (length, where) in self.search.iter(text):
             start = last + 1 - length
@@ -167,7 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                  block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(doc_id, item_id, distance, budget)``: every item that a document holds within its error budget.
 
-    ``distance`` is the smallest over the whole normalised text. Null, empty and wordless documents and items hold
+    ``distance`` is the smallest over the whole normalised text; items begin and end with words of it. Null, empty and wordless documents and items hold
     and match nothing. Repeated rows each give their rows, as do repeated items. An empty table on either side gives
     no rows. Other columns are not read. Documents are only scanned, once per block of items, and never shuffled;
     blocks are searched one after the other, and what is found is written at once.
