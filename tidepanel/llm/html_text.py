@@ -72,7 +72,11 @@ SPECIAL = re.compile(r"[>\"']")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 BLANKS = re.compile(r"[ \t\n\f\r]+")
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+#: Declarations that decide whether something is shown, and selectors of one element by name, classes and ids.
+SHOWING = re.compile(r"display|visibility", re.IGNORECASE)
+DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.IGNORECASE)
+SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
 
 
 @dataclass(slots=True)
@@ -191,8 +195,9 @@ def tree(html: str) -> Node:
         node = Node(tag, attributes)
         svg, math = last(("svg",)), last(("math",))
         if svg and svg > max(math, last(("foreignobject",))):
-            if (tag in SVG_HIDDEN or attributes.get("display") == "none"
-                    or attributes.get("visibility") in ("hidden", "collapse")):
+            if "visibility" in attributes:
+                node.signs |= {"concealed" if attributes["visibility"] in ("hidden", "collapse") else "shown"}
+            if tag in SVG_HIDDEN or attributes.get("display") == "none":
                 attributes["hidden"] = ""
             elif tag in ("text", "foreignobject") or (tag == "tspan" and not attributes.keys().isdisjoint("xy")):
                 node.signs |= {"line"}
@@ -251,6 +256,111 @@ def tree(html: str) -> Node:
     return root
 
 
+# ---- what is shown ---------------------------------------------------------------------------------------------
+
+
+def declarations(style: str) -> dict[str, tuple[bool, str]]:
+    """``display`` and ``visibility`` as declared: whether important, and the value; the last important one counts."""
+    found: dict[str, tuple[bool, str]] = {}
+    for name, value, important in DECLARATION.findall(COMMENT.sub(" ", style)):
+        entry = (bool(important), value.lower())
+        if entry[0] or not found.get(name.lower(), (False, ""))[0]:
+            found[name.lower()] = entry
+    return found
+
+
+def rules(css: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of a style sheet; blocks of at-rules (other media, animations) are passed over."""
+    css = COMMENT.sub(" ", css)
+    at = 0
+    while (brace := css.find("{", at)) >= 0:
+        selector = css[at:brace].rpartition(";")[2].strip()
+        depth, end = 1, brace + 1
+        if selector.startswith("@"):
+            for mark in re.finditer("[{}]", css[end:]):
+                depth += 1 if mark[0] == "{" else -1
+                if not depth:
+                    end += mark.end()
+                    break
+            else:
+                return
+        else:
+            end = css.find("}", brace) + 1 or len(css)
+            yield selector, css[brace + 1:end].rstrip("}")
+        at = end
+
+
+class Styles:
+    """Rules on ``display`` and ``visibility`` whose selector names one element by tag, classes and ids."""
+
+    def __init__(self, root: Node) -> None:
+        self.rules: dict[str, list[tuple]] = defaultdict(list)
+        sheets, left, order = [], [root], 0
+        while left:
+            node = left.pop()
+            if node.tag == "style":
+                sheets.append("".join(c for c in node.children if isinstance(c, str)))
+            else:
+                left.extend(c for c in reversed(node.children) if isinstance(c, Node))
+        for selectors, body in (rule for sheet in sheets for rule in rules(sheet)):
+            for name, (important, value) in declarations(body).items():
+                for selector in selectors.split(","):
+                    order += 1
+                    parts = SELECTOR.fullmatch(selector.strip())
+                    if not parts or not selector.strip():
+                        continue
+                    tag = (parts[1] or "*").lower()
+                    marks = re.findall(r"[.#][\w-]+", parts[2])
+                    weight = (sum(m[0] == "#" for m in marks), sum(m[0] == "." for m in marks), tag != "*")
+                    key = marks[0] if marks else tag
+                    self.rules[key].append((tag, frozenset(marks), name, (important, weight, order), value))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """What rules and the element's own style say; its own style outweighs rules that aren't important."""
+        best: dict[str, tuple] = {}
+        if self.rules:
+            marks = {f".{c}" for c in node.attributes.get("class", "").split()}
+            if "id" in node.attributes:
+                marks.add("#" + node.attributes["id"])
+            for key in (*marks, node.tag, "*"):
+                for tag, wanted, name, weight, value in self.rules.get(key, ()):
+                    if tag in ("*", node.tag) and wanted <= marks and (name not in best or best[name][0] < weight):
+                        best[name] = (weight, value)
+        own = node.attributes.get("style", "")
+        if own and SHOWING.search(own):
+            for name, (important, value) in declarations(own).items():
+                weight = (important, (float("inf"),), 0)
+                if name not in best or best[name][0] < weight:
+                    best[name] = (weight, value)
+        return {name: value for name, (_, value) in best.items()}
+
+
+def conceal(root: Node) -> None:
+    """Mark elements without display, and take the text of invisible ones; visible ones inside them keep theirs."""
+    styles = Styles(root)
+    left = [(root, False)]
+    while left:
+        node, concealed = left.pop()
+        said = styles.of(node)
+        if said.get("display") == "none":
+            node.attributes["hidden"] = ""
+            continue
+        if node.signs:
+            concealed = (concealed or "concealed" in node.signs) and "shown" not in node.signs
+        seen = said.get("visibility", "inherit")
+        if seen in ("hidden", "collapse"):
+            concealed = True
+            if seen == "collapse" and node.tag in ("tr", "thead", "tbody", "tfoot"):
+                node.attributes["hidden"] = ""
+        elif seen in ("visible", "initial"):
+            concealed = False
+        if concealed:
+            node.children = [c for c in node.children if isinstance(c, Node) and c.tag != "br"]
+            if node.tag == "input":
+                node.attributes["hidden"] = ""
+        left.extend((c, concealed) for c in node.children if isinstance(c, Node))
+
+
 # ---- layout ----------------------------------------------------------------------------------------------------
 
 
@@ -261,7 +371,7 @@ def visible(node: Node) -> bool:
         return False
     if node.tag == "input":
         return node.attributes.get("type", "").lower() in ("submit", "button", "reset")
-    return not INVISIBLE.search(node.attributes.get("style", ""))
+    return True
 
 
 @dataclass(slots=True)
@@ -553,6 +663,8 @@ def _span(cell: Node, name: str) -> int:
 
 def visible_text(html: str | None) -> str:
     root = tree(html or "")
+    if html and SHOWING.search(html):
+        conceal(root)
     return "\n".join(line.rstrip() for line in laid_out(root.children, root)).strip("\n")
 
 
@@ -560,7 +672,8 @@ def extracted(pages: DataFrame, html: str = "html", text: str = "text") -> DataF
     """``pages`` with the visible text of each page in ``text``.
 
     Null and empty pages have an empty text. Rows keep all columns but a former one of that name, whatever their
-    ids; an empty table gives no rows. Nothing is shuffled.
+    ids; an empty table gives no rows. Nothing is shuffled. Of style sheets, the page's own rules on ``display`` and
+    ``visibility`` count whose selector is one element's name, classes and ids, without combinators or at-rules.
     """
     @F.arrow_udf("string")
     def render(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
