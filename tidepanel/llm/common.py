@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,23 +42,31 @@ def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is a row of its own of some file: a scan with projections and filters only."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation" or not hasattr(plan.relation(), "location"):
+        return False
+    roots = plan.relation().location().rootPaths()
+    names = sorted(roots.apply(i).toString().rstrip("/") + "/" for i in range(roots.size()))
+    # A folder that is read twice, or within another one, gives its rows twice.
+    return not any(b.startswith(a) for a, b in zip(names, names[1:]))
+
+
 def with_row_id(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` with a struct column that identifies each row, its file and its number in that file; its name.
 
-    A frame that does not come straight from files is written to the scratch space first. The id does not depend
-    on how Spark splits the scan, so a second scan, a retried task or a lost executor sees the same ids.
+    A frame that is not a plain scan (joined, exploded, sampled, united) may hold a row of a file more than once, and
+    is written to the scratch space first. The id does not depend on how Spark splits the scan, so a second scan, a
+    retried task or a lost executor sees the same ids.
     """
     name = free_name(df, "_rid")
-
-    def identified(frame: DataFrame) -> DataFrame:
-        meta = frame.metadataColumn("_metadata")
-        return frame.select("*", F.struct(
-            meta["file_path"].alias("file"), meta["row_index"].alias("row")).alias(name))
-
-    try:
-        return identified(df), name
-    except AnalysisException:
-        return identified(saved(df, "rows")), name
+    source = df if is_scan(df) else saved(df, "rows")
+    meta = source.metadataColumn("_metadata")
+    return source.select("*", F.struct(
+        meta["file_path"].alias("file"), meta["row_index"].alias("row")).alias(name)), name
 
 
 # ---- hashing of byte ranges, for whole batches at once ---------------------------------------------------------
