@@ -9,7 +9,9 @@ alone, so a reader can go on anywhere and reads forward from there.
 from __future__ import annotations
 
 import base64
+import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +34,11 @@ MAX_VOCABULARY_BYTES = 64 << 20
 ROW_TOKENS = 2048
 #: Text bytes of a shard in the mean.
 SHARD_BYTES = 32 << 20
+#: Tasks that write shards, at most; each writes a range of shards one after the other.
+MOST_TASKS = 20_000
+#: A run of blanks longer than this is a token sequence of its own: the library's matcher would run out of stack.
+LONG_BLANKS = 5_000
+BLANKS = re.compile("[\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_BLANKS)
 KEY = 42
 ROUNDS = 6
 FLUSH_BYTES = 1 << 20
@@ -92,6 +99,23 @@ def tokenizer(vocabulary: bytes, pattern: str = PATTERN) -> tiktoken.Encoding:
     return _LOADED[key]
 
 
+def encoded(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a text, with blanks in any number.
+
+    The split takes a run of blanks but for its last one as one piece; the last one goes with what follows. At the end
+    of a text the whole run is one piece.
+    """
+    if len(text) < LONG_BLANKS or encoding._pat_str != PATTERN:
+        return encoding.encode_ordinary(text)
+    ids, at = [], 0
+    for run in BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += encoding.encode_ordinary(text[at:run.start()])
+        ids += encoding._encode_single_piece(text[run.start():end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
 def read_vocabulary(path: str) -> bytes:
     with open(path, "rb") as file:
         data = file.read(MAX_VOCABULARY_BYTES + 1)
@@ -151,9 +175,10 @@ def write_training_order(docs: DataFrame, path: str | None = None, vocabulary: s
                          key: int = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the token shards of ``docs`` below ``path`` and return their index, one row per document.
 
-    ``(doc_id, slot, shard, start, n_tokens, crc32, n_shards, path)``: the sequence is tokens ``start`` to
-    ``start + n_tokens`` of its shard; the end token, the id after the vocabulary's last, follows. Tokens are little
-    endian, of 16 bits if the vocabulary allows it. Null and empty texts are sequences of no token; rows with null
+    ``(doc_id, slot, shard, start, n_tokens, crc32, n_shards, path, row_tokens, kind)``: the sequence is tokens
+    ``start`` to ``start + n_tokens`` of its shard; the end token, the id after the vocabulary's last, follows. Tokens
+    are little endian, of 16 bits if the vocabulary allows it; index and shards say which (``kind``), and how many
+    tokens a row has. A vocabulary file of over ``MAX_VOCABULARY_BYTES`` is refused. Null and empty texts are sequences of no token; rows with null
     or repeated ids, and repeated rows, have slots of their own; an empty table writes nothing; other columns are
     not read. Text is shuffled once and tokenised once, where it is written.
     """
@@ -167,12 +192,15 @@ def write_training_order(docs: DataFrame, path: str | None = None, vocabulary: s
     chosen = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(rid).alias("_rid"))
     numbered, size = slots(chosen, "_rid", key)
     shards = max(1, math.ceil(total / shard_bytes))
+    tasks = min(shards, MOST_TASKS)
     dealt = (numbered.select(
         "doc_id", "text", F.col("_slot").alias("slot"),
         F.floor(F.col("_slot").cast("decimal(38,0)") * shards / max(size, 1)).cast("int").alias("shard"))
-        .repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot"))
+        .repartitionById(tasks, F.floor(F.col("shard").cast("long") * tasks / shards).cast("int"))
+        .sortWithinPartitions("shard", "slot"))
     shared = spark.sparkContext.broadcast(ranks)
     folder = f"{path}/shards"
+    write_layout(folder, row_tokens, kind)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tokenizer(shared.value, pattern)
@@ -184,7 +212,7 @@ def write_training_order(docs: DataFrame, path: str | None = None, vocabulary: s
                     if writer:
                         writer.close()
                     writer, current = ShardWriter(folder, shard, row_tokens, kind, end), shard
-                ids = encoding.encode_ordinary(value.as_py() or "")
+                ids = encoded(encoding, value.as_py() or "")
                 start, crc = writer.add(ids)
                 starts.append(start)
                 lengths.append(len(ids))
@@ -199,42 +227,57 @@ def write_training_order(docs: DataFrame, path: str | None = None, vocabulary: s
     schema = (dealt.select("doc_id", "slot", "shard").schema
               .add("start", "long").add("n_tokens", "long").add("crc32", "long"))
     index = saved(dealt.mapInArrow(write, schema), "index", f"{path}/index")
-    return index.withColumns({"n_shards": F.lit(shards), "path": F.lit(folder)})
+    return index.withColumns({"n_shards": F.lit(shards), "path": F.lit(folder), "row_tokens": F.lit(row_tokens),
+                              "kind": F.lit(kind.str)})
+
+
+def write_layout(folder: str, row_tokens: int, kind: np.dtype) -> None:
+    files, base = pafs.FileSystem.from_uri(folder)
+    files.create_dir(base, recursive=True)
+    with files.open_output_stream(f"{base}/layout.json") as file:
+        file.write(json.dumps({"row_tokens": row_tokens, "kind": kind.str}).encode())
+
+
+def read_layout(folder: str) -> tuple[int, np.dtype]:
+    """Tokens of a row, and their type, as the shards of a folder were written."""
+    files, base = pafs.FileSystem.from_uri(folder)
+    with files.open_input_file(f"{base}/layout.json") as file:
+        layout = json.loads(file.read())
+    return layout["row_tokens"], np.dtype(layout["kind"])
 
 
-def manifest(index: DataFrame, row_tokens: int = ROW_TOKENS) -> DataFrame:
+def manifest(index: DataFrame) -> DataFrame:
     """``(shard, rows, first_row, path)``: how many rows a shard has, and the number of its first one."""
     rows = index.groupBy("shard", "path").agg(
-        F.ceil(F.max(F.col("start") + F.col("n_tokens") + 1) / row_tokens).alias("rows"))
+        F.ceil(F.max((F.col("start") + F.col("n_tokens") + 1) / F.col("row_tokens"))).alias("rows"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return rows.select("shard", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first_row"), "path")
 
 
-def read_rows(folder: str, shard: int, first: int = 0, row_tokens: int = ROW_TOKENS,
-              kind: str = "<u2") -> Iterator[np.ndarray]:
+def read_rows(folder: str, shard: int, first: int = 0) -> Iterator[np.ndarray]:
     """The rows of a shard from number ``first`` on; only what is asked for is read."""
+    row_tokens, kind = read_layout(folder)
     files, base = pafs.FileSystem.from_uri(folder)
-    stride = row_tokens * np.dtype(kind).itemsize
+    stride = row_tokens * kind.itemsize
     with files.open_input_file(shard_name(base, shard)) as file:
         file.seek(first * stride)
         while data := file.read(stride):
             yield np.frombuffer(data, dtype=kind)
 
 
-def read_back(index: DataFrame, kind: str = "<u2") -> DataFrame:
+def read_back(index: DataFrame) -> DataFrame:
     """``index`` with ``read_crc32``, the CRC-32 of each sequence as it stands in its shard; shards are read forward."""
     ordered = index.repartition("shard").sortWithinPartitions("shard", "slot")
-    wide = np.dtype(kind).itemsize
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = file = None
         for batch in batches:
             sums = []
-            for shard, folder, start, n in zip(*(batch.column(c).to_pylist()
-                                                 for c in ("shard", "path", "start", "n_tokens"))):
+            for shard, folder, start, n, kind in zip(*(batch.column(c).to_pylist()
+                                                       for c in ("shard", "path", "start", "n_tokens", "kind"))):
                 if shard != current:
                     files, base = pafs.FileSystem.from_uri(folder)
-                    file, current = files.open_input_file(shard_name(base, shard)), shard
+                    file, current, wide = files.open_input_file(shard_name(base, shard)), shard, np.dtype(kind).itemsize
                 file.seek(start * wide)
                 sums.append(zlib.crc32(file.read(n * wide)))
             yield batch.append_column("read_crc32", pa.array(sums, pa.int64()))
