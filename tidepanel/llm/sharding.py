@@ -23,8 +23,8 @@ SHARDS = 8
 SEED = 42
 #: Text bytes that a bucket holds in the mean, at most; a task keeps one bucket in memory.
 BUCKET_BYTES = 64 << 20
-#: Buckets that are made of any table, for parallel work.
-LEAST_BUCKETS = 64
+#: Buckets that are made of any table, for parallel work, and tasks that shuffle them, at most.
+LEAST_BUCKETS, MOST_TASKS = 64, 20_000
 
 
 def record_size(text):
@@ -73,7 +73,9 @@ def write_shards(docs: DataFrame, path: str | None = None, shards: int = SHARDS,
     packed = rows.select(
         bucket.alias("bucket"), order.alias("order"), F.struct(*[quoted(c) for c in docs.columns]).alias("record"),
         F.col(rid).alias("rid"))
-    dealt = (packed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "order", "rid")
+    tasks = min(buckets, MOST_TASKS)
+    task = F.floor(F.col("bucket").cast("long") * tasks / buckets).cast("int")
+    dealt = (packed.repartitionById(tasks, task).sortWithinPartitions("bucket", "order", "rid")
              .select("bucket", "record"))
     record = packed.schema["record"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(starts)
