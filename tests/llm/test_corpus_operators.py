@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 from collections import Counter, defaultdict
@@ -12,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tidepanel.llm.common import is_scan, table, with_row_id
 from tidepanel.llm import components, mixing, nearest, queries, secrets_scan, sharding, simhash, suffixes, tokens
 
 SF = "/root/testdata/sf0.001"
@@ -209,6 +211,37 @@ def test_rows_of_one_id_all_count(spark, tmp_path):
     assert sorted(map(tuple, small)) == sorted(expected)
 
 
+# ---- rows that a plan repeats ----------------------------------------------------------------------------------
+
+
+def repeating(docs):
+    """Frames that hold rows of a file more than once, though they still have that file's metadata."""
+    twice = docs.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("again")).drop("again")
+    both = docs.join(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang")), "lang").drop("of_lang")
+    return {"explode": twice, "union": docs.union(docs), "join": both.union(both), "sample": docs.sample(True, 2.0, 1),
+            "scan": docs, "filter": docs.where("doc_id % 2 = 0").select("doc_id", "text", "source", "lang")}
+
+
+@pytest.mark.parametrize("name", ["explode", "union", "join", "sample", "scan", "filter"])
+def test_row_ids_tell_repeated_rows_apart(spark, name):
+    frame = repeating(table(spark, SF, "documents"))[name]
+    rows, rid = with_row_id(frame)
+    assert rows.count() == rows.select(rid).distinct().count() == frame.count() > 0
+    assert is_scan(frame) == (name in ("scan", "filter"))
+
+
+def test_operators_on_repeated_rows(spark):
+    docs = table(spark, SF, "documents")
+    twice = repeating(docs)["explode"]
+    n = docs.count()
+    index = tokens.write_training_order(twice, shard_bytes=50_000)
+    assert sorted(r.slot for r in index.select("slot").collect()) == list(range(2 * n))
+    assert sharding.write_shards(twice).count() == 2 * n
+    one = {r.component_id for r in simhash.simhash_components(docs).collect()}
+    assert simhash.near_deduplicated(twice).count() == len(one) == simhash.near_deduplicated(docs).count()
+    assert suffixes.removals(twice).count() == 2 * n
+
+
 # ---- tokens ----------------------------------------------------------------------------------------------------
 
 
@@ -226,7 +259,7 @@ def decoded(index, row_tokens):
     out, streams = {}, {}
     for r in index.collect():
         if r.shard not in streams:
-            rows = list(tokens.read_rows(r.path, r.shard, 0, row_tokens))
+            rows = list(tokens.read_rows(r.path, r.shard))
             assert all(len(x) == row_tokens for x in rows)
             streams[r.shard] = np.concatenate(rows)
         ids = streams[r.shard][r.start:r.start + r.n_tokens + 1].tolist()
@@ -244,14 +277,38 @@ def test_tokens_round_trip(spark, edge_docs, edge_rows, no_docs):
     # Shards hold ranges of slots, one after the other; every row can be reached by its number.
     ordered = [r.shard for r in index.orderBy("slot").collect()]
     assert ordered == sorted(ordered)
-    for r in tokens.manifest(index, 64).collect():
+    assert {(r.row_tokens, r.kind) for r in index.collect()} == {(64, "<u2")}
+    for r in tokens.manifest(index).collect():
         assert r.rows * 64 == len(streams[r.shard])
-        last = next(tokens.read_rows(r.path, r.shard, r.rows - 1, 64))
+        last = next(tokens.read_rows(r.path, r.shard, r.rows - 1))
         assert last.tolist() == streams[r.shard][-64:].tolist()
     assert all(r.crc32 == r.read_crc32 for r in tokens.read_back(index).collect())
     assert tokens.write_training_order(no_docs).count() == 0
 
 
+def test_wide_tokens_are_read_as_they_were_written(spark, tmp_path):
+    # A vocabulary whose ids need more than sixteen bits.
+    ranks = [bytes([i]) for i in range(256)] + [b"%d" % i for i in range(10, 70_000)]
+    path = tmp_path / "wide.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(ranks)))
+    docs = spark.createDataFrame([(1, "69999 12 x"), (2, None)], "doc_id int, text string")
+    index = tokens.write_training_order(docs, vocabulary=str(path), row_tokens=8)
+    assert {r.kind for r in index.collect()} == {"<u4"}
+    assert all(r.crc32 == r.read_crc32 for r in tokens.read_back(index).collect())
+    first = index.where("n_tokens > 0").first()
+    rows = np.concatenate(list(tokens.read_rows(first.path, first.shard)))
+    assert rows.dtype == np.uint32 and len(rows) % 8 == 0 and 70_246 in rows
+
+
+def test_long_runs_of_blanks():
+    encoding = tokens.tokenizer(tokens.read_vocabulary(tokens.VOCABULARY))
+    for run in (" " * 6000, "\n" * 6000, " \n\t" * 2500, "\u3000" * 5001):
+        for text in (run, f"a{run}", f"{run}a", f"a{run}b{run}  c", f"it's{run}'s{run}9 x"):
+            assert tokens.encoded(encoding, text) == encoding.encode_ordinary(text), (run[:4], text[:3])
+    text = "a" + " " * 1_500_000 + "b"
+    assert encoding.decode(tokens.encoded(encoding, text)) == text
+
+
 def test_token_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     out, _ = decoded(tokens.write_training_order(spark.read.parquet(f"{SF}/documents.parquet")), tokens.ROW_TOKENS)

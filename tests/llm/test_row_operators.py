@@ -6,12 +6,14 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.llm import decontaminate, html_text, quality, queries, secrets_scan
+from tidepanel.llm.common import table
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,7 +81,7 @@ def substring_distance(pattern, text):
 
 def mutated(text, edits, rng):
     for _ in range(edits):
-        i = rng.randrange(len(text))
+        i = rng.randrange(len(text) or 1)
         text = rng.choice([text[:i] + text[i + 1:], text[:i] + rng.choice("abc ") + text[i:],
                            text[:i] + rng.choice("abc") + text[i + 1:]])
     return text
@@ -88,21 +90,51 @@ def mutated(text, edits, rng):
 def test_found_items_equal_the_full_table():
     rng = random.Random(2)
     hits = 0
-    for _ in range(150):
+    for _ in range(250):
         items = [(i, decontaminate.normalised("".join(rng.choice("abc ") for _ in range(rng.randrange(1, 60)))))
                  for i in range(4)]
         noise = lambda n: "".join(rng.choice("abc ") for _ in range(n))
         chosen = rng.choice(items)[1] or "a"
-        text = decontaminate.normalised(noise(30) + mutated(chosen, rng.randrange(6), rng) + noise(30))
+        gaps = [rng.choice(["", " "]) for _ in range(2)]
+        text = decontaminate.normalised(
+            noise(30) + gaps[0] + mutated(chosen, rng.randrange(6), rng) + gaps[1] + noise(30))
         rate = rng.choice([0.05, 0.1, 0.2])
         got = [(found.items[n][0], d) for found in [decontaminate.Items(items, rate)] for n, d in found.found_in(text)]
         expected = [(key, d) for key, item in items if item
-                    for d in [substring_distance(item, text)] if d <= decontaminate.budget(len(item), rate)]
+                    for d in [substring_distance(f" {item} ", f" {text} ")] if d <= decontaminate.budget(len(item), rate)]
         assert got == expected
         hits += len(got)
     assert hits > 100
 
 
+def test_items_end_at_words():
+    items = decontaminate.Items([(1, "cat"), (2, "a"), (3, "the quick brown fox jumps")], 0.08)
+    assert items.found_in("concatenate") == items.found_in("") == []
+    assert items.found_in("cat") == [(0, 0)] and items.found_in("a cat") == [(0, 0), (1, 0)]
+    # What is glued to an end is an edit.
+    assert items.found_in("so the quick brown fox jumps on") == [(2, 0)]
+    assert items.found_in("xthe quick brown fox jumps") == [(2, 1)]
+    assert items.found_in("xthe quick brown fox jumpsy") == [(2, 2)] or items.items[2][2] < 2
+
+
+def test_decontamination_query(spark):
+    """The query against the full table on every document and item."""
+    folder = "/root/testdata/sf0.001"
+    items = [(r.item_id, decontaminate.normalised(r.text)) for r in table(spark, folder, "benchmark").collect()]
+    expected = Counter()
+    for doc in table(spark, folder, "documents").collect():
+        text = decontaminate.normalised(doc.text)
+        for key, item in items:
+            errors = decontaminate.budget(len(item))
+            # Within its budget an item leaves one of budget + 1 stretches untouched.
+            if any(piece in f" {text} " for _, piece in decontaminate.pieces(f" {item} ", errors)):
+                distance = substring_distance(f" {item} ", f" {text} ")
+                if distance <= errors:
+                    expected[doc.doc_id, key, distance, errors] += 1
+    got = queries.QUERIES["op2_benchmark_decontamination"](spark, folder).collect()
+    assert Counter(map(tuple, got)) == expected and expected
+
+
 def test_decontamination_of_edge_rows(spark, edge_docs, edge_rows, no_docs, make_docs):
     items = spark.createDataFrame(
         [(1, "One, two THREE four five!", "x"), (1, "One, two THREE four five!", "x"), (None, "no id here at all", "x"),
@@ -230,6 +262,44 @@ def test_rendered(html):
     assert html_text.visible_text(html) == CASES[html]
 
 
+SHOWN = {
+    # Visibility is inherited, and may be given back; display can't be.
+    "<div style='visibility:hidden'>no <i>no</i><br><b style='visibility: visible'>yes</b> no</div>": "yes",
+    "<p style='display:none'>no<b style='display:block;visibility:visible'>no</b></p>yes": "yes",
+    "<div style='visibility:hidden'><ul><li>no<li style='visibility:visible'>yes</ul></div>": "- yes",
+    "<table><tr><td>a<td style='visibility:hidden'>no<td>c</table>": "a |  | c",
+    "<table><tr><td>a<tr style='visibility:collapse'><td>no<tr><td>b</table>": "a\nb",
+    "<svg><text visibility='hidden'>no<tspan visibility='visible'>yes</tspan></text></svg>": "yes",
+    # Rules of the page's own sheets, the weightiest and last first; an element's own style outweighs them.
+    "<style>.a,p.b{display:none}</style><i class=a>no</i><p class='b x'>no<p class=c>yes<div class=b>yes</div>": "yes\n\nyes",
+    "<style>#q{visibility:hidden}</style><div id=q>no <b style='visibility:visible'>yes</b></div>": "yes",
+    "<style>.d{display:none} .d{display:block}</style><div class=d>yes</div>": "yes",
+    "<style>#e{display:block} .e{display:none}</style><div class=e id=e>yes</div>": "yes",
+    "<style>.f{display:none!important} .f{display:block}</style><div class=f style='display:block'>no</div>yes": "yes",
+    "<style>.g{display:none}</style><div class=g style='display:block'>yes</div>": "yes",
+    "<style>@media print{.h{display:none} b{display:none}} /* .h{display:none} */</style><b class=h>yes</b>": "yes",
+    "<style>.i .j{display:none} .k:hover{display:none}</style><p class=i><b class=j>yes</b><i class=k>yes</i>": "yesyes",
+    "<style>.l{display:none</style><b class=l>no</b>yes<style>}{}}@media{": "yes",
+}
+
+
+@pytest.mark.parametrize("html", SHOWN)
+def test_shown(html):
+    assert html_text.visible_text(html) == SHOWN[html]
+
+
+def test_page_query(spark):
+    """The query gives what each whole page renders to, and every word between tags of plain pages."""
+    pages = {r.page_id: r.html for r in table(spark, SF, "pages").collect()}
+    got = {r.page_id: r.text for r in queries.QUERIES["op5_html_extraction"](spark, SF).collect()}
+    assert got == {i: html_text.visible_text(html) for i, html in pages.items()}
+    raw = re.compile(r"(?is)<(script|style|noscript|template|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&\w+;")
+    for i, html in pages.items():
+        if not re.search(r"hidden|display|none|<(svg|select|details|title|textarea|dialog)", html):
+            words = set(re.findall(r"\w{4,}", raw.sub(" ", html)))
+            assert words <= set(re.findall(r"\w+", got[i])) or not words, i
+
+
 def test_no_visible_word_is_lost():
     rng = random.Random(5)
     tags = "p div b ul li ol table tr td th tbody span h1 blockquote dl dt dd a section caption button".split()
