@@ -7,14 +7,28 @@ import re
 import statistics
 import sys
 import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.functions import alias_key, fold_marks, group_key, label_key
 from tidepanel.functions.normalize import GROUP_SEPARATORS, LABEL_SEPARATORS, WHITESPACE, key_of
+from tidepanel.operators import tagging
 from tidepanel.operators.select import ordered_page
-from tidepanel.plans import count_table, grouped_order_statistics, substring_pairs, table_medians, top_per_group, with_rank
+from tidepanel.plans import (
+    GramIndex,
+    as_of_join,
+    count_table,
+    gram_counts,
+    grouped_order_statistics,
+    phrases,
+    posting_lists,
+    substring_pairs,
+    table_medians,
+    top_per_group,
+    with_rank,
+)
 from tidepanel.registry import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -74,6 +88,30 @@ def test_ranks_equal_sorting(spark):
     assert with_rank(frame.limit(0), ["g"], order).count() == with_rank(frame.limit(0), [], order).count() == 0
 
 
+def test_as_of_equals_searching(spark):
+    draw = random.Random(13)
+    facts = [("hot", 1, p, float(p)) for p in draw.sample(range(20_000), 6000)]
+    facts += [(draw.choice("ab"), draw.randint(0, 2), p, -p / 2) for p in range(0, 300, 7)] + [("x", 1, None, 1.0)]
+    facts = list({f[:3]: f for f in facts}.values())
+    asks = [("hot", 1, draw.randint(-50, 21_000), i) for i in range(3000)]
+    asks += [(draw.choice(["a", "b", "c", "x", None]), draw.choice([0, 1, None]), draw.choice([None, 5, 40, 299]), i)
+             for i in range(200)] + [("hot", 1, 500, -1)] * 3
+    left = spark.createDataFrame(asks, "g string, h int, p int, id int").repartition(8)
+    right = spark.createDataFrame(facts, "g string, h int, p int, v double").repartition(8)
+    got = Counter(map(tuple, as_of_join(left, right, ["g", "h"], "p", ["v"], "found").collect()))
+    series = {}
+    for g, h, p, v in facts:
+        if p is not None:
+            series.setdefault((g, h), []).append((p, v))
+    expected = Counter()
+    for g, h, p, i in asks:
+        before = [f for f in series.get((g, h), []) if p is not None and f[0] <= p]
+        expected[(g, h, p, i, *max(before, default=(None, None)))] += 1
+    assert got == expected
+    assert as_of_join(left.limit(0), right, ["g", "h"], "p", ["v"], "found").count() == 0
+    assert as_of_join(left, right.limit(0), ["g", "h"], "p", ["v"], "found").where("found is not null").count() == 0
+
+
 def test_pages_behind_an_offset_have_no_single_task(spark):
     frame = spark.range(50_000).repartition(8)
     for top in (None, 9_000):
@@ -113,6 +151,69 @@ def test_top_k_equals_sorting(spark, k):
     assert got == expected
 
 
+def test_indexed_grams_equal_taking_texts_apart(spark):
+    draw = random.Random(17)
+    texts = {i: "".join(draw.choice("abc é") for _ in range(draw.randint(0, 20))) for i in range(200)}
+    needles = sorted({"".join(draw.choice("abc é") for _ in range(draw.randint(1, 9))) for _ in range(80)} | {""})
+    frame = spark.createDataFrame(list(texts.items()), "id int, t string")
+    asked = spark.createDataFrame([(n,) for n in needles], "needle string")
+    lists = posting_lists(frame, "t", ["id"])
+    index = GramIndex(lists, gram_counts(lists))
+    for blank in (False, True):
+        pairs = substring_pairs(frame, "t", ["id"], asked, blank=blank, index=index).collect()
+        assert sorted((r["needle"], r["id"]) for r in pairs) == sorted(
+            (n, i) for n in needles for i, t in texts.items() if n in t and (n or blank))
+
+
+@pytest.mark.parametrize("block", [phrases.BLOCK_BYTES, 3000])
+def test_phrases_of_a_table_equal_nested_loops(spark, monkeypatch, block):
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", block)
+    draw = random.Random(23)
+    texts = ["".join(draw.choice("ab cdé漢😀") for _ in range(draw.randint(0, 60))) for _ in range(150)] + [None, "", "A B"]
+    words = ["".join(draw.choice("ab cdé漢😀AB") for _ in range(draw.randint(1, 12))) for _ in range(120)]
+    table = [(draw.choice("xyz"), i, w) for i, w in enumerate([*words, *words[:9]])] + [(None, 1, "a"), ("x", 2, None), ("x", 3, "")]
+    listed = spark.createDataFrame(table, "tag string, position int, phrase string").repartition(4)
+    rows = spark.createDataFrame([(draw.choice([1, 2, None]), i, t) for i, t in enumerate(texts)],
+                                 "id int, n int, text string").repartition(4)
+    known = [(tag, i, w) for tag, i, w in table if tag and w]
+    found = tagging.match_phrases(rows, ["id", "n"], "text", listed.withColumnRenamed("tag", "indicator_code")).collect()
+    got = {(r["n"], r["indicator_code"]): r["matched_phrases"] for r in found}
+    assert len(got) == len(found) > 100
+    expected, scores = {}, {}
+    for n, text in enumerate(texts):
+        for tag, _, w in known:
+            if w.lower() in (text or "").lower():
+                expected.setdefault((n, tag), []).append(w)
+    assert got == expected
+    tags = {}
+    for r in tagging.tag_texts(rows, ["id", "n"], "text", listed, top=2, default_tag="none").collect():
+        tags.setdefault(r["n"], []).append((r["rank"], r["tag"], r["score"]))
+    for n in range(len(texts)):
+        scores = sorted(((len(w), tag) for (m, tag), w in expected.items() if m == n), reverse=True)[:2]
+        assert sorted(tags[n]) == [(i, tag, k) for i, (k, tag) in enumerate(scores, 1)] or (
+            not scores and tags[n] == [(1, "none", 1)])
+
+
+def test_a_hundred_thousand_phrases(spark):
+    numbers = spark.range(100_000).select(F.col("id"), F.concat(F.lit("Phrase no. "), F.conv("id", 10, 36)).alias("p"))
+    listed = numbers.select((F.col("id") % 7).cast("string").alias("indicator_code"), F.col("id").alias("position"),
+                            F.concat("p", F.lit(".")).alias("phrase"))
+    texts = spark.range(300).select("id", F.concat(
+        F.repeat(F.lit("filler phrase no. "), 100), F.lit("phrase no. "), F.lower(F.conv(F.col("id") * 331, 10, 36)),
+        F.lit(". and phrase no. zzzz.")).alias("text"))
+    found = tagging.match_phrases(texts, ["id"], "text", listed)
+    got = {r["id"]: (r["indicator_code"], r["matched_phrases"]) for r in found.collect()}
+    expected = {r["id"]: (str(r["id"] * 331 % 7), [f"Phrase no. {r['c']}."])
+                for r in spark.range(300).select("id", F.conv(F.col("id") * 331, 10, 36).alias("c")).collect()
+                if r["id"] * 331 < 100_000}
+    assert got == expected
+    # Texts are probed where they are scanned: no exchange has their column.
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = found._jdf.queryExecution().explainString(mode)
+    exchanges = re.findall(r"\) \w*Exchange *\nInput \[\d+\]: \[(.*)\]", plan)
+    assert exchanges and not any(phrases.LOWERED in columns for columns in exchanges)
+
+
 SPELLINGS = [
     "Türkiye", "Türkiye", "  côte d'ivoire ", "Việt Nam", "straße", "ﬁrst", "Ǆ", "São Tomé & Príncipe",
     "low_and-middle  income", "a/b,c.d", "Ærø", "Ĳsselmeer", "ＦＵＬＬ", "KK", "½", "ñ́", "plain",
@@ -148,7 +249,8 @@ def test_every_code_point_folds(spark):
 
 
 # Files and texts are read back from a scratch folder, so these queries write while being built.
-WRITING = {"s6_build_snapshot", "s7_version_lines", "s7_snapshot_status", "s11_export_csv", "s12_export_package"}
+WRITING = {"n4_find_entities_stored", "j5_match_names_stored", "n5_resolve_customers_stored",
+           "f5_search_indicators_stored", "s6_build_snapshot", "s7_version_lines", "s7_snapshot_status", "s11_export_csv", "s12_export_package"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITING))

@@ -6,8 +6,10 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidepanel.dims import tables
+from tidepanel.plans.substring import GramIndex
 
 OBSERVATION_COLUMNS = ("entity_code", "period", "indicator_code", "value")
 OBSERVATION_KEY = ("indicator_code", "entity_code", "period")
@@ -20,6 +22,10 @@ NOTE_COLUMNS = (
     "entity_code", "indicator_code", "entity_name", "region", "income", "long_code",
     "indicator_name", "sources", "comments", "data_type", "methods_of_estimation", "footnote",
 )
+# Where a codebook search looks: all but the method.
+SEARCHED_COLUMNS = INDICATOR_COLUMNS[:-1]
+SEARCHED = ("name", "entity", "codebook")
+UNUSED = "\x00"
 # The tidy row of every data query, in order.
 DATA_COLUMNS = (
     "indicator_code", "indicator_name", "entity_code", "entity_name", "region", "income", "period",
@@ -50,11 +56,13 @@ class Panel:
         memberships: Table | None = None,
         relations: Table | None = None,
         version_lines: Table | None = None,
+        gram_lists: Table | None = None,
+        gram_counts: Table | None = None,
     ) -> None:
         self._tables = {
             "observations": observations, "entities": entities, "indicators": indicators,
             "notes": notes, "memberships": memberships, "relations": relations,
-            "version_lines": version_lines,
+            "version_lines": version_lines, "gram_lists": gram_lists, "gram_counts": gram_counts,
         }
 
     def _table(self, name: str) -> DataFrame | None:
@@ -64,8 +72,11 @@ class Panel:
         return table
 
     def replace(self, **tables: Table) -> Panel:
-        """The same panel with some tables exchanged."""
-        return Panel(**{**self._tables, **tables})
+        """The same panel with some tables exchanged; an index of names does not outlive the names."""
+        kept = dict(self._tables)
+        if not tables.keys().isdisjoint(("entities", "indicators")):
+            kept.update(gram_lists=None, gram_counts=None)
+        return Panel(**{**kept, **tables})
 
     @property
     def observations(self) -> DataFrame:
@@ -95,6 +106,28 @@ class Panel:
     def version_lines(self) -> DataFrame | None:
         return self._table("version_lines")
 
+    def gram_index(self, source: str) -> GramIndex | None:
+        """The stored grams of one kind of text (see ``searched_texts``), if the panel has been read with them."""
+        lists, counts = self._table("gram_lists"), self._table("gram_counts")
+        if lists is None or counts is None:
+            return None
+        return GramIndex(lists.where(F.col("source") == source).drop("source"),
+                         counts.where(F.col("source") == source).drop("source"))
+
+    def searched_texts(self, source: str) -> DataFrame:
+        """``(code, text)``: what searches look at, in lower case, joined by a character that no query can contain.
+
+        ``name``: names of entities; ``entity``: their codes and names; ``codebook``: the searched attributes.
+        """
+        if source == "codebook":
+            parts, rows, code = SEARCHED_COLUMNS, self.indicators, "indicator_code"
+        else:
+            parts = ("entity_name",) if source == "name" else ("entity_code", "entity_name")
+            rows, code = self.entities, "entity_code"
+        lowered = [F.lower(F.col(name)) for name in parts]
+        text = lowered[0] if source == "name" else F.concat_ws(UNUSED, *lowered)
+        return rows.select(F.col(code).alias("code"), text.alias("text"))
+
     @property
     def spark(self) -> SparkSession:
         return self.entities.sparkSession

@@ -20,14 +20,14 @@ from tidepanel.model import (
     ENTITY_COLUMNS,
     INDICATOR_COLUMNS,
     NOTE_COLUMNS,
+    SEARCHED_COLUMNS,
     Panel,
     Selection,
 )
 from tidepanel.operators import resolve
-from tidepanel.plans import substring_pairs, top_per_group, with_rank
+from tidepanel.plans import as_of_join, substring_pairs, top_per_group, with_rank
 
 SERIES_KEY = ["indicator_code", "entity_code"]
-SEARCHED_COLUMNS = INDICATOR_COLUMNS[:-1]
 HEADLINE = "INDICATORS"
 #: Pages that end within the first so many rows are cut by a top-k, which every task holds in memory.
 TOP_ROWS = 10_000
@@ -174,6 +174,15 @@ def as_of_values(
     return latest_of_series(_filtered_facts(panel, codes, sel.between(None, period)))
 
 
+def as_of_requests(panel: Panel, requests: DataFrame, sel: Selection = ALL) -> DataFrame:
+    """A table of ``(indicator_code, entity_code, period)``, each with the last value at or before its period.
+
+    Columns of the table are kept, ``found_period`` and ``value`` added; they are null where the selection has no such
+    observation. All requests are answered by one sorted merge, whatever their number per series.
+    """
+    return as_of_join(requests, _filtered_facts(panel, None, sel), SERIES_KEY, "period", ["value"], "found_period")
+
+
 # ---- F2, P1-P4: data queries -----------------------------------------------------------------------------
 
 
@@ -206,9 +215,9 @@ def compare_entities(
     return indicator_data(panel, code, sel, latest_only, top)
 
 
-def resolved_inputs(panel: Panel, entities: Sequence[str]) -> DataFrame:
-    """The ``(spelling, entity_code)`` mapping of a comparison."""
-    table = tables.literal_table(
+def resolved_inputs(panel: Panel, entities: Sequence[str] | DataFrame) -> DataFrame:
+    """The ``(spelling, entity_code)`` mapping of a comparison: of a list, or of a table's column ``spelling``."""
+    table = entities.select("spelling").distinct() if isinstance(entities, DataFrame) else tables.literal_table(
         panel.spark, {"spelling": tables.TEXT}, [(name,) for name in dict.fromkeys(entities)]
     )
     return resolve.resolve_entities(table, "spelling", panel).select("spelling", "entity_code")
@@ -311,13 +320,12 @@ def search_indicators(
 def search_indicators_batch(panel: Panel, queries: DataFrame, column: str) -> DataFrame:
     """``(query, indicator_code)`` for a table of query texts, as an equi-join on character grams; blank ones match none.
 
-    The searched attributes are joined by a character that no query can contain, so one text per
-    codebook row is matched.
+    One text per codebook row is matched; see ``Panel.searched_texts``.
     """
     wanted = queries.select(F.lower(stripped(F.col(column))).alias("needle")).where("needle != ''").distinct()
-    text = F.concat_ws("\x00", *[F.lower(F.col(name)) for name in SEARCHED_COLUMNS])
-    book = panel.indicators.select("indicator_code", text.alias("__text"))
-    pairs = substring_pairs(book, "__text", ["indicator_code"], wanted).drop("__text")
+    pairs = substring_pairs(
+        panel.searched_texts("codebook"), "text", ["code"], wanted, index=panel.gram_index("codebook")
+    ).select("needle", F.col("code").alias("indicator_code"))
     asked = queries.select(column, F.lower(stripped(F.col(column))).alias("needle"))
     return asked.join(pairs, "needle").select(column, "indicator_code")
 

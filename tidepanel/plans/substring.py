@@ -11,6 +11,7 @@ of its grams.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,28 @@ def _grams(text: Column, size: Column) -> Column:
     )
 
 
+@dataclass(frozen=True)
+class GramIndex:
+    """Stored grams of texts: ``lists (__gram, *ids, text)`` and ``counts (__gram, __texts)``.
+
+    A batch of needles picks its rarest grams by the counts and reads the lists of these; no text is taken apart.
+    """
+
+    lists: DataFrame
+    counts: DataFrame
+
+
+def posting_lists(texts: DataFrame, text: str, ids: Sequence[str], sizes: Sequence[int] = SIZES) -> DataFrame:
+    """``(__gram, *ids, text)`` for every distinct gram of every text."""
+    grams = F.flatten(F.array_compact(F.array(*[_grams(F.col(text), F.lit(n)) for n in sizes])))
+    return texts.where(F.col(text).isNotNull()).select(F.explode(grams).alias("__gram"), *ids, text)
+
+
+def gram_counts(lists: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, __gram, __texts)``: how many texts have each gram."""
+    return lists.groupBy(*by, "__gram").agg(F.count(F.lit(1)).alias("__texts"))
+
+
 def substring_pairs(
     texts: DataFrame,
     text: str,
@@ -36,28 +59,31 @@ def substring_pairs(
     needle: str = "needle",
     sizes: Sequence[int] = SIZES,
     blank: bool = False,
+    index: GramIndex | None = None,
 ) -> DataFrame:
     """Rows ``(needle, *ids, text)`` for every text that contains the needle literally.
 
     ``needles`` must be distinct; case folding is up to the caller. The empty needle matches every text if ``blank``
     is set, else none. ``sizes`` starts with 1. Texts give their grams of all sizes, and those no needle has are
-    dropped before anything else is done with them.
+    dropped before anything else is done with them; with an ``index`` of the texts they give none.
     """
     sized = F.lit(sizes[0])
     for size in sizes[1:]:
         sized = F.when(F.length(F.col(needle)) >= size, F.lit(size)).otherwise(sized)
     own = _grams(F.col(needle), sized)
-    all_grams = [_grams(F.col(text), F.lit(n)) for n in sizes]
     if blank:
         # The empty text is a gram of every text, wanted only where an empty needle is.
         own = F.when(F.col(needle) == "", F.array(F.lit(""))).otherwise(own)
-        all_grams.append(F.array(F.lit("")))
     needle_grams = needles.select(needle, F.explode(own).alias("__gram"))
-    wanted = needle_grams.select("__gram").distinct()
-    text_grams = texts.where(F.col(text).isNotNull()).select(
-        *ids, text, F.explode(F.flatten(F.array_compact(F.array(*all_grams)))).alias("__gram")
-    ).join(wanted, "__gram", "left_semi")
-    frequency = text_grams.groupBy("__gram").agg(F.count(F.lit(1)).alias("__texts"))
+    whole = texts.where(F.col(text).isNotNull()).select(F.lit("").alias("__gram"), *ids, text)
+    if index is None:
+        text_grams = posting_lists(texts, text, ids, sizes)
+        text_grams = text_grams.unionByName(whole) if blank else text_grams
+        text_grams = text_grams.join(needle_grams.select("__gram").distinct(), "__gram", "left_semi")
+        frequency = gram_counts(text_grams)
+    else:
+        lists = index.lists.select("__gram", *ids, text)
+        text_grams, frequency = lists.unionByName(whole) if blank else lists, index.counts
     # A gram no text contains never joins, so needles without any match drop out here.
     rarest = (
         needle_grams.join(frequency, "__gram", "left")

@@ -117,10 +117,14 @@ select query, entity_code, entity_name, region, income from queries join ent
   on contains(entity_code, trim(query)) or contains(lower(entity_name), trim(query))
     or query = chr(9) || chr(160)""")
 def n4_find_entities(spark, folder):
+    return found_customers(spark, folder, star.customer_panel(spark, folder))
+
+
+def found_customers(spark, folder, panel):
     queries = _customers(spark, folder).select(
         F.concat(F.lit(" "), F.substring("c_name", -3, 3)).alias("query")
     ).union(_customers(spark, folder).limit(1).select(F.lit("\t\u00a0")))
-    return ops.find_entities(star.customer_panel(spark, folder), queries, "query")
+    return ops.find_entities(panel, queries, "query")
 
 
 @query("j5_match_names", f"""with {CUSTOMER_ENTITIES},
@@ -128,11 +132,15 @@ needles as (select distinct substr(c_name, 10) as needle from customer
             union select distinct right(c_name, 2) from customer)
 select needle, entity_code, entity_name from needles join ent on contains(lower(entity_name), needle)""")
 def j5_match_names(spark, folder):
+    return matched_customers(spark, folder, star.customer_panel(spark, folder))
+
+
+def matched_customers(spark, folder, panel):
     names = _customers(spark, folder)
     needles = names.select(F.expr("substring(c_name, 10)").alias("needle")).union(
         names.select(F.substring("c_name", -2, 2))
     )
-    return ops.match_names(star.customer_panel(spark, folder), needles)
+    return ops.match_names(panel, needles)
 
 
 NATION_ENTITIES_OF = f"""{NATIONS}, {NATION_ENTITIES.replace('ent as (', 'nation_ent as (')},
@@ -189,6 +197,10 @@ select c_custkey, spelling,
   case when n > 1 then array_to_string(names[1:5], '|') end as candidates
 from asked left join by_code c using (spelling) left join by_name using (spelling)""")
 def n5_resolve_customers(spark, folder):
+    return resolved_customers(spark, folder, star.customer_panel(spark, folder))
+
+
+def resolved_customers(spark, folder, panel):
     name, key = F.col("c_name"), F.col("c_custkey").cast("string")
     spelling = (
         F.when(F.col("c_custkey") % 4 == 0, F.upper(name))
@@ -197,7 +209,7 @@ def n5_resolve_customers(spark, folder):
         .otherwise(F.concat(name, F.lit("?")))
     )
     asked = _customers(spark, folder).select("c_custkey", spelling.alias("spelling"))
-    rows = ops.resolve_entities(asked, "spelling", star.customer_panel(spark, folder))
+    rows = ops.resolve_entities(asked, "spelling", panel)
     return rows.withColumn("candidates", F.array_join("candidates", "|"))
 
 
@@ -247,12 +259,22 @@ def n6_empty_group(spark, folder):
         select_ops.list_entities(others, group="South Asia"))
 
 
-@query("p1_resolved_inputs", f"""with {values_cte('answers', 'spelling, entity_code', [
-    ('peru ', 'PER'), ('U.S.A.', 'USA'), ('KEN', 'KEN'), ('Great  Britain', 'GBR'), ('nobody', None)])}
-select spelling, entity_code from answers where exists (select 1 from nation)""")
+@query("p1_resolved_inputs", f"""with {CUSTOMER_ENTITIES},
+needles as (
+  select distinct spelling, lower(trim(spelling)) as needle
+  from (select case c_custkey % 3 when 0 then lower(c_name) when 1 then c_name || ' ' else c_custkey || '0' end as spelling
+        from customer)),
+hits as (
+  select spelling, count(*) as n, min(entity_code) as code
+  from needles join ent on contains(lower(entity_name), needle) group by spelling)
+select spelling, coalesce(e.entity_code, case when n = 1 then code end) as entity_code
+from needles left join ent e on upper(needle) = e.entity_code left join hits using (spelling)""")
 def p1_resolved_inputs(spark, folder):
-    names = ["peru ", "U.S.A.", "KEN", "Great  Britain", "nobody", "KEN"]
-    return select_ops.resolved_inputs(star.nation_panel(spark, folder), names)
+    name, key = F.col("c_name"), F.col("c_custkey")
+    spelling = (F.when(key % 3 == 0, F.lower(name)).when(key % 3 == 1, F.concat(name, F.lit(" ")))
+                .otherwise(F.concat(key.cast("string"), F.lit("0"))))
+    asked = _customers(spark, folder).select(spelling.alias("spelling"))
+    return select_ops.resolved_inputs(star.customer_panel(spark, folder), asked)
 
 
 @query("p3_group_member_list", f"""with {CUSTOMER_ENTITIES}, {CUSTOMER_MEMBERS}

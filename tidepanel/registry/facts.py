@@ -114,6 +114,25 @@ def j7_as_of_values(spark, folder):
     return ops.as_of_values(star.customer_panel(spark, folder, codes), codes, 1999)
 
 
+@query("j7_as_of_requests", f"""{CUSTOMER},
+asked as (
+  select o_orderkey, cast(o_custkey as varchar) as entity_code, year(o_orderdate)::int - o_orderkey % 3 as period,
+    case o_orderkey % 4 when 0 then 'rev' when 1 then 'n_items' when 2 then 'rev_r_rev' else 'rev_x' end as indicator_code
+  from orders)
+select a.o_orderkey, a.entity_code, a.indicator_code, cast(a.period as integer) as period, o.period as found_period,
+  {rnd('o.value')} as value
+from asked a asof left join obs o
+  on a.indicator_code = o.indicator_code and a.entity_code = o.entity_code and a.period >= o.period""")
+def j7_as_of_requests(spark, folder):
+    key = F.col("o_orderkey")
+    code = (F.when(key % 4 == 0, "rev").when(key % 4 == 1, "n_items").when(key % 4 == 2, "rev_r_rev")
+            .otherwise("rev_x"))
+    asked = star.table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_custkey").cast("string").alias("entity_code"),
+        (F.year("o_orderdate") - key % 3).cast("int").alias("period"), code.alias("indicator_code"))
+    return rounded(ops.as_of_requests(star.customer_panel(spark, folder), asked), "value")
+
+
 @query("w2_entity_profile", f"""{CUSTOMER},
 wanted(indicator_code, position) as (values ('rev', 0), ('rev_x', 1), ('rev_r_rev', 2), ('n_items', 3)),
 past as (select * from obs where period <= 1997 qualify {LATEST})
@@ -268,6 +287,10 @@ queries as (
   union select distinct 'BRAND#' || p_size from part)
 select query, indicator_code from queries, book where contains({SEARCHED}, lower(query))""")
 def f5_search_indicators_batch(spark, folder):
+    return searched_parts(spark, folder, star.parts_panel(spark, folder))
+
+
+def searched_parts(spark, folder, panel):
     part = star.table(spark, folder, "part")
     key = F.substring(F.col("p_partkey").cast("string"), 1, 2)
     size = F.col("p_size").cast("string")
@@ -276,7 +299,7 @@ def f5_search_indicators_batch(spark, folder):
         .union(part.select(F.concat(F.lit("BRAND#"), size)))
         .distinct()
     )
-    return ops.search_indicators_batch(star.parts_panel(spark, folder), queries, "query")
+    return ops.search_indicators_batch(panel, queries, "query")
 
 
 @query("f6_select_notes", f"""with {NOTES}

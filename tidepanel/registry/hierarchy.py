@@ -96,8 +96,8 @@ def a8_additive_breakdown(spark, folder):
     return rounded(rows, "share", "relative_difference", digits=9)
 
 
-@query("a8_breakdown_totals_many_children", f"""{PARTS}, {PART_EDGES},
-known as (select * from obs join ent using (entity_code)),
+@query("a8_breakdown_totals_many_children", f"""{PARTS}, {PART_EDGES.replace(' as (', ' as materialized (', 1)},
+known as materialized (select * from obs join ent using (entity_code)),
 children as (
   select parent_code, entity_code, period, sum(value) as child_sum, count(*) as child_count
   from known join part_edges on indicator_code = child_code group by all),
