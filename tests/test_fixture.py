@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
+
 import pytest
 from fixture_panel import cached, make_panel
 from pyspark.sql import functions as F
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 from tidepanel import Selection
 from tidepanel.dims import tables
 from tidepanel.operators import hierarchy, resolve, select, summarize, tagging
-from tidepanel.sources import catalog, export, snapshot
+from tidepanel.sources import catalog, export, snapshot, storage
 
 
 @pytest.fixture(scope="module")
@@ -363,6 +367,63 @@ def test_snapshot(spark, panel, tmp_path):
     assert second != first and snapshot.is_current(spark, path, "b")
 
 
+def builds(path):
+    return sorted(name for name in os.listdir(path) if name.startswith("v="))
+
+
+def test_a_file_is_put_once(spark, tmp_path):
+    path = f"{tmp_path}/m/0001.json"
+    with ThreadPoolExecutor(8) as pool:
+        done = list(pool.map(lambda i: storage.put_if_absent(spark, path, f"text {i}\n"), range(8)))
+    assert done.count(True) == 1 and os.listdir(tmp_path / "m") == ["0001.json"]
+    assert Path(path).read_text() == f"text {done.index(True)}\n"
+
+
+@pytest.mark.parametrize("signatures", [("a", "a"), ("a", "b")])
+def test_builders_at_once_leave_one_current_build(spark, panel, tmp_path, signatures):
+    path = str(tmp_path / "snap")
+    with ThreadPoolExecutor(2) as pool:
+        versions = list(pool.map(lambda s: snapshot.build_snapshot(panel, path, s), signatures))
+    current = snapshot.current_build(spark, path)
+    numbers = [r["number"] for r in snapshot.manifest(spark, path).collect()]
+    assert sorted(numbers) == list(range(1, len(set(signatures)) + 1))
+    assert current["version"] in versions and len(set(versions)) == len(set(signatures))
+    assert len(builds(path)) == len(set(signatures))
+    assert snapshot.read_snapshot(spark, path).observations.count() == panel.observations.count()
+
+
+def test_old_and_failed_builds_go(spark, panel, tmp_path):
+    path = str(tmp_path / "snap")
+    first = snapshot.build_snapshot(panel, path, "a")
+    second = snapshot.build_snapshot(panel, path, "b")
+    assert builds(path) == sorted([f"v={first}", f"v={second}"])
+    os.makedirs(f"{path}/v=unfinished")
+    assert snapshot.remove_old_builds(spark, path, 3600) == []
+    # Whatever its age, the current build stays.
+    assert sorted(snapshot.remove_old_builds(spark, path, -1)) == sorted([first, "unfinished"])
+    assert builds(path) == [f"v={second}"]
+    broken = panel.replace(observations=panel.observations.union(panel.observations))
+    with pytest.raises(ValueError):
+        snapshot.build_snapshot(broken, path, "c")
+    assert builds(path) == [f"v={second}"]
+    third = snapshot.build_snapshot(panel, path, "c", retention=-1)
+    assert builds(path) == [f"v={third}"] and snapshot.remove_old_builds(spark, str(tmp_path / "none")) == []
+
+
+def test_exports_appear_whole(spark, panel, tmp_path):
+    assert export.export_csv(panel.observations, f"{tmp_path}/facts", None) == panel.observations.count()
+    with pytest.raises(FileExistsError):
+        export.export_csv(panel.observations, f"{tmp_path}/facts", None)
+    broken = panel.replace(observations=panel.observations.withColumn(
+        "value", F.when(F.col("value") > 0, F.raise_error(F.lit("broken"))).otherwise(F.col("value"))))
+    with pytest.raises(Exception, match="broken"):
+        export.export_package(broken, ["che_gdp"], f"{tmp_path}/package")
+    assert os.listdir(tmp_path) == ["facts"]
+    export.export_package(panel, ["che_gdp"], f"{tmp_path}/package")
+    assert sorted(os.listdir(tmp_path)) == ["facts", "package"]
+    assert sorted(os.listdir(tmp_path / "package")) == ["availability", "codebook", "data", "readme"]
+
+
 def test_snapshot_prunes_and_pushes_down(spark, panel, tmp_path):
     path = str(tmp_path / "snap")
     snapshot.build_snapshot(panel, path, "a")

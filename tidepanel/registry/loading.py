@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidepanel.model import EXTRACT_COLUMNS, INDICATOR_COLUMNS, Selection
 from tidepanel.operators.select import research_panel
-from tidepanel.registry.base import CUSTOMER, PARTS_BOOK, STAR, NOTES, query, rnd, rounded
+from tidepanel.registry import entities, facts
+from tidepanel.registry.base import CUSTOMER, NOTES, ORACLES, PARTS_BOOK, STAR, query, rnd, rounded
 from tidepanel.sources import catalog as catalogs
 from tidepanel.sources import export, load, snapshot
 from tidepanel.sources import star_panels as star
@@ -115,6 +116,38 @@ def s7_snapshot_status(spark, folder):
     return status.where("item in ('observations', 'entities', 'indicators', 'notes', 'is_current')")
 
 
+# ---- searches by the stored grams of a build -------------------------------------------------------------
+
+
+def _stored(panel, spark, name):
+    path = scratch_dir(spark, name)
+    snapshot.build_snapshot(panel, path, name)
+    return snapshot.read_snapshot(spark, path)
+
+
+@query("n4_find_entities_stored", ORACLES["n4_find_entities"])
+def n4_find_entities_stored(spark, folder):
+    path, _ = _built_snapshot(spark, folder)
+    return entities.found_customers(spark, folder, snapshot.read_snapshot(spark, path))
+
+
+@query("j5_match_names_stored", ORACLES["j5_match_names"])
+def j5_match_names_stored(spark, folder):
+    path, _ = _built_snapshot(spark, folder)
+    return entities.matched_customers(spark, folder, snapshot.read_snapshot(spark, path))
+
+
+@query("n5_resolve_customers_stored", ORACLES["n5_resolve_customers"])
+def n5_resolve_customers_stored(spark, folder):
+    path, _ = _built_snapshot(spark, folder)
+    return entities.resolved_customers(spark, folder, snapshot.read_snapshot(spark, path))
+
+
+@query("f5_search_indicators_stored", ORACLES["f5_search_indicators_batch"])
+def f5_search_indicators_stored(spark, folder):
+    return facts.searched_parts(spark, folder, _stored(star.parts_panel(spark, folder), spark, "parts"))
+
+
 # ---- catalogs -------------------------------------------------------------------------------------------
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.dims import tables
 from tidepanel.model import ALL, EXTRACT_COLUMNS, Panel, Selection
 from tidepanel.operators.select import lookup_codes, research_panel
 from tidepanel.operators.summarize import data_availability, limit_warnings
+from tidepanel.sources.storage import delete, exists, publish
 
 NOTES = (
     "latest values may come from different periods",
@@ -19,14 +22,36 @@ NOTES = (
 )
 
 
-def export_csv(df: DataFrame, path: str, fields: Sequence[str] | None = EXTRACT_COLUMNS) -> None:
-    """Write a directory of CSV files with a header; null becomes an empty cell.
+def _write_csv(df: DataFrame, path: str, fields: Sequence[str] | None) -> int:
+    """Write the files and return how many rows they hold, counted as they are written."""
+    chosen = df.select(*fields) if fields else df
+    written = Observation()
+    chosen.observe(written, F.count(F.lit(1)).alias("rows")).write.option("header", True).csv(path)
+    return written.get["rows"]
+
+
+@contextmanager
+def staged(spark: SparkSession, path: str) -> Iterator[str]:
+    """A folder to write to that becomes ``path`` when all is written, and goes if anything fails."""
+    if exists(spark, path):
+        raise FileExistsError(f"{path} exists already.")
+    folder = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    try:
+        yield folder
+        publish(spark, folder, path)
+    except BaseException:
+        delete(spark, folder)
+        raise
+
+
+def export_csv(df: DataFrame, path: str, fields: Sequence[str] | None = EXTRACT_COLUMNS) -> int:
+    """Write a directory of CSV files with a header and return the number of rows; null becomes an empty cell.
 
     ``fields`` selects and orders the columns (the ten of a data extract by default); ``None`` writes
-    all of them.
+    all of them. The directory appears when it is complete; there must be none before.
     """
-    chosen = df.select(*fields) if fields else df
-    chosen.write.option("header", True).csv(path)
+    with staged(df.sparkSession, path) as folder:
+        return _write_csv(df, folder, fields)
 
 
 def package_summary(
@@ -59,17 +84,17 @@ def export_package(
 ) -> None:
     """Write ``data``, ``codebook`` and ``availability`` as CSV directories and ``readme`` as text.
 
-    The row count of the summary is taken from the written data, so the extract is computed once.
+    The row count of the summary is taken while the data is written. The package appears when all of it is there.
     """
     spark = panel.spark
     codes = list(dict.fromkeys(codes))
-    export_csv(research_panel(panel, codes, sel, top), f"{path}/data")
-    export_csv(lookup_codes(panel, codes).drop("position", "found"), f"{path}/codebook", None)
-    export_csv(data_availability(panel, codes, sel), f"{path}/availability", None)
-    rows = spark.read.option("header", True).csv(f"{path}/data").count()
-    lines = package_summary(codes, sel, rows, top)
-    text = tables.literal_table(spark, {"value": tables.TEXT}, [(line,) for line in lines])
-    text.coalesce(1).write.text(f"{path}/readme")
+    with staged(spark, path) as folder:
+        rows = _write_csv(research_panel(panel, codes, sel, top), f"{folder}/data", EXTRACT_COLUMNS)
+        _write_csv(lookup_codes(panel, codes).drop("position", "found"), f"{folder}/codebook", None)
+        _write_csv(data_availability(panel, codes, sel), f"{folder}/availability", None)
+        lines = package_summary(codes, sel, rows, top)
+        text = tables.literal_table(spark, {"value": tables.TEXT}, [(line,) for line in lines])
+        text.coalesce(1).write.text(f"{folder}/readme")
 
 
 def package_warnings(

@@ -1,8 +1,9 @@
 """Versioned Parquet snapshots of a panel.
 
-Layout: ``<path>/v=<hash>/<table>`` holds the data of one build, ``<path>/manifest`` one row per
-finished build. A build writes its tables first and appends its manifest row last, so readers never see
-a half-written build and a failed one leaves the previous build current. Observations are
+Layout: ``<path>/v=<hash>/<table>`` holds the data of one build, ``<path>/manifest/<number>.json`` one row per
+finished build. A build writes its tables first and then claims the next number, which only one of several builders
+can, so readers never see a half-written build, a failed one leaves the previous build current, and the highest number
+is the one current build. Builds that are no longer current, and what failed ones left, go after a retention time. Observations are
 range-partitioned by their key before the write, so that a hot indicator spreads over many files and a
 filter on indicator, entity or period skips the rest by file statistics.
 """
@@ -10,20 +11,28 @@ filter on indicator, entity or period skips the rest by file statistics.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
+from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.dims import tables
-from tidepanel.model import OBSERVATION_KEY, Panel
+from tidepanel.model import OBSERVATION_KEY, SEARCHED, Panel
+from tidepanel.plans import gram_counts, posting_lists
 from tidepanel.sources.load import require_keys
+from tidepanel.sources.storage import delete, listed, put_if_absent
 
 SCHEMA_VERSION = 1
-MANIFEST_SCHEMA = "signature string, schema_version int, version string, built_at timestamp"
+MANIFEST_SCHEMA = "signature string, schema_version int, version string, built_at timestamp, number bigint"
+#: Seconds for which readers of an earlier build, and builders at work, are left alone.
+RETENTION = 7 * 24 * 3600
 FACTS = "observations"
 TABLES = (FACTS, "entities", "indicators", "notes", "memberships", "relations", "version_lines")
+GRAM_LISTS, GRAM_COUNTS = "gram_lists", "gram_counts"
 COUNTED = (FACTS, "entities", "indicators", "notes")
 
 
@@ -55,7 +64,7 @@ def current_build(spark: SparkSession, path: str):
     builds = manifest(spark, path)
     if builds is None:
         return None
-    return builds.orderBy(F.desc("built_at"), F.desc("version")).head()
+    return builds.orderBy(F.desc_nulls_last("number"), F.desc("built_at"), F.desc("version")).head()
 
 
 def is_current(spark: SparkSession, path: str, signature: str) -> bool:
@@ -72,11 +81,41 @@ def _write_facts(facts: DataFrame, target: str) -> None:
     ordered.write.mode("errorifexists").parquet(f"{target}/{FACTS}")
 
 
-def build_snapshot(panel: Panel, path: str, signature: str, check: bool = True) -> str:
+def _write_grams(panel: Panel, target: str) -> None:
+    """The grams of all searched texts, sorted by gram, and how many texts have each."""
+    lists = reduce(DataFrame.unionByName, [
+        posting_lists(panel.searched_texts(source), "text", ["code"]).withColumn("source", F.lit(source))
+        for source in SEARCHED])
+    ordered = lists.repartitionByRange("source", "__gram", "code").sortWithinPartitions("source", "__gram", "code")
+    ordered.write.mode("errorifexists").parquet(f"{target}/{GRAM_LISTS}")
+    written = panel.spark.read.schema(lists.schema).parquet(f"{target}/{GRAM_LISTS}")
+    gram_counts(written, ["source"]).write.mode("errorifexists").parquet(f"{target}/{GRAM_COUNTS}")
+
+
+def _commit(spark: SparkSession, path: str, version: str, signature: str) -> str:
+    """Make a written build current and return the version that is: another one, if that has the same signature."""
+    while True:
+        build = current_build(spark, path)
+        if build and build["signature"] == signature and build["schema_version"] == SCHEMA_VERSION:
+            return build["version"]
+        number = (build["number"] or 0) + 1 if build else 1
+        entry = {
+            "signature": signature, "schema_version": SCHEMA_VERSION, "version": version, "number": number,
+            "built_at": datetime.now(timezone.utc).isoformat(),
+        }
+        if put_if_absent(spark, f"{path}/manifest/{number:012d}.json", json.dumps(entry) + "\n"):
+            return version
+        # Somebody else took the number: look again who is current.
+
+
+def build_snapshot(
+    panel: Panel, path: str, signature: str, check: bool = True, retention: float = RETENTION
+) -> str:
     """Write the panel as a new build unless the current one has the same signature.
 
-    Returns the version that is current afterwards. A build whose keys turn out to be violated gets no
-    manifest row, so it never becomes current.
+    Returns the version that is current afterwards. A build whose keys turn out to be violated never becomes current
+    and is removed. Of two builders with one signature the first to finish is kept; with different ones the last to
+    finish is current. Builds not current for ``retention`` seconds are removed.
     """
     spark = panel.spark
     build = current_build(spark, path)
@@ -84,22 +123,47 @@ def build_snapshot(panel: Panel, path: str, signature: str, check: bool = True)
         return build["version"]
     version = hashlib.sha256(f"{signature}|{uuid.uuid4().hex}".encode()).hexdigest()[:16]
     target = f"{path}/v={version}"
-    for name in TABLES[1:]:
-        table = getattr(panel, name)
-        if table is not None:
-            table.write.mode("errorifexists").parquet(f"{target}/{name}")
-    _write_facts(panel.observations, target)
-    if check:
-        # On the written columns: the sources are not computed a second time.
-        require_keys(_read_build(spark, target))
-    entry = spark.range(1).select(
-        F.lit(signature).alias("signature"),
-        F.lit(SCHEMA_VERSION).alias("schema_version"),
-        F.lit(version).alias("version"),
-        F.current_timestamp().alias("built_at"),
-    )
-    entry.coalesce(1).write.mode("append").json(f"{path}/manifest")
-    return version
+    try:
+        for name in TABLES[1:]:
+            table = getattr(panel, name)
+            if table is not None:
+                table.write.mode("errorifexists").parquet(f"{target}/{name}")
+        _write_grams(panel, target)
+        _write_facts(panel.observations, target)
+        if check:
+            # On the written columns: the sources are not computed a second time.
+            require_keys(_read_build(spark, target))
+        current = _commit(spark, path, version, signature)
+    except BaseException:
+        delete(spark, target)
+        raise
+    if current != version:
+        delete(spark, target)
+    remove_old_builds(spark, path, retention)
+    return current
+
+
+def remove_old_builds(spark: SparkSession, path: str, retention: float = RETENTION) -> list[str]:
+    """Remove builds that another one replaced over ``retention`` seconds ago, and unfinished ones as old; their names.
+
+    A build is as old as the one that replaced it, so readers of the former current build have the whole time. The
+    current build stays whatever its age.
+    """
+    builds = manifest(spark, path)
+    if builds is None:
+        return []
+    now = datetime.now(timezone.utc).timestamp()
+    finished = builds.select("version", "number", F.unix_micros("built_at").alias("at")).orderBy(
+        F.asc_nulls_first("number"), "at", "version").collect()
+    replaced = {build["version"]: after["at"] / 1e6 for build, after in zip(finished, finished[1:])}
+    current = finished[-1]["version"]
+    removed = []
+    for name, changed in listed(spark, path):
+        version = name.removeprefix("v=")
+        if name.startswith("v=") and version != current and now - replaced.get(version, changed) > retention:
+            delete(spark, f"{path}/{name}")
+            removed.append(version)
+    return removed
 
 
 def _optional(spark: SparkSession, location: str) -> DataFrame | None:
@@ -116,7 +180,7 @@ def _read_build(spark: SparkSession, location: str) -> Panel:
         observations=facts.select("entity_code", "period", "indicator_code", "value"),
         entities=lambda: spark.read.parquet(f"{location}/entities"),
         indicators=lambda: spark.read.parquet(f"{location}/indicators"),
-        **{name: _optional(spark, f"{location}/{name}") for name in TABLES[3:]},
+        **{name: _optional(spark, f"{location}/{name}") for name in (*TABLES[3:], GRAM_LISTS, GRAM_COUNTS)},
     )
 
 
