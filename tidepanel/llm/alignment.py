@@ -38,6 +38,8 @@ LONG_TEXT, LONG_BLANKS = 100_000, re.compile(r"\s{5000}")
 MOST_CELLS = 4096
 #: Positions of windows that are expanded to pairs at a time.
 EXPAND = 1 << 18
+#: Partitions over which blocks are dealt when their results come back, at most: else one a block.
+MOST_PARTS = 20_000
 #: Stands between the two sides of a window's key; no id.
 SEPARATOR = (1 << 32) - 1
 PAIR, WINDOWS, DOCUMENT = 0, 1, 2
@@ -394,6 +396,7 @@ def aligned(docs: DataFrame, left: str = BYTE_BPE, right: str = MODEL, doc_id: s
     lefts, rights = (spark.sparkContext.broadcast(read_model(path)) for path in (left, right))
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     blocks = _blocks(chosen, lefts, rights, block_chars)
+    parts = min(max(blocks.where(F.col("kind") == WINDOWS).count(), 1), MOST_PARTS)
     pairs = blocks.where(F.col("kind") == PAIR).select("block", "kind", "code", "a", "b", "held")
     counts = saved(pairs.groupBy("a", "b").agg(F.sum("held").alias("held")), "align-pairs")
     # An id has at most as many partners as the other vocabulary has ids.
@@ -402,7 +405,7 @@ def aligned(docs: DataFrame, left: str = BYTE_BPE, right: str = MODEL, doc_id: s
     found = pairs.drop("held").join(ranked, ["a", "b"]).select("block", "kind", "code", "held", "best")
     others = blocks.where(F.col("kind") != PAIR).select("block", "kind", "code", "parts", "doc_id")
     ordered = (found.unionByName(others, allowMissingColumns=True)
-               .repartition("block").sortWithinPartitions("block", "kind", "code"))
+               .repartition(parts, "block").sortWithinPartitions("block", "kind", "code"))
     schema = T.StructType([
         T.StructField("doc_id", chosen.schema["doc_id"].dataType),
         *[T.StructField(n, T.LongType()) for n in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")],
