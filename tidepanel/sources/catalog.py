@@ -43,19 +43,18 @@ def _nodes(trees: DataFrame, tree: str, keep: Sequence[str]) -> DataFrame:
         F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0).alias("step"),
         F.when(t == "{", ~F.coalesce(F.get("tokens", i - 1).rlike(VALUE), F.lit(False)))
         .when(t == "[", F.coalesce(F.get("tokens", i - 1).rlike(CHILDREN), F.lit(False))).alias("own")))
-    tokens = rows.select("tree", "kept", F.posexplode(known).alias("at", "t")).select(
+    rest = F.aggregate("known", F.lit(0), lambda total, t: total + t["step"])
+    tokens = rows.withColumn("known", known).where(rest == 0).select(
+        "tree", "kept", F.posexplode("known").alias("at", "t")).select(
         "tree", F.when(F.col("at") == 0, F.col("kept")).alias("kept"), "at", "t.*")
 
     upto = Window.partitionBy("tree").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     depth = F.sum("step").over(upto)
-    levels = tokens.withColumns({
-        # An opening and its closing bracket and all between them that no deeper bracket encloses have one level.
-        "level": F.when(F.col("step") < 0, depth + 1).otherwise(depth),
-        "rest": F.sum("step").over(Window.partitionBy("tree")),
-    })
+    # An opening and its closing bracket and all between them that no deeper bracket encloses have one level.
+    levels = tokens.withColumn("level", F.when(F.col("step") < 0, depth + 1).otherwise(depth))
     inside = Window.partitionBy("tree", "level").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     opener = F.last(F.when(F.col("step") > 0, F.struct("at", "token", "own")), ignorenulls=True).over(inside)
-    matched = levels.where((F.col("rest") == 0) & (F.col("level") > 0)).withColumn("opener", opener)
+    matched = levels.where(F.col("level") > 0).withColumn("opener", opener)
     foreign = F.sum(F.when(F.col("opener.own"), 0).otherwise(F.col("step"))).over(upto)
     clean = matched.withColumn("foreign", foreign).where(
         (F.col("foreign") == 0) & F.col("opener.own") & (F.col("opener.token") == "{") & (F.col("step") >= 0))
