@@ -410,6 +410,49 @@ def test_old_and_failed_builds_go(spark, panel, tmp_path):
     assert builds(path) == [f"v={third}"] and snapshot.remove_old_builds(spark, str(tmp_path / "none")) == []
 
 
+def test_a_refresh_writes_only_changed_ranges(spark, panel, tmp_path, monkeypatch):
+    def folders():
+        return sorted(f"{v}/{r}" for v in os.listdir(f"{path}/observations")
+                      for r in os.listdir(f"{path}/observations/{v}") if r.startswith("range="))
+
+    def built(rows, name):
+        frame = spark.createDataFrame(rows, "entity_code string, period int, indicator_code string, value double")
+        before = set(folders()) if os.path.isdir(f"{path}/observations") else set()
+        version = snapshot.build_snapshot(panel.replace(observations=frame.repartition(7)), path, name)
+        assert sorted(map(tuple, snapshot.read_snapshot(spark, path).observations.collect())) == sorted(rows)
+        return version, set(folders()) - before
+
+    monkeypatch.setattr(snapshot, "MOST_RANGES", 3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    path = str(tmp_path / "snap")
+    rows = [(f"e{e:02}", p, f"i{i}", float(p)) for e in range(40) for i in range(5) for p in range(3)]
+    try:
+        first, made = built(rows, "a")
+        assert len(made) == 8
+        # One entity's value of one indicator: one range. Then a new entity behind all others, and nothing at all.
+        _, made = built([r if r[:3] != ("e07", 1, "i2") else (*r[:3], -1.0) for r in rows], "b")
+        assert len(made) == 1
+        _, made = built([*rows, ("zz", 1, "i9", 9.0)], "c")
+        assert len(made) == 2
+        version, made = built([*rows, ("zz", 1, "i9", 9.0)], "d")
+        assert made == set()
+        # A range whose rows are gone has no folder; another one that changes later is found by the same ends.
+        few = [r for r in rows if r[2] == "i0"]
+        _, made = built(few, "e")
+        _, made = built(rows, "f")
+        with pytest.raises(ValueError, match="violates its keys"):
+            built([*rows, rows[0]], "g")
+        built([], "h")
+        last, _ = built(rows, "i")
+        snapshot.remove_old_builds(spark, path, -3600)
+        assert builds(path) == [f"v={last}"]
+        assert sorted(map(tuple, snapshot.read_snapshot(spark, path).observations.collect())) == sorted(rows)
+        assert {f.partition("/")[0] for f in folders()} <= {last, first} | set(os.listdir(f"{path}/observations"))
+        assert len(folders()) <= 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_exports_appear_whole(spark, panel, tmp_path):
     assert export.export_csv(panel.observations, f"{tmp_path}/facts", None) == panel.observations.count()
     with pytest.raises(FileExistsError):

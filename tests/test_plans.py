@@ -250,7 +250,7 @@ def test_every_code_point_folds(spark):
 
 # Files and texts are read back from a scratch folder, so these queries write while being built.
 WRITING = {"n4_find_entities_stored", "j5_match_names_stored", "n5_resolve_customers_stored",
-           "f5_search_indicators_stored", "s6_build_snapshot", "s7_version_lines", "s7_snapshot_status", "s11_export_csv", "s12_export_package"}
+           "f5_search_indicators_stored", "s6_build_snapshot", "s6_refresh_changed_ranges", "s7_version_lines", "s7_snapshot_status", "s11_export_csv", "s12_export_package"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITING))

@@ -96,6 +96,19 @@ def s6_build_snapshot(spark, folder):
     return snapshot.read_snapshot(spark, path).observations
 
 
+@query("s6_refresh_changed_ranges", f"""{CUSTOMER}
+select entity_code, period, indicator_code, value + case when entity_code = '7' then 1 else 0 end as value
+from obs where entity_code <> '11'""")
+def s6_refresh_changed_ranges(spark, folder):
+    """A build after which one customer's values change and another's rows go; read back after the second build."""
+    path, _ = _built_snapshot(spark, folder)
+    changed = F.col("value") + F.when(F.col("entity_code") == "7", 1).otherwise(0)
+    panel = star.customer_panel(spark, folder)
+    rows = panel.observations.where("entity_code <> '11'").withColumn("value", changed)
+    snapshot.build_snapshot(panel.replace(observations=rows), path, "changed")
+    return snapshot.read_snapshot(spark, path).observations
+
+
 @query("s7_version_lines", """select cast(r_regionkey + 1 as integer) as line_no, 'Covers ' || r_name as text
 from region""")
 def s7_version_lines(spark, folder):

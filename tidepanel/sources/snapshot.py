@@ -3,7 +3,9 @@
 Layout: ``<path>/v=<hash>/<table>`` holds the data of one build, ``<path>/manifest/<number>.json`` one row per
 finished build. A build writes its tables first and then claims the next number, which only one of several builders
 can, so readers never see a half-written build, a failed one leaves the previous build current, and the highest number
-is the one current build. Builds that are no longer current, and what failed ones left, go after a retention time. Observations are
+is the one current build. Builds that are no longer current, and what failed ones left, go after a retention time.
+Facts stand in ranges of their series (``<path>/observations/<version>/range=<n>``), and ``ranges`` of a build lists its
+folders and a hash of each range: a later build writes only the ranges whose rows changed and shares the others. Observations are
 range-partitioned by their key before the write, so that a hot indicator spreads over many files and a
 filter on indicator, entity or period skips the rest by file statistics.
 """
@@ -13,25 +15,33 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Sequence
 from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.dims import tables
 from tidepanel.model import OBSERVATION_KEY, SEARCHED, Panel
 from tidepanel.plans import gram_counts, posting_lists
 from tidepanel.sources.load import require_keys
-from tidepanel.sources.storage import delete, listed, put_if_absent
+from tidepanel.sources.storage import delete, exists, listed, put_if_absent
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 MANIFEST_SCHEMA = "signature string, schema_version int, version string, built_at timestamp, number bigint"
 #: Seconds for which readers of an earlier build, and builders at work, are left alone.
 RETENTION = 7 * 24 * 3600
 FACTS = "observations"
 TABLES = (FACTS, "entities", "indicators", "notes", "memberships", "relations", "version_lines")
+SERIES = OBSERVATION_KEY[:2]
+FACT_SCHEMA = "entity_code string, period int, value double, indicator_code string"
+#: Ranges that facts are compared by, at most; a range may cover several folders of the first build.
+MOST_RANGES = 256
+RANGE_SCHEMA = ("range int, indicator_code string, entity_code string, folder string, rows bigint, hash_1 bigint, "
+                "hash_2 bigint")
+NOTHING = (0, None, None)
 GRAM_LISTS, GRAM_COUNTS = "gram_lists", "gram_counts"
 COUNTED = (FACTS, "entities", "indicators", "notes")
 
@@ -76,9 +86,87 @@ def is_current(spark: SparkSession, path: str, signature: str) -> bool:
     )
 
 
-def _write_facts(facts: DataFrame, target: str) -> None:
-    ordered = facts.repartitionByRange(*OBSERVATION_KEY).sortWithinPartitions(*OBSERVATION_KEY)
-    ordered.write.mode("errorifexists").parquet(f"{target}/{FACTS}")
+# ---- ranges of facts ----------------------------------------------------------------------------------------
+
+
+def _range_of(lowers: Sequence[tuple[str, str]]) -> Column:
+    """The number of the range of a row's series, by halving the list of lower ends."""
+    indicator, entity = F.col(SERIES[0]), F.col(SERIES[1])
+
+    def pick(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high + 1) // 2
+        first, second = lowers[middle]
+        below = (indicator < first) | ((indicator == first) & (entity < second))
+        return F.when(below, pick(low, middle - 1)).otherwise(pick(middle, high))
+
+    return pick(0, max(len(lowers) - 1, 0))
+
+
+def _hashes(ranged: DataFrame) -> dict[int, tuple]:
+    """Rows and two hashes of each range, whatever the order of its rows; at most ``MOST_RANGES`` rows come back."""
+    columns = (*OBSERVATION_KEY, "value")
+    rows = ranged.groupBy("range").agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.bit_xor(F.xxhash64(F.lit(seed), *columns)).alias(f"hash_{seed}") for seed in (1, 2)]).collect()
+    return {row["range"]: (row["rows"], row["hash_1"], row["hash_2"]) for row in rows}
+
+
+def _write_ranges(ranged: DataFrame, folder: str) -> DataFrame:
+    """Write facts with their ``range``, each range sorted by the key, and read them again."""
+    ordered = ranged.sortWithinPartitions("range", *OBSERVATION_KEY)
+    ordered.write.mode("errorifexists").partitionBy("range").parquet(folder)
+    return ranged.sparkSession.read.schema(f"{FACT_SCHEMA}, range int").parquet(folder)
+
+
+def _first_ranges(facts: DataFrame, path: str, version: str) -> list[tuple]:
+    """Write all facts, and make ranges of the partitions in which their series were sorted."""
+    parts = facts.repartitionByRange(*SERIES).withColumn("range", F.spark_partition_id())
+    written = _write_ranges(parts, f"{path}/{FACTS}/{version}")
+    firsts = written.groupBy("range").agg(F.min(F.struct(*SERIES)).alias("low")).orderBy("range").collect()
+    number = {row["range"]: i * min(MOST_RANGES, len(firsts)) // len(firsts) for i, row in enumerate(firsts)}
+    lowers = {}
+    for row in firsts:
+        lowers.setdefault(number[row["range"]], tuple(row["low"]))
+    hashes = _hashes(written.withColumn("range", _range_of([lowers[i] for i in sorted(lowers)])))
+    return [(number[row["range"]], *lowers[number[row["range"]]], f"{version}/range={row['range']}",
+             *hashes[number[row["range"]]]) for row in firsts]
+
+
+def _changed_ranges(facts: DataFrame, path: str, version: str, before: list[tuple]) -> list[tuple]:
+    """Write the ranges whose rows differ from those of an earlier build, and take the others from there."""
+    lowers = {row[0]: row[1:3] for row in before}
+    known = {row[0]: row[4:] for row in before}
+    ranged = facts.withColumn("range", _range_of([lowers[i] for i in sorted(lowers)]))
+    hashes = _hashes(ranged)
+    changed = sorted(i for i in lowers if hashes.get(i, NOTHING) != known[i])
+    if changed:
+        rows = ranged.where(F.col("range").isin(changed)).repartitionByRange("range", *SERIES)
+        _write_ranges(rows, f"{path}/{FACTS}/{version}")
+    # A range without rows keeps its place, without a folder.
+    return [row for row in before if row[0] not in changed] + [
+        (i, *lowers[i], f"{version}/range={i}" if i in hashes else None, *hashes.get(i, NOTHING)) for i in changed]
+
+
+def _ranges(spark: SparkSession, location: str) -> list[tuple]:
+    """The ranges of a build: number, lower end, folder, rows and hashes; at most one row per folder."""
+    return [tuple(row) for row in spark.read.schema(RANGE_SCHEMA).parquet(f"{location}/ranges").collect()]
+
+
+def _write_facts(facts: DataFrame, path: str, version: str, before: list[tuple]) -> list[str]:
+    """Write what is new of the facts and the list of ranges; the folders that were written."""
+    rows = _changed_ranges(facts, path, version, before) if before else _first_ranges(facts, path, version)
+    spark = facts.sparkSession
+    spark.createDataFrame(rows, RANGE_SCHEMA).coalesce(1).write.mode("errorifexists").parquet(f"{path}/v={version}/ranges")
+    return [row[3] for row in rows if row[3] and row[3].startswith(version)]
+
+
+def _facts(spark: SparkSession, path: str, folders: Sequence[str]) -> DataFrame:
+    read = spark.read.schema(FACT_SCHEMA)
+    facts = read.parquet(*[f"{path}/{FACTS}/{folder}" for folder in folders]) if folders else \
+        spark.createDataFrame([], FACT_SCHEMA)
+    return facts.select("entity_code", "period", "indicator_code", "value")
 
 
 def _write_grams(panel: Panel, target: str) -> None:
@@ -115,11 +203,13 @@ def build_snapshot(
 
     Returns the version that is current afterwards. A build whose keys turn out to be violated never becomes current
     and is removed. Of two builders with one signature the first to finish is kept; with different ones the last to
-    finish is current. Builds not current for ``retention`` seconds are removed.
+    finish is current. Facts are compared with the current build's by ranges, and only ranges that differ are written.
+    Builds not current for ``retention`` seconds are removed.
     """
     spark = panel.spark
     build = current_build(spark, path)
-    if build and build["signature"] == signature and build["schema_version"] == SCHEMA_VERSION:
+    current = build is not None and build["schema_version"] == SCHEMA_VERSION
+    if current and build["signature"] == signature:
         return build["version"]
     version = hashlib.sha256(f"{signature}|{uuid.uuid4().hex}".encode()).hexdigest()[:16]
     target = f"{path}/v={version}"
@@ -129,20 +219,26 @@ def build_snapshot(
             if table is not None:
                 table.write.mode("errorifexists").parquet(f"{target}/{name}")
         _write_grams(panel, target)
-        _write_facts(panel.observations, target)
+        before = _ranges(spark, f"{path}/v={build['version']}") if current else []
+        written = _write_facts(panel.observations, path, version, before)
         if check:
-            # On the written columns: the sources are not computed a second time.
-            require_keys(_read_build(spark, target))
+            # On the written columns: the sources are not computed a second time. Ranges taken over were checked before.
+            require_keys(_read_build(spark, target).replace(observations=_facts(spark, path, written)))
         current = _commit(spark, path, version, signature)
     except BaseException:
-        delete(spark, target)
+        _drop(spark, path, version)
         raise
     if current != version:
-        delete(spark, target)
+        _drop(spark, path, version)
     remove_old_builds(spark, path, retention)
     return current
 
 
+def _drop(spark: SparkSession, path: str, version: str) -> None:
+    delete(spark, f"{path}/v={version}")
+    delete(spark, f"{path}/{FACTS}/{version}")
+
+
 def remove_old_builds(spark: SparkSession, path: str, retention: float = RETENTION) -> list[str]:
     """Remove builds that another one replaced over ``retention`` seconds ago, and unfinished ones as old; their names.
 
@@ -163,9 +259,27 @@ def remove_old_builds(spark: SparkSession, path: str, retention: float = RETENTI
         if name.startswith("v=") and version != current and now - replaced.get(version, changed) > retention:
             delete(spark, f"{path}/{name}")
             removed.append(version)
+    _remove_unused_ranges(spark, path, now - retention)
     return removed
 
 
+def _remove_unused_ranges(spark: SparkSession, path: str, until: float) -> None:
+    """Remove folders of facts that no build lists and that were last changed before ``until``."""
+    used = {row[3] for name, _ in listed(spark, path)
+            if name.startswith("v=") and exists(spark, f"{path}/{name}/ranges/_SUCCESS")
+            for row in _ranges(spark, f"{path}/{name}") if row[3]}
+    kept = {folder.partition("/")[0] for folder in used}
+    for version, changed in listed(spark, f"{path}/{FACTS}"):
+        if changed >= until:
+            continue
+        if version not in kept:
+            delete(spark, f"{path}/{FACTS}/{version}")
+            continue
+        for name, _ in listed(spark, f"{path}/{FACTS}/{version}"):
+            if name.startswith("range=") and f"{version}/{name}" not in used:
+                delete(spark, f"{path}/{FACTS}/{version}/{name}")
+
+
 def _optional(spark: SparkSession, location: str) -> DataFrame | None:
     try:
         return spark.read.parquet(location)
@@ -174,10 +288,9 @@ def _optional(spark: SparkSession, location: str) -> DataFrame | None:
 
 
 def _read_build(spark: SparkSession, location: str) -> Panel:
-    schema = "entity_code string, period int, value double, indicator_code string"
-    facts = spark.read.schema(schema).parquet(f"{location}/{FACTS}")
+    folders = [row[3] for row in _ranges(spark, location) if row[3]]
     return Panel(
-        observations=facts.select("entity_code", "period", "indicator_code", "value"),
+        observations=_facts(spark, location.rpartition("/")[0], folders),
         entities=lambda: spark.read.parquet(f"{location}/entities"),
         indicators=lambda: spark.read.parquet(f"{location}/indicators"),
         **{name: _optional(spark, f"{location}/{name}") for name in (*TABLES[3:], GRAM_LISTS, GRAM_COUNTS)},
