@@ -1,6 +1,6 @@
 """Alignment of two tokenizers' tokens, window by window.
 
-Both tokenizers encode the whole text. Where a token of each ends at the same byte, the tokens so far are aligned;
+Both tokenizers encode the whole text, parts that recur only once. Where a token of each ends at the same byte, the tokens so far are aligned;
 where besides both next tokens begin with a space, the document is cut into windows. Windows are memoised by their
 tuples of ids: within a block of documents (see ``blocks``) each distinct window is aligned once, and documents keep
 the positions of their windows. How many documents hold a pair of ids linked is counted per block, then summed over
@@ -27,13 +27,15 @@ from tokenizers import Tokenizer
 
 from tidepanel.llm.blocks import block_number, numbering, packed, unpacked
 from tidepanel.llm.common import saved
-from tidepanel.llm.pieces import MARK, MODEL, Pieces, pieces, read_model
+from tidepanel.llm.pieces import CHUNK, MARK, MODEL, Pieces, pieces, read_model
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters of text of a block, and those whose tokens are held at a time; a longer text is one block.
 BLOCK_CHARS, BATCH_CHARS = 4 << 20, 1 << 19
 #: Texts from this length on are searched for runs of blanks that the faster library can't take.
 LONG_TEXT, LONG_BLANKS = 100_000, re.compile(r"\s{5000}")
+#: White space before a blank, and how long a chunk is tokenised together with others.
+MIXED, LONG_CHUNK = re.compile(r"[^\S ] "), 1000
 #: Groups with more cells (pairs of places) than this are linked id by id, with counts.
 MOST_CELLS = 4096
 #: Positions of windows that are expanded to pairs at a time.
@@ -211,11 +213,15 @@ class Table:
 
 
 class Block:
-    """The windows of a run of documents, numbered as they come, and the documents' positions."""
+    """The windows of a run of documents, numbered as they come, and the documents' positions.
+
+    Tokenisation is of the whole text, but the parts that texts share are tokenised and cut into windows once.
+    """
 
     def __init__(self, left: ByteBpe, right: Pieces) -> None:
         self.left, self.right = left, right
         self.spelling = [Spelling(t.bytes) for t in (left, right)]
+        self.cuts = left.ranked is not None and right.cuts
         self.clear()
 
     def clear(self) -> None:
@@ -223,46 +229,87 @@ class Block:
         self.new: list[tuple[np.ndarray, ...]] = []
         self.rows: list[tuple[pa.Scalar, bytes]] = []
         self.chars = 0
-        # The right side's chunks (see ``pieces``): numbers, ids one after the other, how many, and whether they spell.
+        # Chunks: their numbers, whether both sides' tokens spell them, their windows, and how many each has.
         self.chunk = numbering()
-        self.chunk_ids, self.chunk_sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
-        self.spelled = np.empty(0, bool)
+        self.spelled, self.sizes = np.empty(0, bool), np.empty(0, np.int64)
+        self.windows = np.empty(0, np.int64)
 
-    def _right(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        """The chunks of each text, and whether the tokens of all of them spell the text with a space before."""
-        known = len(self.chunk)
-        codes = [np.array(list(map(self.chunk.__getitem__, self.right.chunks(t))), dtype=np.int64) for t in texts]
-        fresh = list(islice(self.chunk, known, None))
-        ids = self.right.encode(fresh)
-        flat, sizes = np.fromiter(chain.from_iterable(ids), np.uint32), np.array(list(map(len, ids)), dtype=np.int64)
-        whole = [(c if self.right.cuts else " " + c).encode() for c in fresh]
-        self.chunk_ids = np.concatenate([self.chunk_ids, flat])
-        self.chunk_sizes = np.concatenate([self.chunk_sizes, sizes])
-        self.spelled = np.concatenate([self.spelled, self.spelling[1].right(flat, sizes, whole)])
-        # Chunks hold blanks for markers, so a text that itself holds a marker isn't spelled.
-        good = [MARK not in t and bool(self.spelled[c].all()) for t, c in zip(texts, codes)]
-        return codes, np.array(good, dtype=bool)
+    def chunks(self, text: str) -> list[str]:
+        """A text with a blank before, in parts that both sides tokenise each on its own just as within the text.
+
+        Such a part begins with blanks behind a character that is none. A text in which other white space stands
+        before a blank is one part, as is any text if either tokenizer isn't known to allow the cuts.
+        """
+        whole = " " + text
+        return CHUNK.findall(whole) if self.cuts and not MIXED.search(whole) else [whole]
+
+    def _left(self, chunks: list[str], data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The left side's tokens of chunks, one after the other, and how many each has."""
+        # Chunks that end in a character are tokenised in one go; where they end is told by their bytes.
+        lengths, joined = np.array(list(map(len, data)), dtype=np.int64), b"".join(data)
+        last = np.frombuffer(joined, dtype=np.uint8)[np.cumsum(lengths) - 1]
+        joint = (last > 32) & (lengths < LONG_CHUNK) & self.cuts
+        for i in np.flatnonzero(joint & (last >= 127)).tolist():
+            joint[i] = not chunks[i][-1].isspace()
+        text = "".join(chunks) if joint.all() else "".join([c for c, ok in zip(chunks, joint.tolist()) if ok])
+        together = self.left.encode(text) if text else np.empty(0, np.uint32)
+        ends = np.cumsum(lengths[joint])
+        upto = np.cumsum(self.spelling[0].sizes[together])
+        stops = np.searchsorted(upto, ends) + 1
+        if len(ends) and not (upto[-1] == ends[-1] and (upto[stops - 1] == ends).all()):
+            joint[:] = False
+            stops = stops[:0]
+        parts, counts, at = [], np.zeros(len(chunks), dtype=np.int64), 0
+        counts[joint] = np.diff(stops, prepend=0)
+        alone = np.flatnonzero(~joint)
+        if not len(alone):
+            return together, counts
+        starts = before(counts)
+        for i in alone.tolist():
+            parts += [together[at:starts[i]], self.left.encode(chunks[i])]
+            at, counts[i] = starts[i], len(parts[-1])
+        return np.concatenate([*parts, together[at:] if joint.any() else together[:0]]), counts
+
+    def _right(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The right side's tokens of chunks; it puts the first blank back but of a chunk that is nothing else."""
+        ids = self.right.library.encode([c[1:] for c in chunks], num_threads=1)
+        if self.cuts:
+            ids = [part if c != " " else self.right.blank for c, part in zip(chunks, ids)]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.array(list(map(len, ids)), dtype=np.int64)
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Tokenise new chunks on both sides and find their windows; one that isn't spelled has none."""
+        data = [c.encode() for c in chunks]
+        sides = [self._left(chunks, data), self._right(chunks)]
+        spelled = np.ones(len(chunks), dtype=bool)
+        for spelling, (tokens, counts) in zip(self.spelling, sides):
+            spelled &= spelling.right(tokens, counts, data)
+        sizes = np.zeros(len(chunks), dtype=np.int64)
+        if spelled.any():
+            left, right = (t[np.repeat(spelled, n)] for t, n in sides)
+            found, cuts = self._windows(left, right, np.cumsum(sides[0][1][spelled]))
+            sizes[spelled] = np.diff(cuts, prepend=0, append=len(found))
+            self.windows = np.concatenate([self.windows, found])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.spelled = np.concatenate([self.spelled, spelled])
 
     def add(self, ids: list, texts: list[str]) -> None:
-        """Documents with their texts; a text whose tokens don't spell it has no windows."""
+        """Documents with their texts; a text that either side's tokens don't spell has no windows.
+
+        The right side writes blanks as markers and reads markers as blanks, so a text that holds one isn't spelled.
+        """
         self.chars += sum(map(len, texts))
-        chunks, spelled = self._right(texts)
-        good = [i for i, text in enumerate(texts) if text and spelled[i]]
-        lefts = [self.left.encode(" " + texts[i]) for i in good]
-        left, sizes = _joined(lefts), np.array(list(map(len, lefts)), dtype=np.int64)
-        kept = self.spelling[0].right(left, sizes, [b" " + texts[i].encode() for i in good])
-        if not kept.all():
-            left, sizes = left[np.repeat(kept, sizes)], sizes[kept]
-            good = [i for i, ok in zip(good, kept) if ok]
-        codes: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
-        if good:
-            flat = np.concatenate([chunks[i] for i in good])
-            size = self.chunk_sizes[flat]
-            right = self.chunk_ids[spread(before(self.chunk_sizes)[flat], size)]
-            found, cuts = self._windows(left, right, np.cumsum(sizes))
-            for i, part in zip(good, np.split(found, cuts)):
-                codes[i] = part
-        self.rows += [(i, packed(c)) for i, c in zip(ids, codes)]
+        known = len(self.chunk)
+        parts = [np.array(list(map(self.chunk.__getitem__, self.chunks(t))) if t and MARK not in t else [], np.int64)
+                 for t in texts]
+        fresh = list(islice(self.chunk, known, None))
+        if fresh:
+            self._learn(fresh)
+        starts = before(self.sizes)
+        for i, part in zip(ids, parts):
+            good = len(part) and self.spelled[part].all()
+            codes = self.windows[spread(starts[part], self.sizes[part])] if good else part[:0]
+            self.rows.append((i, packed(codes)))
 
     def _windows(self, left: np.ndarray, right: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The windows' numbers of documents one after the other, and where documents end; their tokens end at
