@@ -40,9 +40,14 @@ class GramIndex:
     counts: DataFrame
 
 
-def posting_lists(texts: DataFrame, text: str, ids: Sequence[str], sizes: Sequence[int] = SIZES) -> DataFrame:
-    """``(__gram, *ids, text)`` for every distinct gram of every text."""
-    grams = F.flatten(F.array_compact(F.array(*[_grams(F.col(text), F.lit(n)) for n in sizes])))
+def posting_lists(
+    texts: DataFrame, text: str, ids: Sequence[str], sizes: Sequence[int] = SIZES, blank: bool = False
+) -> DataFrame:
+    """``(__gram, *ids, text)`` for every distinct gram of every text; with ``blank`` also for the empty one."""
+    listed = [_grams(F.col(text), F.lit(n)) for n in sizes]
+    if blank:
+        listed.append(F.array(F.lit("")))
+    grams = F.flatten(F.array_compact(F.array(*listed)))
     return texts.where(F.col(text).isNotNull()).select(F.explode(grams).alias("__gram"), *ids, text)
 
 
@@ -75,15 +80,15 @@ def substring_pairs(
         # The empty text is a gram of every text, wanted only where an empty needle is.
         own = F.when(F.col(needle) == "", F.array(F.lit(""))).otherwise(own)
     needle_grams = needles.select(needle, F.explode(own).alias("__gram"))
-    whole = texts.where(F.col(text).isNotNull()).select(F.lit("").alias("__gram"), *ids, text)
     if index is None:
-        text_grams = posting_lists(texts, text, ids, sizes)
-        text_grams = text_grams.unionByName(whole) if blank else text_grams
-        text_grams = text_grams.join(needle_grams.select("__gram").distinct(), "__gram", "left_semi")
+        text_grams = posting_lists(texts, text, ids, sizes, blank).join(needle_grams.select("__gram").distinct(), "__gram", "left_semi")
         frequency = gram_counts(text_grams)
     else:
-        lists = index.lists.select("__gram", *ids, text)
-        text_grams, frequency = lists.unionByName(whole) if blank else lists, index.counts
+        text_grams, frequency = index.lists.select("__gram", *ids, text), index.counts
+        if blank:
+            # Computed per row: joins on a constant would be planned as cross joins.
+            empty = F.substring(text, 1, 0).alias("__gram")
+            text_grams = text_grams.unionByName(texts.where(F.col(text).isNotNull()).select(empty, *ids, text))
     # A gram no text contains never joins, so needles without any match drop out here.
     rarest = (
         needle_grams.join(frequency, "__gram", "left")
