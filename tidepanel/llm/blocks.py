@@ -14,7 +14,7 @@ import numpy as np
 import zstandard
 from pyspark import TaskContext
 
-_PACK = zstandard.ZstdCompressor(level=3)
+_PACK = {level: zstandard.ZstdCompressor(level=level) for level in (3, 9)}
 _UNPACK = zstandard.ZstdDecompressor()
 
 
@@ -28,18 +28,18 @@ def block_number(index: int) -> int:
     return TaskContext.get().partitionId() << 32 | index
 
 
-def squeezed(data: bytes) -> bytes:
-    return _PACK.compress(data)
+def squeezed(data: bytes, level: int = 3) -> bytes:
+    return _PACK[level].compress(data)
 
 
 def stretched(data: bytes) -> bytes:
     return _UNPACK.decompress(data)
 
 
-def packed(numbers) -> bytes:
+def packed(numbers, level: int = 3) -> bytes:
     """Non-negative integers below 2**32, byte plane by byte plane, compressed."""
     planes = np.asarray(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4).T
-    return squeezed(np.ascontiguousarray(planes).tobytes())
+    return squeezed(np.ascontiguousarray(planes).tobytes(), level)
 
 
 def unpacked(data: bytes) -> np.ndarray:

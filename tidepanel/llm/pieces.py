@@ -40,6 +40,8 @@ GROUP = 4096
 #: Decoded characters that are returned at a time.
 FLUSH_CHARS = 4 << 20
 LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 16
+#: Compression of what is stored: the lists are most of the disk that is taken.
+LEVEL = 9
 #: Distinct chunks that a task remembers of a bucket.
 MOST_KNOWN = 1 << 20
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
@@ -120,8 +122,8 @@ def bucket_count(total: int) -> int:
 
 def _listed(chunks: list[str]) -> bytes:
     """Chunks of one bucket: their lengths, then all of them, compressed."""
-    lengths = packed(list(map(len, chunks)))
-    return len(lengths).to_bytes(4, "little") + lengths + squeezed("".join(chunks).encode())
+    lengths = packed(list(map(len, chunks)), LEVEL)
+    return len(lengths).to_bytes(4, "little") + lengths + squeezed("".join(chunks).encode(), LEVEL)
 
 
 def _unlisted(data: bytes) -> list[str]:
@@ -158,12 +160,14 @@ def _coded(docs: DataFrame, shared, buckets: int, block_chars: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block] * n, pa.int64()), part, pa.array(lists[at:at + GROUP], pa.binary()),
                      pa.nulls(n, pa.list_(kind)), *[pa.nulls(n, pa.binary())] * 3], names=schema.names)
+            del lists, chunks, order
             sizes = packed(list(map(len, codes)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()),
                  pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, kind)),
-                 *(pa.array([x], pa.binary()) for x in (sizes, packed(np.concatenate(codes)), packed(dealt)))],
+                 *(pa.array([x], pa.binary()) for x in (sizes, packed(np.concatenate(codes), LEVEL), packed(dealt, LEVEL)))],
                 names=schema.names)
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             kind = batch.schema.field("doc_id").type
@@ -182,7 +186,7 @@ def _coded(docs: DataFrame, shared, buckets: int, block_chars: int) -> DataFrame
     return saved(docs.mapInArrow(code, schema), "chunk-blocks")
 
 
-def _segmented(coded: DataFrame, shared, wide: np.dtype) -> DataFrame:
+def _segmented(coded: DataFrame, shared, buckets: int, wide: np.dtype) -> DataFrame:
     """``(block, bucket, ids, odd, texts)``: the ids of each list's chunks, and what chunks decode to where that isn't
     what their pieces spell. A task has one bucket's lists after the other, and segments what it meets first."""
 
@@ -203,8 +207,9 @@ def _segmented(coded: DataFrame, shared, wide: np.dtype) -> DataFrame:
                         plain = library.cuts and decoded.encode() == b"".join([library.bytes[i] for i in own])
                         known[chunk] = (np.array(own, dtype=wide).tobytes(), None if plain else decoded)
                 results = [known[c] for c in chunks]
-                lengths = packed([len(r[0]) // wide.itemsize for r in results])
-                out.append(len(lengths).to_bytes(4, "little") + lengths + squeezed(b"".join([r[0] for r in results])))
+                lengths = packed([len(r[0]) // wide.itemsize for r in results], LEVEL)
+                ids = squeezed(b"".join([r[0] for r in results]), LEVEL)
+                out.append(len(lengths).to_bytes(4, "little") + lengths + ids)
                 places = [i for i, r in enumerate(results) if r[1] is not None]
                 odd.append(places)
                 texts.append([results[i][1] for i in places])
@@ -214,7 +219,7 @@ def _segmented(coded: DataFrame, shared, wide: np.dtype) -> DataFrame:
                 names=["block", "bucket", "ids", "odd", "texts"])
 
     lists = coded.where("list is not null").select("block", "bucket", "list")
-    return (lists.repartition("bucket").sortWithinPartitions("bucket", "block")
+    return (lists.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
             .mapInArrow(segment, "block bigint, bucket int, ids binary, odd array<int>, texts array<string>"))
 
 
@@ -304,9 +309,10 @@ def encoded(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: s
     wide = np.dtype("<u2" if len(pieces(content).bytes) <= 1 << 16 else "<u4")
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     total = chosen.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    coded = _coded(chosen, shared, bucket_count(total), block_chars)
+    buckets = bucket_count(total)
+    coded = _coded(chosen, shared, buckets, block_chars)
     folder = scratch_dir(spark, "chunk-files")
-    _gathered(_segmented(coded, shared, wide), folder)
+    _gathered(_segmented(coded, shared, buckets, wide), folder)
     schema = T.StructType([chosen.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())),
                            T.StructField("decoded", T.StringType())])
 
