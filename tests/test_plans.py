@@ -138,6 +138,11 @@ def test_substring_pairs_equal_nested_loop(spark):
     assert substring_pairs(text_frame, "t", ["id"], needle_frame.limit(0)).count() == 0
 
 
+def test_keys_are_made_by_many_tasks(spark):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert QUERIES["n1_lookup_keys"](spark, SMALL).rdd.getNumPartitions() == tasks
+
+
 @pytest.mark.parametrize("k", [1, 30, 1500])
 def test_top_k_equals_sorting(spark, k):
     draw = random.Random(3)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel import functions as fn
+from tidepanel.plans import spread
 from tidepanel.registry.base import query, rnd, rounded
 from tidepanel.sources.star_panels import epoch_millis, table
 
@@ -108,7 +109,7 @@ def n1_lookup_keys(spark, folder):
         F.lit("  Çé-"), "c_name", F.lit("\u00a0_"), F.lower("c_mktsegment"),
         F.lit(" & Åland/ñ,Østfold. "),
     )
-    return table(spark, folder, "customer").select(
+    return spread(table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")).select(
         "c_custkey",
         fn.alias_key(dirty).alias("alias"),
         fn.group_key(dirty).alias("label"),
