@@ -156,6 +156,16 @@ def test_top_k_equals_sorting(spark, k):
     assert got == expected
 
 
+def test_texts_are_dealt_out_before_they_are_taken_apart(spark):
+    texts = spark.createDataFrame([(i, f"text number {i}") for i in range(200)], "id int, text string").coalesce(1)
+    needles = spark.createDataFrame([("number 1",), ("17",)], "needle string")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert posting_lists(texts, "text", ["id"]).rdd.getNumPartitions() == tasks
+    # No side of the last join, that of grams, is broadcast, small as the texts may seem.
+    plan = substring_pairs(texts, "text", ["id"], needles)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan.partition("Join")[0] + plan.partition("Join")[1]
+
+
 def test_indexed_grams_equal_taking_texts_apart(spark):
     draw = random.Random(17)
     texts = {i: "".join(draw.choice("abc é") for _ in range(draw.randint(0, 20))) for i in range(200)}

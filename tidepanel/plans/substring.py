@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.plans.spread import spread
+
 #: A needle is represented by one of its grams of the largest of these sizes that it has.
 SIZES = (1, 2, 4, 8)
 
@@ -48,7 +50,8 @@ def posting_lists(
     if blank:
         listed.append(F.array(F.lit("")))
     grams = F.flatten(F.array_compact(F.array(*listed)))
-    return texts.where(F.col(text).isNotNull()).select(F.explode(grams).alias("__gram"), *ids, text)
+    rows = texts.where(F.col(text).isNotNull()).select(*ids, text)
+    return spread(rows).select(F.explode(grams).alias("__gram"), *ids, text)
 
 
 def gram_counts(lists: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -100,5 +103,6 @@ def substring_pairs(
         )
         .select(needle, F.col("__pick.__gram").alias("__gram"))
     )
-    candidates = text_grams.join(rarest, "__gram")
+    # Spark takes grams for as small as the texts they come from: without the hint it may broadcast all of them.
+    candidates = text_grams.join(rarest.hint("merge"), "__gram")
     return candidates.where(F.contains(F.col(text), F.col(needle))).select(needle, *ids, text)
