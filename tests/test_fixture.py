@@ -338,6 +338,13 @@ def test_catalog_of_a_thousand_levels(spark):
     assert len(str(files._jdf.queryExecution().analyzed())) == len(str(short._jdf.queryExecution().analyzed()))
 
 
+def test_trees_are_dealt_out_whole(spark):
+    trees = spark.createDataFrame([('{"Children":[{"Name":"a"}]}',)] * 20, "tree string").coalesce(1)
+    plan = catalog.flatten_catalog(trees)._jdf.queryExecution().executedPlan().toString()
+    # One exchange, of texts; tokens are not shuffled.
+    assert plan.count("Exchange ") == 1 and plan.index("Exchange ") > plan.rindex("Generate ")
+
+
 def test_catalog_changes(spark):
     columns = "series int, doc_id bigint, size bigint, modified_raw string, name string"
     old = spark.createDataFrame([(1, 7, 10, "a", "n"), (2, 8, None, "a", "n"), (3, 9, 1, "a", "n")], columns)

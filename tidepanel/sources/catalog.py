@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import dotnet_millis, starts_with_text
+from tidepanel.plans import spread
 
 # Field of the tree -> our column. ``DateModified`` stays as text beside its milliseconds, because
 # a change of the raw text counts as a change.
@@ -24,6 +25,8 @@ COMPARED = ("doc_id", "size", "modified_raw", "name")
 NODE = "IsFolder boolean, " + ", ".join(f"{name} {column.split()[1]}" for name, column in FIELDS.items())
 # A bracket, or everything up to the next one; strings may hold brackets of their own.
 TOKEN = r'[\[\]{}]|(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\[\]{}"]++)++'
+#: Tasks for trees, times the session's shuffle partitions: tokens take many times a tree's bytes while they are sorted.
+SHARE = 4
 CHILDREN, VALUE = r'"Children"\s*:\s*$', r":\s*$"
 
 
@@ -35,16 +38,20 @@ def _nodes(trees: DataFrame, tree: str, keep: Sequence[str]) -> DataFrame:
     nor the number of passes depends on the depth, and one shuffle brings a tree's tokens together.
     """
     text = F.ltrim(F.col(tree), F.lit(" \t\r\n"))
-    rows = trees.where(F.startswith(text, F.lit("{"))).select(
+    texts = trees.where(F.startswith(text, F.lit("{"))).select(
         F.monotonically_increasing_id().alias("tree"), F.struct(F.lit(True).alias("__here"), *keep).alias("kept"),
-        F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("tokens"))
+        text.alias("text"))
+    # Whole trees are dealt out, before they are taken apart: all that follows stays within their partitions.
+    # Exploding an array of one keeps the filter below from computing the tokens once more for each of them.
+    tokens = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
+    rows = spread(texts, "tree", share=SHARE).select("tree", "kept", F.explode(F.array(tokens)).alias("tokens"))
     known = F.transform("tokens", lambda t, i: F.struct(
         t.alias("token"),
         F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0).alias("step"),
         F.when(t == "{", ~F.coalesce(F.get("tokens", i - 1).rlike(VALUE), F.lit(False)))
         .when(t == "[", F.coalesce(F.get("tokens", i - 1).rlike(CHILDREN), F.lit(False))).alias("own")))
     rest = F.aggregate("known", F.lit(0), lambda total, t: total + t["step"])
-    tokens = rows.withColumn("known", known).where(rest == 0).select(
+    tokens = rows.select("tree", "kept", F.explode(F.array(known)).alias("known")).where(rest == 0).select(
         "tree", "kept", F.posexplode("known").alias("at", "t")).select(
         "tree", F.when(F.col("at") == 0, F.col("kept")).alias("kept"), "at", "t.*")
 
