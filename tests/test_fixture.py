@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidepanel import Selection
 from tidepanel.dims import tables
 from tidepanel.operators import hierarchy, resolve, select, summarize, tagging
+from tidepanel.plans import posting_lists
 from tidepanel.sources import catalog, export, snapshot, storage
 
 
@@ -474,6 +475,30 @@ def test_exports_appear_whole(spark, panel, tmp_path):
     assert sorted(os.listdir(tmp_path / "package")) == ["availability", "codebook", "data", "readme"]
 
 
+def test_grams_stand_in_segments(spark, panel, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshot, "SEGMENT_CHARS", 120)
+    rows = [(str(i), None if i % 7 == 0 else f"Name\u0130 {i * 37} of {i}", "AFR", "Low") for i in range(60)]
+    entities = spark.createDataFrame(rows + rows[:3], panel.entities.schema)
+    own = panel.replace(entities=entities)
+    path = str(tmp_path / "grams")
+    version = snapshot.build_snapshot(own, path, "a", check=False)
+    lists = f"{path}/v={version}/gram_lists"
+    read = snapshot.read_snapshot(spark, path)
+    for source in ("name", "entity", "codebook"):
+        wanted = posting_lists(own.searched_texts(source), "text", ["code"])
+        index = read.gram_index(source)
+        assert sorted(map(tuple, index.lists.collect())) == sorted(map(tuple, wanted.collect()))
+        counted = wanted.groupBy("__gram").count()
+        assert sorted(map(tuple, index.counts.collect())) == sorted(map(tuple, counted.collect()))
+    # Grams of names are those of entities, not stored twice; a task's grams do not grow with the number of texts.
+    assert sorted(os.listdir(lists))[-2:] == ["source=codebook", "source=entity"]
+    files = [name for name in os.listdir(f"{lists}/source=entity") if name.endswith(".parquet")]
+    assert len(files) >= 9
+    for name in files:
+        grams = [row[0].encode() for row in spark.read.parquet(f"{lists}/source=entity/{name}").select("__gram").collect()]
+        assert grams == sorted(grams)
+
+
 def test_snapshot_prunes_and_pushes_down(spark, panel, tmp_path):
     path = str(tmp_path / "snap")
     snapshot.build_snapshot(panel, path, "a")

@@ -24,7 +24,6 @@ NOTE_COLUMNS = (
 )
 # Where a codebook search looks: all but the method.
 SEARCHED_COLUMNS = INDICATOR_COLUMNS[:-1]
-SEARCHED = ("name", "entity", "codebook")
 UNUSED = "\x00"
 # The tidy row of every data query, in order.
 DATA_COLUMNS = (
@@ -111,13 +110,21 @@ class Panel:
         lists, counts = self._table("gram_lists"), self._table("gram_counts")
         if lists is None or counts is None:
             return None
-        return GramIndex(lists.where(F.col("source") == source).drop("source"),
-                         counts.where(F.col("source") == source).drop("source"))
+        if source == "name" and "name_at" in lists.columns:
+            # A name ends the text of its entity: its grams are among those of the text.
+            text = F.col("text").substr(F.col("name_at"), F.length("text")).alias("text")
+            named = lists.where((F.col("source") == "entity") & F.col("name_at").isNotNull())
+            counted = counts.where((F.col("source") == "entity") & (F.col("__names") > 0))
+            return GramIndex(named.select("__gram", "code", text),
+                             counted.select("__gram", F.col("__names").alias("__texts")))
+        return GramIndex(lists.where(F.col("source") == source).select("__gram", "code", "text"),
+                         counts.where(F.col("source") == source).select("__gram", "__texts"))
 
     def searched_texts(self, source: str) -> DataFrame:
         """``(code, text)``: what searches look at, in lower case, joined by a character that no query can contain.
 
-        ``name``: names of entities; ``entity``: their codes and names; ``codebook``: the searched attributes.
+        ``name``: names of entities; ``entity``: their codes and names, with a third column of the ``name`` that ends
+        the text; ``codebook``: the searched attributes.
         """
         if source == "codebook":
             parts, rows, code = SEARCHED_COLUMNS, self.indicators, "indicator_code"
@@ -126,7 +133,8 @@ class Panel:
             rows, code = self.entities, "entity_code"
         lowered = [F.lower(F.col(name)) for name in parts]
         text = lowered[0] if source == "name" else F.concat_ws(UNUSED, *lowered)
-        return rows.select(F.col(code).alias("code"), text.alias("text"))
+        name = [lowered[1].alias("name")] if source == "entity" else []
+        return rows.select(F.col(code).alias("code"), text.alias("text"), *name)
 
     @property
     def spark(self) -> SparkSession:

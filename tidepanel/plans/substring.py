@@ -43,15 +43,20 @@ class GramIndex:
 
 
 def posting_lists(
-    texts: DataFrame, text: str, ids: Sequence[str], sizes: Sequence[int] = SIZES, blank: bool = False
+    texts: DataFrame, text: str, ids: Sequence[str], sizes: Sequence[int] = SIZES, blank: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """``(__gram, *ids, text)`` for every distinct gram of every text; with ``blank`` also for the empty one."""
+    """``(__gram, *ids, text)`` for every distinct gram of every text; with ``blank`` also for the empty one.
+
+    Texts are dealt to ``tasks`` tasks, or as ``spread`` does.
+    """
     listed = [_grams(F.col(text), F.lit(n)) for n in sizes]
     if blank:
         listed.append(F.array(F.lit("")))
     grams = F.flatten(F.array_compact(F.array(*listed)))
     rows = texts.where(F.col(text).isNotNull()).select(*ids, text)
-    return spread(rows).select(F.explode(grams).alias("__gram"), *ids, text)
+    dealt = rows.repartition(tasks) if tasks else spread(rows)
+    return dealt.select(F.explode(grams).alias("__gram"), *ids, text)
 
 
 def gram_counts(lists: DataFrame, by: Sequence[str] = ()) -> DataFrame:

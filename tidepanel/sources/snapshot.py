@@ -7,25 +7,27 @@ is the one current build. Builds that are no longer current, and what failed one
 Facts stand in ranges of their series (``<path>/observations/<version>/range=<n>``), and ``ranges`` of a build lists its
 folders and a hash of each range: a later build writes only the ranges whose rows changed and shares the others. Observations are
 range-partitioned by their key before the write, so that a hot indicator spreads over many files and a
-filter on indicator, entity or period skips the rest by file statistics.
+filter on indicator, entity or period skips the rest by file statistics. Grams of names and codebook rows stand in
+segments (``v=<hash>/gram_lists/source=<kind>``): each holds all grams of some of the texts, sorted by gram.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.dims import tables
-from tidepanel.model import OBSERVATION_KEY, SEARCHED, Panel
-from tidepanel.plans import gram_counts, posting_lists
+from tidepanel.model import OBSERVATION_KEY, Panel
+from tidepanel.plans import posting_lists
+from tidepanel.plans.spread import SHUFFLE_PARTITIONS
 from tidepanel.sources.load import require_keys
 from tidepanel.sources.storage import delete, exists, listed, put_if_absent
 
@@ -43,6 +45,10 @@ RANGE_SCHEMA = ("range int, indicator_code string, entity_code string, folder st
                 "hash_2 bigint")
 NOTHING = (0, None, None)
 GRAM_LISTS, GRAM_COUNTS = "gram_lists", "gram_counts"
+#: Texts whose grams are stored; those of names are among those of entities.
+INDEXED = ("entity", "codebook")
+#: Characters of the texts of one segment of grams, at most on average, and at least if there are fewer tasks than cores.
+SEGMENT_CHARS, LEAST_CHARS = 500_000, 20_000
 COUNTED = (FACTS, "entities", "indicators", "notes")
 
 
@@ -104,12 +110,16 @@ def _range_of(lowers: Sequence[tuple[str, str]]) -> Column:
     return pick(0, max(len(lowers) - 1, 0))
 
 
-def _hashes(ranged: DataFrame) -> dict[int, tuple]:
-    """Rows and two hashes of each range, whatever the order of its rows; at most ``MOST_RANGES`` rows come back."""
+def _hash_columns() -> list[Column]:
+    """Rows and two hashes of a group of facts, whatever the order of its rows."""
     columns = (*OBSERVATION_KEY, "value")
-    rows = ranged.groupBy("range").agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.bit_xor(F.xxhash64(F.lit(seed), *columns)).alias(f"hash_{seed}") for seed in (1, 2)]).collect()
+    return [F.count(F.lit(1)).alias("rows"),
+            *[F.bit_xor(F.xxhash64(F.lit(seed), *columns)).alias(f"hash_{seed}") for seed in (1, 2)]]
+
+
+def _hashes(ranged: DataFrame) -> dict[int, tuple]:
+    """Rows and two hashes of each range; at most ``MOST_RANGES`` rows come back."""
+    rows = ranged.groupBy("range").agg(*_hash_columns()).collect()
     return {row["range"]: (row["rows"], row["hash_1"], row["hash_2"]) for row in rows}
 
 
@@ -124,12 +134,16 @@ def _first_ranges(facts: DataFrame, path: str, version: str) -> list[tuple]:
     """Write all facts, and make ranges of the partitions in which their series were sorted."""
     parts = facts.repartitionByRange(*SERIES).withColumn("range", F.spark_partition_id())
     written = _write_ranges(parts, f"{path}/{FACTS}/{version}")
-    firsts = written.groupBy("range").agg(F.min(F.struct(*SERIES)).alias("low")).orderBy("range").collect()
+    # One pass for lower ends and hashes: a series lies in one folder, and folders follow each other in order.
+    firsts = written.groupBy("range").agg(
+        F.min(F.struct(*SERIES)).alias("low"), *_hash_columns()).orderBy("range").collect()
     number = {row["range"]: i * min(MOST_RANGES, len(firsts)) // len(firsts) for i, row in enumerate(firsts)}
-    lowers = {}
+    lowers, hashes = {}, {}
     for row in firsts:
-        lowers.setdefault(number[row["range"]], tuple(row["low"]))
-    hashes = _hashes(written.withColumn("range", _range_of([lowers[i] for i in sorted(lowers)])))
+        i = number[row["range"]]
+        lowers.setdefault(i, tuple(row["low"]))
+        n, first, second = hashes.get(i, (0, 0, 0))
+        hashes[i] = (n + row["rows"], first ^ row["hash_1"], second ^ row["hash_2"])
     return [(number[row["range"]], *lowers[number[row["range"]]], f"{version}/range={row['range']}",
              *hashes[number[row["range"]]]) for row in firsts]
 
@@ -169,15 +183,33 @@ def _facts(spark: SparkSession, path: str, folders: Sequence[str]) -> DataFrame:
     return facts.select("entity_code", "period", "indicator_code", "value")
 
 
+def _segments(spark: SparkSession, chars: int) -> int:
+    """How many segments texts of so many characters make: as many as one shuffle has tasks, more for very many."""
+    wide = min(int(spark.conf.get(SHUFFLE_PARTITIONS)), math.ceil(chars / LEAST_CHARS))
+    return max(1, wide, math.ceil(chars / SEGMENT_CHARS))
+
+
 def _write_grams(panel: Panel, target: str) -> None:
-    """The grams of all searched texts, sorted by gram, and how many texts have each."""
-    lists = reduce(DataFrame.unionByName, [
-        posting_lists(panel.searched_texts(source), "text", ["code"]).withColumn("source", F.lit(source))
-        for source in SEARCHED])
-    ordered = lists.repartitionByRange("source", "__gram", "code").sortWithinPartitions("source", "__gram", "code")
-    ordered.write.mode("errorifexists").parquet(f"{target}/{GRAM_LISTS}")
-    written = panel.spark.read.schema(lists.schema).parquet(f"{target}/{GRAM_LISTS}")
-    gram_counts(written, ["source"]).write.mode("errorifexists").parquet(f"{target}/{GRAM_COUNTS}")
+    """The grams of all searched texts in segments, each sorted by gram, and how many texts, and names, have each.
+
+    Grams stay in the task that takes their texts apart: nothing made of a text is shuffled, or made a second time for
+    a sample of it. ``name_at`` is where the name begins in the text of an entity, if it has the gram.
+    """
+    spark = panel.spark
+    for source in INDEXED:
+        texts = panel.searched_texts(source)
+        tasks = _segments(spark, texts.agg(F.sum(F.length("text"))).first()[0] or 0)
+        if source == "entity":
+            start = F.length("text") - F.length("name") + 1
+            lists = posting_lists(texts, "text", ["code", "name"], tasks=tasks).withColumn(
+                "name_at", F.when(F.contains("name", "__gram"), start)).drop("name")
+        else:
+            lists = posting_lists(texts, "text", ["code"], tasks=tasks).withColumn("name_at", F.lit(None).cast("int"))
+        lists.sortWithinPartitions("__gram").write.mode("errorifexists").parquet(f"{target}/{GRAM_LISTS}/source={source}")
+    written = spark.read.parquet(f"{target}/{GRAM_LISTS}")
+    counts = written.groupBy("source", "__gram").agg(
+        F.count(F.lit(1)).alias("__texts"), F.count("name_at").alias("__names"))
+    counts.write.mode("errorifexists").parquet(f"{target}/{GRAM_COUNTS}")
 
 
 def _commit(spark: SparkSession, path: str, version: str, signature: str) -> str:
@@ -218,7 +250,9 @@ def build_snapshot(
             table = getattr(panel, name)
             if table is not None:
                 table.write.mode("errorifexists").parquet(f"{target}/{name}")
-        _write_grams(panel, target)
+        # Of the written names and rows: their sources are not computed a second time.
+        _write_grams(panel.replace(**{
+            name: spark.read.parquet(f"{target}/{name}") for name in ("entities", "indicators")}), target)
         before = _ranges(spark, f"{path}/v={build['version']}") if current else []
         written = _write_facts(panel.observations, path, version, before)
         if check:
