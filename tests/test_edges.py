@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+from collections import Counter
+
 import pytest
 from fixture_panel import (
     CODEBOOK, DATA, INDICATORS, NOTES, cached, codebook_sheet, make_panel, notes_sheet, wide_sheet,
@@ -12,6 +15,7 @@ from tidepanel import Selection
 from tidepanel.dims import tables
 from tidepanel.operators import hierarchy, resolve, select, summarize
 from tidepanel.sources import load
+from tidepanel.sources import star_panels as star
 
 
 def data_row(name, code, year, values, region="AFR", income="Low"):
@@ -228,3 +232,27 @@ def test_batch_search_equals_scalar_search(panel, spark):
              select.search_indicators_batch(panel, asked, "q").collect()}
     scalar = {(t, r["indicator_code"]) for t in texts for r in select.search_indicators(panel, t).collect()}
     assert batch == scalar
+
+
+def test_lines_are_dealt_before_they_are_summed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(star, "TASK_LINES", 20)
+    day = datetime.datetime(1997, 5, 1)
+    lines = [(i, None if i % 50 == 7 else i % 40, None if i % 60 == 9 else i % 6, 1, float(i % 9), 1.0, 0.0, 0.0, "A", "F",
+              None if i % 70 == 3 else day.replace(year=1996 + i % 2)) for i in range(400)]
+    parts = [(i, "hot ring", f"Brand#{i % 3}", "SMALL", 1, 1.0) for i in range(39)] + [(1, "twice", "Brand#9", "SMALL", 1, 1.0)]
+    for name, rows in (("lineitem", lines), ("part", parts)):
+        spark.createDataFrame(rows, star.SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    facts = star.parts_facts(spark, str(tmp_path))
+    # A task's share of the lines does not grow with them; nothing is summed on the far side of an exchange.
+    assert facts.rdd.getNumPartitions() == 2 * 20
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") > 0
+    wanted = Counter()
+    for line in lines:
+        part, supplier, quantity, year = line[1], line[2], line[4], line[10] and line[10].year
+        key = (None if supplier is None else str(supplier), year)
+        wanted[(*key, None if part is None else f"p{part}")] += quantity
+        for row in parts:
+            if row[0] == part:
+                wanted[(*key, f"b{row[2].removeprefix('Brand#')}")] += quantity
+    assert {tuple(row)[:3]: row["value"] for row in facts.collect()} == dict(wanted)

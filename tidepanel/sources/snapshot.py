@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import math
 import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from tidepanel.dims import tables
 from tidepanel.model import OBSERVATION_KEY, Panel
 from tidepanel.plans import posting_lists
-from tidepanel.plans.spread import SHUFFLE_PARTITIONS
+from tidepanel.plans.spread import tasks_for
 from tidepanel.sources.load import require_keys
 from tidepanel.sources.storage import delete, exists, listed, put_if_absent
 
@@ -47,7 +46,7 @@ NOTHING = (0, None, None)
 GRAM_LISTS, GRAM_COUNTS = "gram_lists", "gram_counts"
 #: Texts whose grams are stored; those of names are among those of entities.
 INDEXED = ("entity", "codebook")
-#: Characters of the texts of one segment of grams, at most on average, and at least if there are fewer tasks than cores.
+#: Characters of the texts of one segment of grams on average, at most and, if a shuffle has the tasks, at least.
 SEGMENT_CHARS, LEAST_CHARS = 500_000, 20_000
 COUNTED = (FACTS, "entities", "indicators", "notes")
 
@@ -183,12 +182,6 @@ def _facts(spark: SparkSession, path: str, folders: Sequence[str]) -> DataFrame:
     return facts.select("entity_code", "period", "indicator_code", "value")
 
 
-def _segments(spark: SparkSession, chars: int) -> int:
-    """How many segments texts of so many characters make: as many as one shuffle has tasks, more for very many."""
-    wide = min(int(spark.conf.get(SHUFFLE_PARTITIONS)), math.ceil(chars / LEAST_CHARS))
-    return max(1, wide, math.ceil(chars / SEGMENT_CHARS))
-
-
 def _write_grams(panel: Panel, target: str) -> None:
     """The grams of all searched texts in segments, each sorted by gram, and how many texts, and names, have each.
 
@@ -198,7 +191,8 @@ def _write_grams(panel: Panel, target: str) -> None:
     spark = panel.spark
     for source in INDEXED:
         texts = panel.searched_texts(source)
-        tasks = _segments(spark, texts.agg(F.sum(F.length("text"))).first()[0] or 0)
+        chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+        tasks = tasks_for(spark, chars, SEGMENT_CHARS, LEAST_CHARS)
         if source == "entity":
             start = F.length("text") - F.length("name") + 1
             lists = posting_lists(texts, "text", ["code", "name"], tasks=tasks).withColumn(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.dims import tables
 from tidepanel.model import INDICATOR_COLUMNS, Panel
+from tidepanel.plans.spread import tasks_for
 from tidepanel.sources.load import load_codebook, load_notes
 
 # ISO3 codes and names given to the nation keys 0-24, so that curated groups apply.
@@ -377,16 +378,27 @@ def parts_codebook_raw(spark: SparkSession, folder: str) -> DataFrame:
     return parts.unionByName(brands)
 
 
+#: Lines whose sums one task holds at once, at most on average, and at least if a shuffle has the tasks.
+TASK_LINES, LEAST_LINES = 250_000, 20_000
+
+
 def parts_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """Quantity by part and by brand (indicators), supplier and ship year."""
+    """Quantity by part and by brand (indicators), supplier and ship year.
+
+    Few lines share a key, so they are dealt before they are summed, to a number of tasks that grows with them: sums
+    begun where lines are read would hold as many groups as a file split has lines.
+    """
+    tasks = tasks_for(spark, table(spark, folder, "lineitem").count(), TASK_LINES, LEAST_LINES)
     lines = table(spark, folder, "lineitem").select(
         "l_partkey",
         F.col("l_suppkey").cast("string").alias("entity_code"),
         F.year("l_shipdate").alias("period"),
         _money("l_quantity").alias("quantity"),
     )
-    per_part = lines.groupBy("l_partkey", "entity_code", "period").agg(
-        F.sum("quantity").alias("quantity")
+    per_part = (
+        lines.repartition(tasks, "l_partkey", "entity_code", "period")
+        .groupBy("l_partkey", "entity_code", "period")
+        .agg(F.sum("quantity").alias("quantity"))
     )
     brands = table(spark, folder, "part").select(
         F.col("p_partkey").alias("l_partkey"),
@@ -394,6 +406,7 @@ def parts_facts(spark: SparkSession, folder: str) -> DataFrame:
     )
     per_brand = (
         per_part.join(brands, "l_partkey")
+        .repartition(tasks, "indicator_code", "entity_code", "period")
         .groupBy("indicator_code", "entity_code", "period")
         .agg(F.sum("quantity").alias("quantity"))
     )
