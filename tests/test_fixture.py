@@ -482,7 +482,7 @@ def test_grams_stand_in_segments(spark, panel, tmp_path, monkeypatch):
     own = panel.replace(entities=entities)
     path = str(tmp_path / "grams")
     version = snapshot.build_snapshot(own, path, "a", check=False)
-    lists = f"{path}/v={version}/gram_lists"
+    lists = f"{path}/grams/{version}"
     read = snapshot.read_snapshot(spark, path)
     for source in ("name", "entity", "codebook"):
         wanted = posting_lists(own.searched_texts(source), "text", ["code"])
@@ -492,13 +492,40 @@ def test_grams_stand_in_segments(spark, panel, tmp_path, monkeypatch):
         assert sorted(map(tuple, index.counts.collect())) == sorted(map(tuple, counted.collect()))
     # Grams of names are those of entities, not stored twice; a task's grams do not grow with the number of texts.
     assert sorted(os.listdir(lists))[-2:] == ["source=codebook", "source=entity"]
-    files = [name for name in os.listdir(f"{lists}/source=entity") if name.endswith(".parquet")]
+    lists = f"{lists}/source=entity/gram_lists"
+    files = [name for name in os.listdir(lists) if name.endswith(".parquet")]
     assert len(files) >= 9
     for name in files:
-        grams = [row[0].encode() for row in spark.read.parquet(f"{lists}/source=entity/{name}").select("__gram").collect()]
+        grams = [row[0].encode() for row in spark.read.parquet(f"{lists}/{name}").select("__gram").collect()]
         assert grams == sorted(grams)
 
 
+def test_builds_of_the_same_texts_share_their_grams(spark, panel, tmp_path):
+    path = str(tmp_path / "shared")
+    rows = panel.entities.collect()
+    frame = spark.createDataFrame
+
+    def build(signature, entities):
+        changed = panel.replace(entities=frame(entities, panel.entities.schema).repartition(3))
+        version = snapshot.build_snapshot(changed, path, signature, check=False, retention=3600)
+        index = snapshot.read_snapshot(spark, path).gram_index("entity")
+        wanted = posting_lists(changed.searched_texts("entity"), "text", ["code"])
+        assert sorted(map(tuple, index.lists.collect())) == sorted(map(tuple, wanted.collect()))
+        made = f"{path}/grams/{version}"
+        return version, sorted(os.listdir(made)) if os.path.exists(made) else []
+
+    first, made = build("a", rows)
+    assert made == ["source=codebook", "source=entity"]
+    second, made = build("b", rows[::-1])
+    assert made == []
+    # Only the texts that changed are taken apart; repeated rows cancel in no hash.
+    assert build("c", rows + rows[:1] * 2)[1] == build("d", rows + rows[1:2] * 2)[1] == ["source=entity"]
+    snapshot.remove_old_builds(spark, path, -1)
+    # The current build still uses the first one's grams of the codebook, nothing uses its grams of entities.
+    assert os.listdir(f"{path}/grams/{first}") == ["source=codebook"] and len(os.listdir(f"{path}/grams")) == 2
+    assert snapshot.read_snapshot(spark, path).gram_index("codebook").lists.count() > 0
+
+
 def test_snapshot_prunes_and_pushes_down(spark, panel, tmp_path):
     path = str(tmp_path / "snap")
     snapshot.build_snapshot(panel, path, "a")

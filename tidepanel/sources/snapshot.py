@@ -8,7 +8,8 @@ Facts stand in ranges of their series (``<path>/observations/<version>/range=<n>
 folders and a hash of each range: a later build writes only the ranges whose rows changed and shares the others. Observations are
 range-partitioned by their key before the write, so that a hot indicator spreads over many files and a
 filter on indicator, entity or period skips the rest by file statistics. Grams of names and codebook rows stand in
-segments (``v=<hash>/gram_lists/source=<kind>``): each holds all grams of some of the texts, sorted by gram.
+segments (``<path>/grams/<version>/source=<kind>``): each holds all grams of some of the texts, sorted by gram. ``grams`` of
+a build names their folders with hashes of the texts: a later build of the same texts shares them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import json
 import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +45,8 @@ MOST_RANGES = 256
 RANGE_SCHEMA = ("range int, indicator_code string, entity_code string, folder string, rows bigint, hash_1 bigint, "
                 "hash_2 bigint")
 NOTHING = (0, None, None)
-GRAM_LISTS, GRAM_COUNTS = "gram_lists", "gram_counts"
+GRAMS, GRAM_LISTS, GRAM_COUNTS = "grams", "gram_lists", "gram_counts"
+GRAM_SCHEMA = "source string, folder string, chars bigint, texts bigint, hash bigint, low bigint, high bigint"
 #: Texts whose grams are stored; those of names are among those of entities.
 INDEXED = ("entity", "codebook")
 #: Characters of the texts of one segment of grams on average, at most and, if a shuffle has the tasks, at least.
@@ -182,28 +185,65 @@ def _facts(spark: SparkSession, path: str, folders: Sequence[str]) -> DataFrame:
     return facts.select("entity_code", "period", "indicator_code", "value")
 
 
-def _write_grams(panel: Panel, target: str) -> None:
+def _state(texts: DataFrame) -> tuple:
+    """Characters, rows and hashes of texts, whatever their order; sums tell repeated rows, which ``bit_xor`` does not."""
+    columns = [column for name in texts.columns for column in (F.col(name).isNull(), F.col(name))]
+    first, second = F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *columns)
+    sums = [F.length("text").cast("bigint"), first.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright(first, 32)]
+    chars, low, high = [F.coalesce(F.sum(column), F.lit(0)) for column in sums]
+    return tuple(texts.agg(chars, F.count(F.lit(1)), F.coalesce(F.bit_xor(second), F.lit(0)), low, high).first())
+
+
+def _grams(spark: SparkSession, location: str) -> list[tuple]:
+    """The grams of a build: source, folder, and the state of the texts; none if it was built without this list."""
+    if not exists(spark, f"{location}/{GRAMS}/_SUCCESS"):
+        return []
+    return [tuple(row) for row in spark.read.schema(GRAM_SCHEMA).parquet(f"{location}/{GRAMS}").collect()]
+
+
+def _write_grams(panel: Panel, path: str, version: str, before: list[tuple]) -> None:
     """The grams of all searched texts in segments, each sorted by gram, and how many texts, and names, have each.
 
     Grams stay in the task that takes their texts apart: nothing made of a text is shuffled, or made a second time for
-    a sample of it. ``name_at`` is where the name begins in the text of an entity, if it has the gram.
+    a sample of it. ``name_at`` is where the name begins in the text of an entity, if it has the gram. Grams of texts
+    that an earlier build has are taken from there.
     """
     spark = panel.spark
+    known = {(source, *state): folder for source, folder, *state in before}
+    rows = []
     for source in INDEXED:
         texts = panel.searched_texts(source)
-        chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-        tasks = tasks_for(spark, chars, SEGMENT_CHARS, LEAST_CHARS)
-        if source == "entity":
-            start = F.length("text") - F.length("name") + 1
-            lists = posting_lists(texts, "text", ["code", "name"], tasks=tasks).withColumn(
-                "name_at", F.when(F.contains("name", "__gram"), start)).drop("name")
-        else:
-            lists = posting_lists(texts, "text", ["code"], tasks=tasks).withColumn("name_at", F.lit(None).cast("int"))
-        lists.sortWithinPartitions("__gram").write.mode("errorifexists").parquet(f"{target}/{GRAM_LISTS}/source={source}")
-    written = spark.read.parquet(f"{target}/{GRAM_LISTS}")
-    counts = written.groupBy("source", "__gram").agg(
-        F.count(F.lit(1)).alias("__texts"), F.count("name_at").alias("__names"))
-    counts.write.mode("errorifexists").parquet(f"{target}/{GRAM_COUNTS}")
+        state = _state(texts)
+        folder = known.get((source, *state))
+        if folder is None:
+            folder = f"{version}/source={source}"
+            target = f"{path}/{GRAMS}/{folder}"
+            tasks = tasks_for(spark, state[0], SEGMENT_CHARS, LEAST_CHARS)
+            if source == "entity":
+                start = F.length("text") - F.length("name") + 1
+                lists = posting_lists(texts, "text", ["code", "name"], tasks=tasks).withColumn(
+                    "name_at", F.when(F.contains("name", "__gram"), start)).drop("name")
+            else:
+                lists = posting_lists(texts, "text", ["code"], tasks=tasks).withColumn(
+                    "name_at", F.lit(None).cast("int"))
+            lists.sortWithinPartitions("__gram").write.mode("errorifexists").parquet(f"{target}/{GRAM_LISTS}")
+            counts = spark.read.schema(lists.schema).parquet(f"{target}/{GRAM_LISTS}").groupBy("__gram").agg(
+                F.count(F.lit(1)).alias("__texts"), F.count("name_at").alias("__names"))
+            counts.write.mode("errorifexists").parquet(f"{target}/{GRAM_COUNTS}")
+        rows.append((source, folder, *state))
+    spark.createDataFrame(rows, GRAM_SCHEMA).coalesce(1).write.mode("errorifexists").parquet(
+        f"{path}/v={version}/{GRAMS}")
+
+
+def _stored_grams(spark: SparkSession, location: str, table: str) -> DataFrame | None:
+    """The lists or the counts of a build's grams with their source; an older build has them in its own folder."""
+    grams = _grams(spark, location)
+    if not grams:
+        return _optional(spark, f"{location}/{table}")
+    path = location.rpartition("/")[0]
+    return reduce(DataFrame.unionByName, [
+        spark.read.parquet(f"{path}/{GRAMS}/{folder}/{table}").withColumn("source", F.lit(source))
+        for source, folder, *_ in grams])
 
 
 def _commit(spark: SparkSession, path: str, version: str, signature: str) -> str:
@@ -246,7 +286,8 @@ def build_snapshot(
                 table.write.mode("errorifexists").parquet(f"{target}/{name}")
         # Of the written names and rows: their sources are not computed a second time.
         _write_grams(panel.replace(**{
-            name: spark.read.parquet(f"{target}/{name}") for name in ("entities", "indicators")}), target)
+            name: spark.read.parquet(f"{target}/{name}") for name in ("entities", "indicators")}), path, version,
+            _grams(spark, f"{path}/v={build['version']}") if current else [])
         before = _ranges(spark, f"{path}/v={build['version']}") if current else []
         written = _write_facts(panel.observations, path, version, before)
         if check:
@@ -265,6 +306,7 @@ def build_snapshot(
 def _drop(spark: SparkSession, path: str, version: str) -> None:
     delete(spark, f"{path}/v={version}")
     delete(spark, f"{path}/{FACTS}/{version}")
+    delete(spark, f"{path}/{GRAMS}/{version}")
 
 
 def remove_old_builds(spark: SparkSession, path: str, retention: float = RETENTION) -> list[str]:
@@ -287,25 +329,26 @@ def remove_old_builds(spark: SparkSession, path: str, retention: float = RETENTI
         if name.startswith("v=") and version != current and now - replaced.get(version, changed) > retention:
             delete(spark, f"{path}/{name}")
             removed.append(version)
-    _remove_unused_ranges(spark, path, now - retention)
+    left = [f"{path}/{name}" for name, _ in listed(spark, path) if name.startswith("v=")]
+    ranges = [row[3] for build in left if exists(spark, f"{build}/ranges/_SUCCESS") for row in _ranges(spark, build)]
+    _remove_unused(spark, f"{path}/{FACTS}", ranges, now - retention)
+    _remove_unused(spark, f"{path}/{GRAMS}", [row[1] for build in left for row in _grams(spark, build)], now - retention)
     return removed
 
 
-def _remove_unused_ranges(spark: SparkSession, path: str, until: float) -> None:
-    """Remove folders of facts that no build lists and that were last changed before ``until``."""
-    used = {row[3] for name, _ in listed(spark, path)
-            if name.startswith("v=") and exists(spark, f"{path}/{name}/ranges/_SUCCESS")
-            for row in _ranges(spark, f"{path}/{name}") if row[3]}
+def _remove_unused(spark: SparkSession, path: str, folders: Sequence[str | None], until: float) -> None:
+    """Remove folders of shared rows that no build lists and that were last changed before ``until``."""
+    used = {folder for folder in folders if folder}
     kept = {folder.partition("/")[0] for folder in used}
-    for version, changed in listed(spark, f"{path}/{FACTS}"):
+    for version, changed in listed(spark, path):
         if changed >= until:
             continue
         if version not in kept:
-            delete(spark, f"{path}/{FACTS}/{version}")
+            delete(spark, f"{path}/{version}")
             continue
-        for name, _ in listed(spark, f"{path}/{FACTS}/{version}"):
-            if name.startswith("range=") and f"{version}/{name}" not in used:
-                delete(spark, f"{path}/{FACTS}/{version}/{name}")
+        for name, _ in listed(spark, f"{path}/{version}"):
+            if "=" in name and f"{version}/{name}" not in used:
+                delete(spark, f"{path}/{version}/{name}")
 
 
 def _optional(spark: SparkSession, location: str) -> DataFrame | None:
@@ -321,7 +364,9 @@ def _read_build(spark: SparkSession, location: str) -> Panel:
         observations=_facts(spark, location.rpartition("/")[0], folders),
         entities=lambda: spark.read.parquet(f"{location}/entities"),
         indicators=lambda: spark.read.parquet(f"{location}/indicators"),
-        **{name: _optional(spark, f"{location}/{name}") for name in (*TABLES[3:], GRAM_LISTS, GRAM_COUNTS)},
+        **{name: _optional(spark, f"{location}/{name}") for name in TABLES[3:]},
+        gram_lists=lambda: _stored_grams(spark, location, GRAM_LISTS),
+        gram_counts=lambda: _stored_grams(spark, location, GRAM_COUNTS),
     )
 
 
