@@ -346,6 +346,31 @@ def test_trees_are_dealt_out_whole(spark):
     assert plan.count("Exchange ") == 1 and plan.index("Exchange ") > plan.rindex("Generate ")
 
 
+def test_parents_in_a_row_are_one_step_of_a_tree(spark):
+    """Tokens do not become rows, and levels that open in a row, with shallow values in their fields, are one token."""
+    deep = '{"Name":"p","Owner":{"Children":[{"x":"]}"}]},"Children":[ ' * 500 + '{"Name":"f"}' + "]}" * 500
+    trees = spark.createDataFrame([(deep,)], "tree string")
+    plain = F.regexp_replace("tree", F.lit(catalog._field_values()), F.lit("$1null"))
+    assert trees.select(F.size(F.regexp_extract_all(plain, F.lit(catalog.TOKEN), F.lit(0)))).first()[0] == 1
+    files = catalog.flatten_catalog(trees)
+    assert [r["name"] for r in files.orderBy("position").collect()] == ["p"] * 500 + ["f"]
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan
+
+
+def test_broken_trees_keep_what_brackets_enclose(spark):
+    rows = [
+        (1, '{"Identifier":1,{"Identifier":2},"Children":[{"Identifier":3}, ,{"Identifier":4}],"Name":"n"}'),
+        (2, '{"Owner":{"a":1}{ null} , "Children"\n : [ {"Identifier":5,"x":[[[[[[{"Children":[{}]}]]]]]]}],"Identifier":6}'),
+        (3, '{}{"Identifier":7}'), (4, '{"Identifier":8}}{'), (5, '{"Children":[{"Name":"a]"}]'),
+        (6, '{"IsFolder":true,"Children":[{"IsFolder":true,"Name":"q\\"IsFolder","IsFolder":false}]}'),
+    ]
+    files = catalog.flatten_catalog(spark.createDataFrame(rows, "t int, tree string"), keep=["t"])
+    assert sorted((r["t"], r["position"], r["doc_id"] or 0, r["name"] or "") for r in files.collect()) == [
+        (1, 0, 0, ""), (1, 1, 2, ""), (1, 2, 3, ""), (1, 3, 4, ""), (2, 0, 6, ""), (2, 1, 0, ""), (2, 2, 5, ""),
+        (3, 0, 0, ""), (3, 1, 7, ""), (4, 0, 8, ""), (6, 0, 0, 'q"IsFolder')]
+
+
 def test_catalog_changes(spark):
     columns = "series int, doc_id bigint, size bigint, modified_raw string, name string"
     old = spark.createDataFrame([(1, 7, 10, "a", "n"), (2, 8, None, "a", "n"), (3, 9, 1, "a", "n")], columns)
