@@ -24,6 +24,7 @@ from tidepanel.plans import (
     grouped_order_statistics,
     phrases,
     posting_lists,
+    substring,
     substring_pairs,
     table_medians,
     top_per_group,
@@ -180,6 +181,20 @@ def test_indexed_grams_equal_taking_texts_apart(spark):
             (n, i) for n in needles for i, t in texts.items() if n in t and (n or blank))
 
 
+@pytest.mark.parametrize("buckets", [substring.BUCKETS, 5])
+def test_only_wanted_grams_of_an_index_are_shuffled(spark, monkeypatch, buckets):
+    monkeypatch.setattr(substring, "BUCKETS", buckets)
+    texts = spark.createDataFrame([(i, f"text number {i} of many") for i in range(400)] + [(None, "17"), (3, None)], "id int, t string")
+    asked = spark.createDataFrame([("number 17 ",), ("17",), ("none",), ("",)], "needle string")
+    lists = posting_lists(texts, "t", ["id"])
+    pairs = substring_pairs(texts, "t", ["id"], asked, index=GramIndex(lists, gram_counts(lists)))
+    assert sorted((r["needle"], r["id"] or -1) for r in pairs.collect()) == sorted(
+        [("number 17 ", 17), ("17", -1), *[("17", i) for i in range(400) if "17" in str(i)]])
+    # The lists are filtered where they are read: no exchange has grams that are not wanted.
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"BroadcastHashJoin [^\n]*LeftSemi, BuildRight", plan)
+
+
 @pytest.mark.parametrize("block", [phrases.BLOCK_BYTES, 3000])
 def test_phrases_of_a_table_equal_nested_loops(spark, monkeypatch, block):
     monkeypatch.setattr(phrases, "BLOCK_BYTES", block)

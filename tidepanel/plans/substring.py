@@ -20,6 +20,8 @@ from tidepanel.plans.spread import spread
 
 #: A needle is represented by one of its grams of the largest of these sizes that it has.
 SIZES = (1, 2, 4, 8)
+#: Hashes by which stored rows of unwanted grams are left out where they are read: that many numbers are broadcast at most.
+BUCKETS = 1 << 21
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -64,6 +66,13 @@ def gram_counts(lists: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return lists.groupBy(*by, "__gram").agg(F.count(F.lit(1)).alias("__texts"))
 
 
+def _among(stored: DataFrame, grams: DataFrame) -> DataFrame:
+    """The stored rows of some grams, and of those few others that share a hash with one; nothing stored is shuffled."""
+    bucket = F.pmod(F.xxhash64("__gram"), F.lit(BUCKETS))
+    wanted = grams.select(bucket.alias("__bucket")).distinct()
+    return stored.withColumn("__bucket", bucket).join(F.broadcast(wanted), "__bucket", "left_semi").drop("__bucket")
+
+
 def substring_pairs(
     texts: DataFrame,
     text: str,
@@ -92,7 +101,7 @@ def substring_pairs(
         text_grams = posting_lists(texts, text, ids, sizes, blank).join(needle_grams.select("__gram").distinct(), "__gram", "left_semi")
         frequency = gram_counts(text_grams)
     else:
-        text_grams, frequency = index.lists.select("__gram", *ids, text), index.counts
+        text_grams, frequency = index.lists.select("__gram", *ids, text), _among(index.counts, needle_grams)
         if blank:
             # Computed per row: joins on a constant would be planned as cross joins.
             empty = F.substring(text, 1, 0).alias("__gram")
@@ -108,6 +117,8 @@ def substring_pairs(
         )
         .select(needle, F.col("__pick.__gram").alias("__gram"))
     )
+    if index is not None:
+        text_grams = _among(text_grams, rarest)
     # Spark takes grams for as small as the texts they come from: without the hint it may broadcast all of them.
     candidates = text_grams.join(rarest.hint("merge"), "__gram")
     return candidates.where(F.contains(F.col(text), F.col(needle))).select(needle, *ids, text)
