@@ -224,6 +224,17 @@ def test_phrases_of_a_table_equal_nested_loops(spark, monkeypatch, block):
             not scores and tags[n] == [(1, "none", 1)])
 
 
+def test_texts_are_dealt_out_before_they_are_probed(spark):
+    texts = spark.createDataFrame([(None if i % 3 else i, f"text number {i}") for i in range(200)], "id int, text string").coalesce(1)
+    listed = spark.createDataFrame([("a", 0, "Number 17"), ("b", 1, "text number 1")], "indicator_code string, position int, phrase string")
+    hits = phrases.phrase_hits(texts, ["id"], "text", listed.withColumn("phrase", F.lower("phrase")), "phrase")
+    # Each of 200 texts has its row without a phrase; these are made by many tasks.
+    made = hits.where("phrase is null").select(F.spark_partition_id().alias("task")).collect()
+    assert len(made) == 200 and len({row["task"] for row in made}) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert hits.where("phrase is not null").groupBy("indicator_code").count().collect() and hits.where(
+        "indicator_code = 'a'").count() == 11
+
+
 def test_a_hundred_thousand_phrases(spark):
     numbers = spark.range(100_000).select(F.col("id"), F.concat(F.lit("Phrase no. "), F.conv("id", 10, 36)).alias("p"))
     listed = numbers.select((F.col("id") % 7).cast("string").alias("indicator_code"), F.col("id").alias("position"),
